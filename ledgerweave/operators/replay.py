@@ -1,0 +1,116 @@
+"""Replay of merge events in order, over sorted batches of rows.
+
+The rows of one group arrive together and in order; a group is never held as a
+whole.  What stays in memory is one entry per component that takes part.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+
+from ledgerweave.functions import scoring
+
+# Kinds of input row, in the order in which they apply at the same step.
+STATE, COUNT, MERGE = 0, 1, 2
+# Kinds of output row.
+EVENT, HISTORY = 0, 1
+
+FIELDS = ["distinct", "out_hh", "density"]
+
+
+class _Group:
+    """Components of one group: size, edges and past snapshots, under their smallest member."""
+
+    def __init__(self) -> None:
+        self.above: dict = {}
+        self.accounts: dict = {}
+        self.edges: dict = {}
+        self.past: dict = {}
+
+    def name(self, member):
+        top = member
+        while top in self.above:
+            top = self.above[top]
+        while member != top:
+            self.above[member], member = top, self.above[member]
+        return top
+
+    def load(self, row) -> None:
+        self.accounts[row.a] = row.accounts
+        self.edges[row.a] = row.edges
+        self.past[row.a] = [
+            (h["seq"], h["distinct"], h["out_hh"], h["density"])
+            for h in (row.history if row.history is not None else [])
+        ]
+
+    def count(self, row) -> None:
+        at = self.name(row.a)
+        self.edges[at] = self.edges.get(at, 0) + row.edges
+
+    def merge(self, row) -> dict:
+        one, two = self.name(row.a), self.name(row.b)
+        root, other = (one, two) if one < two else (two, one)
+        self.above[other] = root
+        accounts = self.accounts.pop(other, 1) + self.accounts.get(root, 1)
+        edges = self.edges.pop(other, 0) + self.edges.get(root, 0) + 1
+        past = sorted(self.past.pop(other, []) + self.past.get(root, []))[-scoring.HISTORY_DEPTH :]
+        density = 2.0 * edges / (float(accounts) * (accounts - 1))
+        now = (float(accounts), float(row.out_hh), density)
+        z = _robust_z(now, past)
+        self.accounts[root], self.edges[root] = accounts, edges
+        self.past[root] = (past + [(row.seq, *now)])[-scoring.HISTORY_DEPTH :]
+        return {"kind": EVENT, "seq": row.seq, "root": root, "edges": edges, "z": z, "now": now}
+
+
+def _robust_z(now: tuple, past: list) -> tuple:
+    if not past:
+        return (0.0, 0.0, 0.0)
+    series = np.array(past, dtype="float64")[:, 1:]
+    middle = len(past) // 2
+    median = np.sort(series, axis=0)[middle]
+    mad = np.sort(np.abs(series - median), axis=0)[middle]
+    scale = np.maximum(scoring.MAD_FACTOR * mad, scoring.MIN_SCALE)
+    return tuple(((np.array(now) - median) / scale).tolist())
+
+
+def _frame(events: list[dict], histories: list[tuple]) -> pd.DataFrame:
+    rows = [
+        (EVENT, e["seq"], e["root"], e["edges"], *e["now"], *e["z"], None) for e in events
+    ] + [(HISTORY, None, root, None, *[None] * 6, past) for root, past in histories]
+    columns = ["kind", "seq", "root", "edges", *FIELDS, *[f"z_{f}" for f in FIELDS], "history"]
+    frame = pd.DataFrame(rows, columns=columns)
+    whole = frame.astype({"seq": "Int64", "edges": "Int64"})
+    return whole.astype({c: "float64" for c in columns[4:10]})
+
+
+def replay(with_history: bool):
+    """A function for ``mapInPandas`` over rows sorted by group, step and kind."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, current = None, None
+        for batch in batches:
+            events, histories = [], []
+            for row in batch.itertuples(index=False):
+                if current is None or row.grp != current:
+                    histories.extend(_histories(group, with_history))
+                    group, current = _Group(), row.grp
+                if row.kind == MERGE:
+                    events.append(group.merge(row))
+                elif row.kind == COUNT:
+                    group.count(row)
+                else:
+                    group.load(row)
+            yield _frame(events, histories)
+        yield _frame([], list(_histories(group, with_history)))
+
+    return run
+
+
+def _histories(group: _Group | None, wanted: bool) -> Iterator[tuple]:
+    if group is None or not wanted:
+        return
+    for root, past in group.past.items():
+        yield root, [dict(zip(["seq", *FIELDS], entry)) for entry in past]
