@@ -57,15 +57,15 @@ def mark_merges(
     edges = running_outflow(txn, hot).select(
         "seq", "tnum", "sender", "receiver", "amount", "out_hh"
     )
-    return ws.write(_flag(edges, forest), "marked", merges="merges")
+    return ws.write(flag(edges, forest), "marked", merges="merges")
 
 
-def _flag(edges: DataFrame, forest: MergeForest) -> DataFrame:
+def flag(edges: DataFrame, forest: MergeForest) -> DataFrame:
     joins = forest.seqs.withColumn("merges", F.lit(True))
     return edges.join(joins, "seq", "left").withColumn("merges", F.coalesce("merges", F.lit(False)))
 
 
-def _at_start(ws: Workspace, edges: DataFrame, book: Book, group_rows: int) -> DataFrame:
+def at_start(ws: Workspace, edges: DataFrame, book: Book, group_rows: int) -> DataFrame:
     """Edges with the components of both ends as the epoch starts, ``a`` and ``b``."""
     for end, name in (("sender", "a"), ("receiver", "b")):
         known = book.members.withColumnRenamed("component", name)
@@ -201,7 +201,7 @@ def apply_epoch(
 
     ``edges`` are marked edges, see :func:`mark_merges`.
     """
-    started = ws.write(_at_start(ws, edges, book, group_rows), "started", merges="merges")
+    started = ws.write(at_start(ws, edges, book, group_rows), "started", merges="merges")
     if ws.count(started, "merges"):
         local = components(ws, started.where("merges"), "a", "b", group_rows)
     else:
@@ -233,21 +233,24 @@ def merge_scores(
     steps = _steps(ws, whole, groups, None, group_rows)
     if not _too_large(ws, steps, replay_rows):
         return _scored(_replayed(ws, steps, with_history=False), marked)
-    return _by_epochs(ws, marked, replay_rows, group_rows)
+    return advance(ws, marked, Book.empty(marked), replay_rows, group_rows)[0]
 
 
-def _by_epochs(ws: Workspace, marked: DataFrame, replay_rows: int, group_rows: int) -> DataFrame:
-    last = marked.agg(F.max("seq")).first()[0]
-    at, length = 1, max(1, last // 2)
-    book, parts = Book.empty(marked), []
+def advance(
+    ws: Workspace, marked: DataFrame, book: Book, replay_rows: int = REPLAY_ROWS, group_rows: int = GROUP_ROWS
+) -> tuple[DataFrame, Book]:
+    """Take marked edges in epochs short enough for every group to be replayed by one task."""
+    first, last = marked.agg(F.min("seq"), F.max("seq")).first()
+    at, length = first, last - first + 1
+    parts: list[DataFrame] = []
     while at <= last:
-        epoch = ws.write(marked.where(F.col("seq").between(at, at + length - 1)), "epoch")
-        done = apply_epoch(ws, epoch, book, replay_rows, group_rows)
-        if done is None and length > 1:
-            length //= 2
-            continue
+        whole = at == first and length > last - first
+        epoch = marked if whole else ws.write(marked.where(F.col("seq").between(at, at + length - 1)), "epoch")
+        # A single arrival makes a few rows at most, so it is always taken.
+        done = apply_epoch(ws, epoch, book, replay_rows if length > 1 else 1 << 62, group_rows)
         if done is None:
-            done = apply_epoch(ws, epoch, book, 1 << 62, group_rows)  # one arrival: a few rows
+            length = max(1, length // 2)
+            continue
         scored, book = done
         parts.append(ws.write(scored, "scored"))
         at += length
@@ -255,7 +258,7 @@ def _by_epochs(ws: Workspace, marked: DataFrame, replay_rows: int, group_rows: i
     result = parts[0]
     for more in parts[1:]:
         result = result.unionByName(more)
-    return result
+    return result, book
 
 
 def alerts(scored: DataFrame, min_level: str = "LOW") -> DataFrame:
