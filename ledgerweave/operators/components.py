@@ -97,6 +97,8 @@ def components(
     pairs = ws.write(
         edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct(), "pairs"
     )
+    if ws.rows(pairs) == 0:
+        return pairs.select(F.col("lo").alias("account"), F.col("lo").alias("component"))
     maps: list[DataFrame] = []
     while not maps or ws.rows(pairs):
         smallest = _both_ways(pairs).groupBy("node").agg(F.min("other").alias("other"))

@@ -195,17 +195,24 @@ def _next_book(
 
 
 def apply_epoch(
-    ws: Workspace, edges: DataFrame, book: Book, replay_rows: int = REPLAY_ROWS, group_rows: int = GROUP_ROWS
+    ws: Workspace,
+    edges: DataFrame,
+    book: Book,
+    local: DataFrame | None = None,
+    replay_rows: int = REPLAY_ROWS,
+    group_rows: int = GROUP_ROWS,
 ) -> tuple[DataFrame, Book] | None:
     """Score the merges among ``edges`` and advance the book; None if a group is too large.
 
-    ``edges`` are marked edges, see :func:`mark_merges`.
+    ``edges`` are marked edges, see :func:`mark_merges`.  Where the caller has
+    them, edges carry ``a`` and ``b`` already, and ``local`` says which of these
+    start components end up together.
     """
-    started = ws.write(at_start(ws, edges, book, group_rows), "started", merges="merges")
-    if ws.count(started, "merges"):
+    started = edges
+    if "a" not in edges.columns:
+        started = ws.write(at_start(ws, edges, book, group_rows), "started")
+    if local is None:
         local = components(ws, started.where("merges"), "a", "b", group_rows)
-    else:
-        local = started.select(F.col("a").alias("account"), F.col("a").alias("component")).limit(0)
     groups = _groups(ws, local, group_rows)
     steps = _steps(ws, started, groups, book, group_rows)
     if _too_large(ws, steps, replay_rows):
@@ -233,21 +240,34 @@ def merge_scores(
     steps = _steps(ws, whole, groups, None, group_rows)
     if not _too_large(ws, steps, replay_rows):
         return _scored(_replayed(ws, steps, with_history=False), marked)
-    return advance(ws, marked, Book.empty(marked), replay_rows, group_rows)[0]
+    return advance(ws, marked, Book.empty(marked), None, replay_rows, group_rows)[0]
 
 
 def advance(
-    ws: Workspace, marked: DataFrame, book: Book, replay_rows: int = REPLAY_ROWS, group_rows: int = GROUP_ROWS
+    ws: Workspace,
+    marked: DataFrame,
+    book: Book,
+    local: DataFrame | None = None,
+    replay_rows: int = REPLAY_ROWS,
+    group_rows: int = GROUP_ROWS,
 ) -> tuple[DataFrame, Book]:
-    """Take marked edges in epochs short enough for every group to be replayed by one task."""
-    first, last = marked.agg(F.min("seq"), F.max("seq")).first()
-    at, length = first, last - first + 1
+    """Take marked edges in epochs short enough for every group to be replayed by one task.
+
+    The first try is one epoch; ``local`` and the columns ``a, b`` of the edges,
+    if given, are for that one.
+    """
+    done = apply_epoch(ws, marked, book, local, replay_rows, group_rows)
+    if done is not None:
+        return done
+    edges = marked.drop("a", "b")
+    at, last = edges.agg(F.min("seq"), F.max("seq")).first()
+    length = max(1, (last - at + 1) // 2)
     parts: list[DataFrame] = []
     while at <= last:
-        whole = at == first and length > last - first
-        epoch = marked if whole else ws.write(marked.where(F.col("seq").between(at, at + length - 1)), "epoch")
+        epoch = ws.write(edges.where(F.col("seq").between(at, at + length - 1)), "epoch")
         # A single arrival makes a few rows at most, so it is always taken.
-        done = apply_epoch(ws, epoch, book, replay_rows if length > 1 else 1 << 62, group_rows)
+        allowed = replay_rows if length > 1 else 1 << 62
+        done = apply_epoch(ws, epoch, book, None, allowed, group_rows)
         if done is None:
             length = max(1, length // 2)
             continue

@@ -166,20 +166,20 @@ WITH raw AS (
 n AS (SELECT row_number() OVER (ORDER BY t NULLS LAST, sender, receiver, amount) AS seq, * FROM raw)
 SELECT seq, coalesce(t, seq - 1)::DOUBLE AS tnum, sender, receiver, amount, greatest(1.0, amount) AS weight FROM n""",
         "time_normalise": """
-WITH o AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT + o_orderkey % 86400 AS at, o_orderkey % 12 AS kind FROM orders),
-t AS (SELECT *, make_timestamp(at * 1000000) AS m FROM o),
+WITH o AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT + o_orderkey % 86400 AS sec, o_orderkey % 12 AS kind FROM orders),
+t AS (SELECT *, make_timestamp(sec * 1000000) AS m FROM o),
 w AS (SELECT *, CASE kind
     WHEN 0 THEN strftime(m, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(m, '%Y/%m/%d %H:%M:%S')
     WHEN 2 THEN strftime(m, '%Y-%m-%d %H:%M') WHEN 3 THEN strftime(m, '%Y/%m/%d %H:%M')
     WHEN 4 THEN strftime(m, '%Y-%m-%d') WHEN 5 THEN strftime(m, '%Y/%m/%d')
     WHEN 6 THEN strftime(m, '%m/%d/%Y %H:%M:%S') WHEN 7 THEN strftime(m, '%m/%d/%Y %H:%M')
-    WHEN 8 THEN strftime(m, '%m/%d/%Y') WHEN 9 THEN at::VARCHAR WHEN 10 THEN (at * 1000)::VARCHAR ELSE 'bad' END AS text FROM t),
+    WHEN 8 THEN strftime(m, '%m/%d/%Y') WHEN 9 THEN sec::VARCHAR WHEN 10 THEN (sec * 1000)::VARCHAR ELSE 'bad' END AS text FROM t),
 d AS (SELECT *, try_cast(regexp_replace(text, '[^0-9]', '', 'g') AS DOUBLE) AS digits FROM w)
 SELECT o_orderkey, text,
-  CASE WHEN kind IN (0, 1, 6, 9, 10) THEN at WHEN kind IN (2, 3, 7) THEN at - at % 60
-       WHEN kind IN (4, 5, 8) THEN at - at % 86400 END::DOUBLE AS seconds,
+  CASE WHEN kind IN (0, 1, 6, 9, 10) THEN sec WHEN kind IN (2, 3, 7) THEN sec - sec % 60
+       WHEN kind IN (4, 5, 8) THEN sec - sec % 86400 END::DOUBLE AS seconds,
   coalesce(try_cast(text AS DOUBLE), CASE WHEN digits > 1e12 THEN digits / 1000 WHEN digits > 0 THEN digits END) AS legacy_seconds,
-  at AS joined_seconds FROM d""",
+  sec AS joined_seconds FROM d""",
         "wcc": _recursive(*components, body="SELECT account, component FROM members"),
         "component_stats": _recursive(
             *components, STATS,
@@ -282,10 +282,10 @@ WHERE edges >= 20 AND component NOT IN (SELECT component FROM blk)""",
         "alert_csv": _recursive(
             sparse, SCORED,
             body=f"""SELECT epoch(ts)::DOUBLE AS time, root::VARCHAR AS root, sender::VARCHAR AS src, receiver::VARCHAR AS dst, amount,
-  CASE WHEN abs(round(s, 4)) < 1e6 THEN round(round(s, 4), 2) END AS S, {LEVEL} AS level, d AS distinct, hh AS out_hh, round(rho, 6) AS density,
-  CASE WHEN abs(round(z1, 3)) < 1e6 THEN round(round(z1, 3), 2) END AS z_distinct,
-  CASE WHEN abs(round(z2, 3)) < 1e6 THEN round(round(z2, 3), 2) END AS z_out_hh,
-  CASE WHEN abs(round(z3, 3)) < 1e6 THEN round(round(z3, 3), 2) END AS z_density FROM scored JOIN txn USING (seq)""",
+  CASE WHEN abs(s) < 1e6 THEN round(s, 4) END AS S, {LEVEL} AS level, d AS distinct, hh AS out_hh, round(rho, 6) AS density,
+  CASE WHEN abs(z1) < 1e6 THEN round(z1, 3) END AS z_distinct,
+  CASE WHEN abs(z2) < 1e6 THEN round(z2, 3) END AS z_out_hh,
+  CASE WHEN abs(z3) < 1e6 THEN round(z3, 3) END AS z_density FROM scored JOIN txn USING (seq)""",
         ),
         "interval_scores": _recursive(
             *components, SNAPSHOTS,

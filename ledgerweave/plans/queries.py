@@ -299,8 +299,8 @@ def alert_csv(ws: Workspace, sf_dir: str) -> DataFrame:
     folder = f"{ws.root}/alerts"
     sinks.write_alerts(merges.alerts(_scored(ws, sf_dir)[2]), folder)
     back = sinks.read_alerts(ws.spark, folder)
-    uncertain = ["S", "z_distinct", "z_out_hh", "z_density"]
-    return back.select(*[comparable(c, 2).alias(c) if c in uncertain else F.col(c) for c in back.columns])
+    uncertain = {"S": 4, "z_distinct": 3, "z_out_hh": 3, "z_density": 3}
+    return back.select(*[comparable(c, uncertain[c]).alias(c) if c in uncertain else F.col(c) for c in back.columns])
 
 
 @query
@@ -461,11 +461,7 @@ def ablation(ws: Workspace, sf_dir: str) -> DataFrame:
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _event_stream(ws: Workspace, sf_dir: str) -> DataFrame:
-    """The event table, cut in four files by time and fed one file per micro-batch."""
-    folder = f"{ws.root}/arrivals"
-    fx.table(ws.spark, sf_dir, "events").repartitionByRange(4, "ts", "event_id").write.parquet(folder)
-    events = ledger.edge_stream(ws.spark, folder, EVENT_SCHEMA, files_per_batch=1)
+def _as_edges(events: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     return events.select(
         ts.alias("ts"), (F.unix_micros(ts) / 1e6).alias("tnum"), F.col("user_id").alias("sender"),
@@ -475,7 +471,10 @@ def _event_stream(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def stream_components(ws: Workspace, sf_dir: str) -> DataFrame:
-    edges = _event_stream(ws, sf_dir).select("tnum", "sender", "receiver", "amount")
+    """The event table, cut in four files by time and fed one file per micro-batch."""
+    folder = f"{ws.root}/arrivals"
+    fx.table(ws.spark, sf_dir, "events").repartitionByRange(4, "ts", "event_id").write.parquet(folder)
+    edges = _as_edges(ledger.edge_stream(ws.spark, folder, EVENT_SCHEMA, files_per_batch=1)).drop("ts")
     book = ledger.Ledger(ws.spark, f"{ws.root}/ledger")
     run = book.start(edges, f"{ws.root}/checkpoint")
     run.awaitTermination()
@@ -484,8 +483,9 @@ def stream_components(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def stream_windowed_flow(ws: Workspace, sf_dir: str) -> DataFrame:
-    """Hourly outflow per sender; the windows closed when the stream ends."""
-    flow = windows.windowed_flow(_event_stream(ws, sf_dir), "1 day", "1 hour")
+    """Daily outflow per sender; the windows closed when the stream ends."""
+    events = ledger.edge_stream(ws.spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
+    flow = windows.windowed_flow(_as_edges(events), "1 day", "1 hour")
     out = f"{ws.root}/windows"
     writer = flow.writeStream.format("parquet").option("path", out).outputMode("append")
     writer.option("checkpointLocation", f"{ws.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()

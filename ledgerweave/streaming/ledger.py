@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerweave.functions.scoring import HIGH_THRESHOLD, whole_weight
 from ledgerweave.operators import merges
-from ledgerweave.operators.components import merge_forest
+from ledgerweave.operators.components import MergeForest, merge_forest
 from ledgerweave.operators.ordering import number_rows
 from ledgerweave.operators.refine import COMPONENT_EDGES, WINDOW_EDGES, Refined, refine
 from ledgerweave.operators.skew import GROUP_ROWS, hot_keys, lookup
@@ -23,7 +23,7 @@ from ledgerweave.operators.stats import running_outflow
 from ledgerweave.sources.sinks import write_alerts
 from ledgerweave.workspace import Workspace, delete, exists
 
-STATE = ("members", "stats", "history", "flow", "clock")
+STATE = ("members", "stats", "history", "flow")
 
 
 def edge_stream(
@@ -71,37 +71,34 @@ class Ledger:
         order = [F.col("tnum").asc_nulls_last(), "sender", "receiver", "amount"]
         arrived = number_rows(ws, batch, order).withColumn("seq", F.col("seq") + last)
         filled = F.coalesce("tnum", (F.col("seq") - 1).cast("double"))
-        edges = ws.write(arrived.withColumn("tnum", filled), "edges")
-        if ws.rows(edges) == 0:
-            self._save(batch_id, book, flow, last)
-            return
-        marked = self._marked(ws, edges, book, flow)
-        scored, book = merges.advance(ws, marked, book, self.replay_rows, self.group_rows)
-        scored = ws.write(scored, "scored")
-        self._put(edges, f"edges/v={batch_id}")
+        started = merges.at_start(ws, arrived.withColumn("tnum", filled), book, self.group_rows)
+        edges = ws.write(started, "edges")
+        last += ws.rows(edges)
+        forest = merge_forest(ws, edges, "a", "b", group_rows=self.group_rows)
+        marked = self._marked(ws, edges, flow, forest)
+        scored, book = merges.advance(ws, marked, book, forest.members, self.replay_rows, self.group_rows)
+        self._put(edges.select("seq", "tnum", "sender", "receiver", "amount"), f"edges/v={batch_id}")
         if self.refine_on_high:
+            scored = ws.write(scored, "scored")
             book = self._tightened(ws, book, scored, batch_id)
-        alerts = merges.alerts(scored)
-        self._put(alerts, f"alerts/v={batch_id}")
+        self._put(merges.alerts(scored), f"alerts/v={batch_id}")
         if self.csv_folder:
-            write_alerts(alerts, f"{self.csv_folder}/batch={batch_id}")
-        added = edges.groupBy(F.col("sender").alias("account")).agg(F.sum(whole_weight(F.col("amount"))).alias("outflow"))
+            write_alerts(self._get(f"alerts/v={batch_id}"), f"{self.csv_folder}/batch={batch_id}")
+        added = edges.groupBy(F.col("sender").alias("account")).agg(
+            F.sum(whole_weight(F.col("amount"))).alias("outflow")
+        )
         flow = flow.union(added).groupBy("account").agg(F.sum("outflow").alias("outflow"))
-        self._save(batch_id, book, flow, last + ws.rows(edges))
-        delete(self.spark, ws.root)
-        self._forget(batch_id, last + ws.rows(edges))
+        self._save(ws, batch_id, book, ws.write(flow, "flow"), last)
+        self._forget(batch_id, last)
 
-    def _marked(self, ws: Workspace, edges: DataFrame, book: merges.Book, flow: DataFrame) -> DataFrame:
+    def _marked(self, ws: Workspace, edges: DataFrame, flow: DataFrame, forest: MergeForest) -> DataFrame:
         """Edges with the sender's outflow so far and whether they join two components."""
-        started = ws.write(merges.at_start(ws, edges, book, self.group_rows), "started")
-        forest = merge_forest(ws, started, "a", "b", group_rows=self.group_rows)
         hot = hot_keys(ws, edges, "sender", self.group_rows)
         here = running_outflow(edges, hot)
         total = lookup(here, "sender", flow, "account", "seq", hot).withColumn(
             "out_hh", F.col("out_hh") + F.coalesce("outflow", F.lit(0))
         )
-        columns = ["seq", "tnum", "sender", "receiver", "amount", "out_hh"]
-        return ws.write(merges.flag(total.select(*columns), forest), "marked")
+        return ws.write(merges.flag(total.drop("outflow"), forest), "marked")
 
     def _tightened(self, ws: Workspace, book: merges.Book, scored: DataFrame, version: int) -> merges.Book:
         """Replace components with a high score by their two-way blocks.
@@ -130,47 +127,54 @@ class Ledger:
         )
 
     def members(self, version: int) -> DataFrame:
-        return self._get(version, "members")
+        """``(account, component)`` after a micro-batch."""
+        return self._state(version)[0].members
 
     def stats(self, version: int) -> DataFrame:
-        return self._get(version, "stats")
+        """``(component, accounts, edges)`` after a micro-batch."""
+        return self._state(version)[0].stats
 
     def edges(self, version: int) -> DataFrame:
         """The retained edges up to a version."""
-        stored = self.spark.read.parquet(f"{self.folder}/edges").where(F.col("v") <= version).drop("v")
+        stored = self._get("edges").where(F.col("v") <= version).drop("v")
         newest = stored.agg(F.max("seq").alias("newest"))
         return stored.join(F.broadcast(newest), F.col("seq") > F.col("newest") - self.window_edges).drop("newest")
 
     def alerts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/alerts").drop("v")
+        return self._get("alerts").drop("v")
 
     def _load(self, version: int, batch: DataFrame) -> tuple[merges.Book, DataFrame, int]:
-        if version < 0:
-            kind = batch.schema["sender"].dataType.simpleString()
-            flow = self.spark.createDataFrame([], f"account {kind}, outflow bigint")
-            return merges.Book.empty(batch), flow, 0
-        members, stats, history, flow, clock = (self._get(version, name) for name in STATE)
-        return merges.Book(members, stats, history), flow, clock.first()[0]
-
-    def _save(self, version: int, book: merges.Book, flow: DataFrame, last: int) -> None:
-        clock = self.spark.range(1).select(F.lit(last).cast("long").alias("last"))
-        tables = (book.members, book.stats, book.history, flow, clock)
-        for name, table in zip(STATE, tables):
-            self._put(table, f"state/v={version}/{name}")
+        if version >= 0:
+            return self._state(version)
+        kind = batch.schema["sender"].dataType.simpleString()
+        return merges.Book.empty(batch), self.spark.createDataFrame([], f"account {kind}, outflow bigint"), 0
+
+    def _state(self, version: int) -> tuple[merges.Book, DataFrame, int]:
+        entry = self._get(f"versions/v={version}").first()
+        tables = [self.spark.read.parquet(entry[name]) for name in STATE]
+        return merges.Book(*tables[:3]), tables[3], entry["last"]
+
+    def _save(self, ws: Workspace, version: int, book: merges.Book, flow: DataFrame, last: int) -> None:
+        """Name the batch's own tables as the version; the one small write makes it valid."""
+        tables = (book.members, book.stats, book.history, flow)
+        ws.keep_only(*tables)
+        paths = [F.lit(ws.path(table)).alias(name) for name, table in zip(STATE, tables)]
+        entry = self.spark.range(1).select(F.lit(last).cast("long").alias("last"), F.lit(ws.root).alias("root"), *paths)
+        self._put(entry.coalesce(1), f"versions/v={version}")
 
     def _forget(self, version: int, last: int) -> None:
         """Remove state no repeated batch can ask for, and edges beyond the window."""
-        delete(self.spark, f"{self.folder}/state/v={version - 2}")
-        for old in range(version - 2, -1, -1):
-            if not exists(self.spark, f"{self.folder}/edges/v={old}"):
-                break
-            if self._get_path(f"edges/v={old}").where(F.col("seq") > last - self.window_edges).isEmpty():
+        old = version - 2
+        if old < 0:
+            return
+        delete(self.spark, self._get(f"versions/v={old}").first()["root"])
+        delete(self.spark, f"{self.folder}/versions/v={old}")
+        while old >= 0 and exists(self.spark, f"{self.folder}/edges/v={old}"):
+            if self._get(f"edges/v={old}").where(F.col("seq") > last - self.window_edges).isEmpty():
                 delete(self.spark, f"{self.folder}/edges/v={old}")
+            old -= 1
 
-    def _get(self, version: int, name: str) -> DataFrame:
-        return self._get_path(f"state/v={version}/{name}")
-
-    def _get_path(self, path: str) -> DataFrame:
+    def _get(self, path: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{path}")
 
     def _put(self, table: DataFrame, path: str) -> None:

@@ -66,6 +66,12 @@ class Workspace:
         known = (c["rows"] for t, _, c in self._written if t is table)
         return next(known, None) or table.select(F.count(F.lit(1))).first()[0]
 
+    def path(self, table: DataFrame) -> str:
+        return next(p for t, p, _ in self._written if t is table)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        self.drop(*(t for t, _, _ in self._written if not any(t is k for k in tables)))
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables of earlier rounds that no later plan reads."""
         for table, path, _ in self._written:

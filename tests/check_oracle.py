@@ -8,6 +8,7 @@ import time
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -25,7 +26,7 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, bool):
         return value
