@@ -40,11 +40,11 @@ def _roots(ws: Workspace, parent: DataFrame, size: int, group_rows: int) -> Data
     """Replace each node's parent by the root of its pointer chain.
 
     Every job at least doubles the distance covered, so a chain of length d takes
-    about log2(d) jobs.  Tables that fit one task take two hops per job, and the
+    about log2(d) jobs.  Tables that fit one task take three hops per job, and the
     first job reads the pointers as they are computed.
     """
-    hops = 2 if size <= group_rows else 1
-    moved = _hop(ws, parent if hops == 2 else ws.write(parent, "parent"), hops, group_rows)
+    hops = 3 if size <= group_rows else 1
+    moved = _hop(ws, parent if hops > 1 else ws.write(parent, "parent"), hops, group_rows)
     while ws.count(moved, "moved"):
         further = _hop(ws, moved.select("node", "parent"), hops, group_rows)
         ws.drop(moved)
@@ -185,9 +185,12 @@ def _as_forest(
     seqs = chosen[0]
     for more in chosen[1:]:
         seqs = seqs.union(more)
-    linked = ws.write(_compose(ws, maps, group_rows), "linked")
+    linked = _compose(ws, maps, group_rows)
+    hot = None
+    if 2 * ws.rows(everyone) > group_rows:
+        linked = ws.write(linked, "linked")
+        hot = hot_keys(ws, linked, "root", group_rows)
     names = linked.groupBy("root").agg(F.min("account").alias("component"))
-    hot = hot_keys(ws, linked, "root", group_rows)
     named = lookup(linked, "root", names, "root", "account", hot).select("account", "component")
     members = nodes.join(named, "account", "left").select(
         "account", F.coalesce("component", "account").alias("component")

@@ -70,9 +70,8 @@ def at_start(ws: Workspace, edges: DataFrame, book: Book, group_rows: int) -> Da
     for end, name in (("sender", "a"), ("receiver", "b")):
         known = book.members.withColumnRenamed("component", name)
         hot = hot_keys(ws, edges, end, group_rows)
-        edges = lookup(edges, end, known, "account", "seq", hot).withColumn(name, F.coalesce(name, end))
-        if hot is not None:
-            edges = ws.write(edges, "started")
+        found = lookup(edges, end, known, "account", "seq", hot).withColumn(name, F.coalesce(name, end))
+        edges = ws.know(found, edges)
     return edges
 
 
@@ -120,7 +119,18 @@ def _steps(ws: Workspace, edges: DataFrame, groups: DataFrame, book: Book | None
             )
         )
         steps = steps.unionByName(state)
-    return ws.write(steps, "steps")
+    return steps
+
+
+def _fitting(ws: Workspace, steps: DataFrame, edges: DataFrame, replay_rows: int) -> DataFrame | None:
+    """``steps`` if every group of them can be replayed by one task, else None.
+
+    An edge makes at most one step and brings in at most two states.
+    """
+    if 3 * ws.rows(edges) <= replay_rows:
+        return steps
+    steps = ws.write(steps, "steps")
+    return None if _too_large(ws, steps, replay_rows) else steps
 
 
 def _too_large(ws: Workspace, steps: DataFrame, replay_rows: int) -> bool:
@@ -150,7 +160,8 @@ def _scored(replayed: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _groups(ws: Workspace, local: DataFrame, group_rows: int) -> DataFrame:
     """``(_a, grp, last)`` from start components and the groups they end in."""
-    local = ws.write(local, "local")
+    if not ws.is_known(local):
+        local = ws.write(local, "local")
     sizes = local.groupBy("component").agg((F.count(F.lit(1)) - 1).alias("last"))
     hot = hot_keys(ws, local, "component", group_rows)
     sized = lookup(local, "component", sizes, "component", "account", hot)
@@ -172,8 +183,9 @@ def _next_book(
     newcomers = touched.join(book.members.select("account"), "account", "left_anti").select("account", "component")
     renamed = F.coalesce("grp", "component").alias("component")
     named = groups.select("_a", "grp")
-    known = ws.write(book.members.union(newcomers), "known")
-    hot = hot_keys(ws, known, "component", group_rows)
+    known = book.members.union(newcomers)
+    # A newcomer is a component of its own, so only earlier members can crowd one.
+    hot = hot_keys(ws, book.members, "component", group_rows)
     members = lookup(known, "component", named, "_a", "account", hot).select("account", renamed)
     added = touched.groupBy("component").agg(F.sum("sent").alias("edges"))
     sizes = newcomers.groupBy("component").agg(F.count(F.lit(1)).alias("accounts"))
@@ -214,8 +226,8 @@ def apply_epoch(
     if local is None:
         local = components(ws, started.where("merges"), "a", "b", group_rows)
     groups = _groups(ws, local, group_rows)
-    steps = _steps(ws, started, groups, book, group_rows)
-    if _too_large(ws, steps, replay_rows):
+    steps = _fitting(ws, _steps(ws, started, groups, book, group_rows), started, replay_rows)
+    if steps is None:
         return None
     replayed = _replayed(ws, steps, with_history=True)
     return _scored(replayed, edges), _next_book(ws, started, groups, replayed, book, group_rows)
@@ -235,10 +247,10 @@ def merge_scores(
     """
     forest = forest or merge_forest(ws, txn, group_rows=group_rows)
     marked = mark_merges(ws, txn, forest, group_rows)
-    whole = marked.withColumn("a", F.col("sender")).withColumn("b", F.col("receiver"))
+    whole = ws.know(marked.withColumn("a", F.col("sender")).withColumn("b", F.col("receiver")), marked)
     groups = _groups(ws, forest.members, group_rows)
-    steps = _steps(ws, whole, groups, None, group_rows)
-    if not _too_large(ws, steps, replay_rows):
+    steps = _fitting(ws, _steps(ws, whole, groups, None, group_rows), whole, replay_rows)
+    if steps is not None:
         return _scored(_replayed(ws, steps, with_history=False), marked)
     return advance(ws, marked, Book.empty(marked), None, replay_rows, group_rows)[0]
 

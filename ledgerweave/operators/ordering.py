@@ -29,15 +29,20 @@ def _placed(ws: Workspace, df: DataFrame, order: Sequence[Column | str]) -> Data
 
 
 def _offsets(placed: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """What lies before each range: one row per partition of the range shuffle."""
+    """What lies before each range, one row per range.
+
+    There are as many rows as the range shuffle has partitions, so the list is
+    taken to the driver once and broadcast from there.
+    """
     totals = placed.groupBy(F.shiftright("_at", _ROW_BITS).alias("_range")).agg(
         *[F.sum(value).alias(name) for name, value in sums.items()]
     )
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
+    offsets = totals.select(
         "_range",
         *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in sums],
     )
+    return F.broadcast(placed.sparkSession.createDataFrame(offsets.toArrow(), offsets.schema))
 
 
 def number_rows(
@@ -49,14 +54,15 @@ def number_rows(
     than one range.
     """
     placed = _placed(ws, df, order)
-    offsets = F.broadcast(_offsets(placed, {"rows": F.lit(1)}))
+    offsets = _offsets(placed, {"rows": F.lit(1)})
     in_range = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
+    numbered = (
         placed.withColumn("_range", F.shiftright("_at", _ROW_BITS))
         .join(offsets, "_range")
         .withColumn(name, (in_range + F.col("_before_rows") + 1).cast("long"))
         .drop("_range", "_at", "_before_rows")
     )
+    return ws.know(numbered, placed)
 
 
 def prefix_sums(
@@ -64,7 +70,7 @@ def prefix_sums(
 ) -> DataFrame:
     """Inclusive running sums over the whole table in the given order."""
     placed = _placed(ws, df, order)
-    offsets = F.broadcast(_offsets(placed, {out: F.col(value) for out, value in sums.items()}))
+    offsets = _offsets(placed, {out: F.col(value) for out, value in sums.items()})
     local = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     result = placed.withColumn("_range", F.shiftright("_at", _ROW_BITS))
     for out, value in sums.items():

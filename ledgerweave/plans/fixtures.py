@@ -40,7 +40,7 @@ def transfers(spark: SparkSession, sf_dir: str, block: int, where: str, keep: tu
 def _arrived(ws: Workspace, rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     numbered = number_rows(ws, rows, ORDER_KEY)
     tnum = F.unix_timestamp("ts").cast("double").alias("tnum")
-    return numbered.select("seq", "ts", tnum, "sender", "receiver", "amount", *keep)
+    return ws.know(numbered.select("seq", "ts", tnum, "sender", "receiver", "amount", *keep), numbered)
 
 
 SPARSE = (10, "l_quantity >= 48 AND l_discount >= 0.08")

@@ -166,7 +166,7 @@ WITH raw AS (
 n AS (SELECT row_number() OVER (ORDER BY t NULLS LAST, sender, receiver, amount) AS seq, * FROM raw)
 SELECT seq, coalesce(t, seq - 1)::DOUBLE AS tnum, sender, receiver, amount, greatest(1.0, amount) AS weight FROM n""",
         "time_normalise": """
-WITH o AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT + o_orderkey % 86400 AS sec, o_orderkey % 12 AS kind FROM orders),
+WITH o AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT + o_orderkey % 86400 + o_orderkey // 7 % 2 * 378691200 AS sec, o_orderkey % 12 AS kind FROM orders),
 t AS (SELECT *, make_timestamp(sec * 1000000) AS m FROM o),
 w AS (SELECT *, CASE kind
     WHEN 0 THEN strftime(m, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(m, '%Y/%m/%d %H:%M:%S')
@@ -176,7 +176,7 @@ w AS (SELECT *, CASE kind
     WHEN 8 THEN strftime(m, '%m/%d/%Y') WHEN 9 THEN sec::VARCHAR WHEN 10 THEN (sec * 1000)::VARCHAR ELSE 'bad' END AS text FROM t),
 d AS (SELECT *, try_cast(regexp_replace(text, '[^0-9]', '', 'g') AS DOUBLE) AS digits FROM w)
 SELECT o_orderkey, text,
-  CASE WHEN kind IN (0, 1, 6, 9, 10) THEN sec WHEN kind IN (2, 3, 7) THEN sec - sec % 60
+  CASE WHEN kind IN (0, 1, 6, 9) THEN sec WHEN kind = 10 THEN CASE WHEN sec * 1000 > 1e12 THEN sec ELSE sec * 1000 END WHEN kind IN (2, 3, 7) THEN sec - sec % 60
        WHEN kind IN (4, 5, 8) THEN sec - sec % 86400 END::DOUBLE AS seconds,
   coalesce(try_cast(text AS DOUBLE), CASE WHEN digits > 1e12 THEN digits / 1000 WHEN digits > 0 THEN digits END) AS legacy_seconds,
   sec AS joined_seconds FROM d""",

@@ -69,8 +69,13 @@ def txn_normalised(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def time_normalise(ws: Workspace, sf_dir: str) -> DataFrame:
-    """Order times written in nine layouts, as epoch numbers, and as a bad word."""
-    at = (F.col("o_orderdate").cast("timestamp").cast("long") + F.col("o_orderkey") % 86400).alias("at")
+    """Order times written in nine layouts, as epoch numbers, and as a bad word.
+
+    Half of them are moved by twelve years, so that milliseconds fall on both
+    sides of the bound above which they are known as such.
+    """
+    moved = F.col("o_orderkey") % 86400 + F.floor(F.col("o_orderkey") / 7) % 2 * 378_691_200
+    at = (F.col("o_orderdate").cast("timestamp").cast("long") + moved).alias("at")
     orders = fx.table(ws.spark, sf_dir, "orders").select("o_orderkey", at)
     layouts = [
         "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd",
@@ -162,13 +167,13 @@ def account_flow(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def running_outflow(ws: Workspace, sf_dir: str) -> DataFrame:
-    txn = ws.write(fx.txn(ws, sf_dir), "txn")
+    txn = fx.txn(ws, sf_dir)
     return stats.running_outflow(txn, hot_keys(ws, txn, "sender")).select("seq", "sender", "out_hh")
 
 
 @query
 def top_senders(ws: Workspace, sf_dir: str) -> DataFrame:
-    txn = ws.write(fx.txn(ws, sf_dir), "txn")
+    txn = fx.txn(ws, sf_dir)
     members = ws.write(components.components(ws, txn), "members")
     return stats.top_senders(txn, members, k=5, recent=500).withColumn("bound", F.round("bound", 4))
 
@@ -249,7 +254,7 @@ def reciprocity(ws: Workspace, sf_dir: str) -> DataFrame:
 @query
 def latest_edges(ws: Workspace, sf_dir: str) -> DataFrame:
     """The last eight edges of each component among the newer half of the input."""
-    txn = ws.write(fx.txn_dense(ws, sf_dir), "txn")
+    txn = fx.txn_dense(ws, sf_dir)
     members = components.components(ws, txn)
     recent = stats.last_edges(txn, ws.rows(txn) // 2)
     tagged = recent.join(members, F.col("sender") == F.col("account"))
@@ -260,7 +265,7 @@ def latest_edges(ws: Workspace, sf_dir: str) -> DataFrame:
 @query
 def refine_blocks(ws: Workspace, sf_dir: str) -> DataFrame:
     """Components with 20 edges or more, each seen through its last 25 edges."""
-    txn = ws.write(fx.txn_dense(ws, sf_dir), "txn")
+    txn = fx.txn_dense(ws, sf_dir)
     members = ws.write(components.components(ws, txn), "members")
     flagged = stats.component_stats(txn, members).where("edges >= 20").select("component")
     found = refine.refine(ws, txn, members, flagged, component_edges=25).blocks
@@ -272,13 +277,13 @@ def refine_blocks(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def merge_events(ws: Workspace, sf_dir: str) -> DataFrame:
-    txn = ws.write(fx.txn(ws, sf_dir), "txn")
+    txn = fx.txn(ws, sf_dir)
     forest = components.merge_forest(ws, txn)
     return txn.join(forest.seqs, "seq").select("seq", "sender", "receiver")
 
 
 def _scored(ws: Workspace, sf_dir: str) -> tuple[DataFrame, components.MergeForest, DataFrame]:
-    txn = ws.write(fx.txn(ws, sf_dir), "txn")
+    txn = fx.txn(ws, sf_dir)
     forest = components.merge_forest(ws, txn)
     return txn, forest, merges.merge_scores(ws, txn, forest)
 
@@ -306,7 +311,7 @@ def alert_csv(ws: Workspace, sf_dir: str) -> DataFrame:
 @query
 def interval_scores(ws: Workspace, sf_dir: str) -> DataFrame:
     """Sixty-four arrival intervals, each scored against the eight before it."""
-    txn = ws.write(fx.txn(ws, sf_dir), "txn")
+    txn = fx.txn(ws, sf_dir)
     members = ws.write(components.components(ws, txn), "members")
     every = -(-ws.rows(txn) // 64)
     scored = intervals.interval_scores(ws, txn, members, every, depth=8)
@@ -318,7 +323,7 @@ def interval_scores(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def latest_interval(ws: Workspace, sf_dir: str) -> DataFrame:
-    txn = ws.write(fx.txn(ws, sf_dir), "txn")
+    txn = fx.txn(ws, sf_dir)
     members = ws.write(components.components(ws, txn), "members")
     taken = intervals.snapshots(ws, txn, members, -(-ws.rows(txn) // 64))
     newest = intervals.latest_per_component(taken)
@@ -328,7 +333,7 @@ def latest_interval(ws: Workspace, sf_dir: str) -> DataFrame:
 @query
 def robust_z(ws: Workspace, sf_dir: str) -> DataFrame:
     """Each amount against the sixteen amounts before it in the same component."""
-    txn = ws.write(fx.txn_dense(ws, sf_dir), "txn")
+    txn = fx.txn_dense(ws, sf_dir)
     members = components.components(ws, txn)
     tagged = txn.join(members, F.col("sender") == F.col("account")).select("seq", "component", "amount")
     tagged = ws.write(tagged, "tagged")
@@ -349,7 +354,7 @@ def summary_report(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def graph_features(ws: Workspace, sf_dir: str) -> DataFrame:
-    txn = ws.write(fx.txn(ws, sf_dir), "txn")
+    txn = fx.txn(ws, sf_dir)
     members = ws.write(components.components(ws, txn), "members")
     found = centrality.attach_features(ws, txn, members)
     doubles = [c for c, t in found.dtypes if t == "double" and c not in ("tnum", "amount")]
@@ -414,7 +419,7 @@ def auc(ws: Workspace, sf_dir: str) -> DataFrame:
 def learning_table(ws: Workspace, sf_dir: str) -> DataFrame:
     """Dense transfers with labels, categories, and graph features."""
     keep = ("l_returnflag", "o_orderpriority", "l_suppkey")
-    txn = ws.write(fx.txn_dense(ws, sf_dir, keep), "txn")
+    txn = fx.txn_dense(ws, sf_dir, keep)
     members = ws.write(components.components(ws, txn), "members")
     nation = fx.table(ws.spark, sf_dir, "nation").join(
         F.broadcast(fx.table(ws.spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")

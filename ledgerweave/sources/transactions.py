@@ -85,7 +85,7 @@ def with_arrival(
 
     Rows without a time come last, and take their place in the table as time.
     """
-    return _finish(number_rows(ws, rows, [F.col("tnum").asc_nulls_last(), *tiebreak]))
+    return _finish(ws, number_rows(ws, rows, [F.col("tnum").asc_nulls_last(), *tiebreak]))
 
 
 def in_stored_order(ws: Workspace, spark: SparkSession, path: str, legacy_time: bool = False) -> DataFrame:
@@ -94,12 +94,12 @@ def in_stored_order(ws: Workspace, spark: SparkSession, path: str, legacy_time:
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     placed = raw.select(*raw.columns, *place)
     rows = normalise(placed, legacy_time, keep=["_file", "_row"])
-    return _finish(number_rows(ws, rows, ["_file", "_row"]))
+    return _finish(ws, number_rows(ws, rows, ["_file", "_row"]))
 
 
-def _finish(numbered: DataFrame) -> DataFrame:
+def _finish(ws: Workspace, numbered: DataFrame) -> DataFrame:
     tnum = F.coalesce("tnum", (F.col("seq") - 1).cast("double"))
-    return numbered.select(
+    finished = numbered.select(
         "seq",
         F.timestamp_micros((tnum * 1e6).cast("long")).alias("ts"),
         tnum.alias("tnum"),
@@ -107,6 +107,7 @@ def _finish(numbered: DataFrame) -> DataFrame:
         "receiver",
         "amount",
     )
+    return ws.know(finished, numbered)
 
 
 def account_type(txn: DataFrame) -> T.DataType:

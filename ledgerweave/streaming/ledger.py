@@ -21,7 +21,7 @@ from ledgerweave.operators.refine import COMPONENT_EDGES, WINDOW_EDGES, Refined,
 from ledgerweave.operators.skew import GROUP_ROWS, hot_keys, lookup
 from ledgerweave.operators.stats import running_outflow
 from ledgerweave.sources.sinks import write_alerts
-from ledgerweave.workspace import Workspace, delete, exists
+from ledgerweave.workspace import Workspace, delete
 
 STATE = ("members", "stats", "history", "flow")
 
@@ -69,9 +69,11 @@ class Ledger:
         ws = Workspace(self.spark, f"batch-{batch_id}")
         book, flow, last = self._load(batch_id - 1, batch)
         order = [F.col("tnum").asc_nulls_last(), "sender", "receiver", "amount"]
-        arrived = number_rows(ws, batch, order).withColumn("seq", F.col("seq") + last)
+        numbered = number_rows(ws, batch, order)
+        arrived = ws.know(numbered.withColumn("seq", F.col("seq") + last), numbered)
         filled = F.coalesce("tnum", (F.col("seq") - 1).cast("double"))
-        started = merges.at_start(ws, arrived.withColumn("tnum", filled), book, self.group_rows)
+        timed = ws.know(arrived.withColumn("tnum", filled), arrived)
+        started = merges.at_start(ws, timed, book, self.group_rows)
         edges = ws.write(started, "edges")
         last += ws.rows(edges)
         forest = merge_forest(ws, edges, "a", "b", group_rows=self.group_rows)
@@ -169,10 +171,10 @@ class Ledger:
             return
         delete(self.spark, self._get(f"versions/v={old}").first()["root"])
         delete(self.spark, f"{self.folder}/versions/v={old}")
-        while old >= 0 and exists(self.spark, f"{self.folder}/edges/v={old}"):
-            if self._get(f"edges/v={old}").where(F.col("seq") > last - self.window_edges).isEmpty():
-                delete(self.spark, f"{self.folder}/edges/v={old}")
-            old -= 1
+        newest = self._get("edges").groupBy("v").agg(F.max("seq").alias("newest"))
+        for stale in newest.where(F.col("newest") <= last - self.window_edges).collect():  # retained batches
+            if stale["v"] <= old:
+                delete(self.spark, f"{self.folder}/edges/v={stale['v']}")
 
     def _get(self, path: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{path}")

@@ -40,6 +40,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._written: list[tuple[DataFrame, str, dict[str, int]]] = []
+        self._known: list[tuple[DataFrame, int]] = []
 
     def write(self, df: DataFrame, name: str = "t", **counts: Column | str) -> DataFrame:
         """Run ``df`` once, keep it as a table, and return a scan of that table.
@@ -47,7 +48,7 @@ class Workspace:
         The rows, and the rows that meet each condition in ``counts``, are
         counted on the way; see :meth:`count`.
         """
-        path = f"{self.root}/{len(self._written):04d}-{name}"
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
         seen = Observation(name)
         conditions = [
             F.count_if(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in counts.items()
@@ -63,8 +64,17 @@ class Workspace:
 
     def rows(self, table: DataFrame) -> int:
         """Rows of the table; read from the write where it was written here."""
-        known = (c["rows"] for t, _, c in self._written if t is table)
-        return next(known, None) or table.select(F.count(F.lit(1))).first()[0]
+        known = [c["rows"] for t, _, c in self._written if t is table]
+        known += [n for t, n in self._known if t is table]
+        return known[0] if known else table.select(F.count(F.lit(1))).first()[0]
+
+    def know(self, df: DataFrame, like: DataFrame) -> DataFrame:
+        """Note that ``df`` has as many rows as ``like``, so that they need not be counted."""
+        self._known.append((df, self.rows(like)))
+        return df
+
+    def is_known(self, df: DataFrame) -> bool:
+        return any(t is df for t, *_ in [*self._written, *self._known])
 
     def path(self, table: DataFrame) -> str:
         return next(p for t, p, _ in self._written if t is table)
@@ -83,10 +93,3 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hadoop_path.getFileSystem(conf).exists(hadoop_path)
-
