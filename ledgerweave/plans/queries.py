@@ -476,9 +476,9 @@ def _as_edges(events: DataFrame) -> DataFrame:
 
 @query
 def stream_components(ws: Workspace, sf_dir: str) -> DataFrame:
-    """The event table, cut in four files by time and fed one file per micro-batch."""
+    """The event table, cut in two files by time and fed one file per micro-batch."""
     folder = f"{ws.root}/arrivals"
-    fx.table(ws.spark, sf_dir, "events").repartitionByRange(4, "ts", "event_id").write.parquet(folder)
+    fx.table(ws.spark, sf_dir, "events").repartitionByRange(2, "ts", "event_id").write.parquet(folder)
     edges = _as_edges(ledger.edge_stream(ws.spark, folder, EVENT_SCHEMA, files_per_batch=1)).drop("ts")
     book = ledger.Ledger(ws.spark, f"{ws.root}/ledger")
     run = book.start(edges, f"{ws.root}/checkpoint")
