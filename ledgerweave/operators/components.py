@@ -147,7 +147,7 @@ def merge_forest(
     """
     ends = txn.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col(order).alias("seq"))
     everyone = pairs = ws.write(_earliest(ends), "pairs", joining="lo <> hi")
-    left = ws.count(pairs, "joining")
+    left = ws.count(everyone, "joining")
     chosen: list[DataFrame] = []
     maps: list[DataFrame] = []
     while left:
@@ -166,8 +166,10 @@ def merge_forest(
         roots = _roots(ws, pointers.select("node", "parent"), ws.rows(pointers), group_rows)
         chosen.append(pointers.select("seq"))
         maps.append(roots)
-        pairs = ws.write(_earliest(_rewrite(pairs, roots, _hot_ends(ws, pairs, group_rows))), "pairs")
-        left = ws.rows(pairs)
+        shrunk = ws.write(_earliest(_rewrite(pairs, roots, _hot_ends(ws, pairs, group_rows))), "pairs")
+        if pairs is not everyone:
+            ws.drop(pairs)
+        pairs, left = shrunk, ws.rows(shrunk)
     return _as_forest(ws, everyone, chosen, maps, group_rows)
 
 
@@ -198,6 +200,14 @@ def _as_forest(
     return MergeForest(ws.write(seqs.distinct(), "forest"), ws.write(members, "members"))
 
 
+def tag(
+    ws: Workspace, txn: DataFrame, members: DataFrame, end: str = "sender", group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """Transactions with the component of one end."""
+    hot = hot_keys(ws, txn, end, group_rows)
+    return ws.know(lookup(txn, end, members, "account", "seq", hot), txn)
+
+
 def project(
     edges: DataFrame,
     members: DataFrame,

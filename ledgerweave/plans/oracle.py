@@ -362,6 +362,8 @@ SELECT value, count, row_number() OVER (ORDER BY count DESC, value) - 1 AS index
 w AS (SELECT sum(precision * support) / sum(support) AS p, sum(recall * support) / sum(support) AS r, sum(f1 * support) / sum(support) AS f FROM h)
 SELECT label, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
   round(p, 6) AS weighted_precision, round(r, 6) AS weighted_recall, round(f, 6) AS weighted_f1 FROM h, w""",
+        "class_support": f"""WITH {JUDGED}, k AS (SELECT unnest([0.0, 1.0, 2.0])::DOUBLE AS label)
+SELECT k.label, count(judged.label) AS support FROM k LEFT JOIN judged ON judged.label = k.label GROUP BY k.label""",
         "auc": f"""WITH {JUDGED},
 ranked AS (SELECT label, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2) AS mean_rank FROM judged),
 t AS (SELECT sum(mean_rank) FILTER (WHERE label = 1) AS r, count(*) FILTER (WHERE label = 1)::DOUBLE AS p, count(*) FILTER (WHERE label = 0)::DOUBLE AS n FROM ranked)

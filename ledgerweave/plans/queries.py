@@ -23,7 +23,7 @@ from ledgerweave.operators import (
     stats,
     summary,
 )
-from ledgerweave.operators.skew import hot_keys
+from ledgerweave.operators.skew import hot_keys, lookup
 from ledgerweave.plans import fixtures as fx
 from ledgerweave.sources import sinks, transactions
 from ledgerweave.streaming import ledger, windows
@@ -255,9 +255,8 @@ def reciprocity(ws: Workspace, sf_dir: str) -> DataFrame:
 def latest_edges(ws: Workspace, sf_dir: str) -> DataFrame:
     """The last eight edges of each component among the newer half of the input."""
     txn = fx.txn_dense(ws, sf_dir)
-    members = components.components(ws, txn)
-    recent = stats.last_edges(txn, ws.rows(txn) // 2)
-    tagged = recent.join(members, F.col("sender") == F.col("account"))
+    recent = ws.write(stats.last_edges(txn, ws.rows(txn) // 2), "recent")
+    tagged = components.tag(ws, recent, components.components(ws, txn))
     tagged = ws.write(tagged.select("component", "seq"), "tagged")
     return ordering.latest(tagged, "component", "seq", 8, hot_keys(ws, tagged, "component"))
 
@@ -334,8 +333,7 @@ def latest_interval(ws: Workspace, sf_dir: str) -> DataFrame:
 def robust_z(ws: Workspace, sf_dir: str) -> DataFrame:
     """Each amount against the sixteen amounts before it in the same component."""
     txn = fx.txn_dense(ws, sf_dir)
-    members = components.components(ws, txn)
-    tagged = txn.join(members, F.col("sender") == F.col("account")).select("seq", "component", "amount")
+    tagged = components.tag(ws, txn, components.components(ws, txn)).select("seq", "component", "amount")
     tagged = ws.write(tagged, "tagged")
     past = ordering.trailing(tagged, "component", "seq", ["amount"], 16, "past", hot_keys(ws, tagged, "component"))
     z = past.withColumn("z", scoring.robust_z(F.col("amount"), F.col("past.amount")))
@@ -411,6 +409,14 @@ def class_metrics(ws: Workspace, sf_dir: str) -> DataFrame:
     return joined.select("label", "support", *[F.round(c, 6).alias(c) for c in doubles])
 
 
+@query
+def class_support(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Rows per expected class; 0 for a class that does not occur."""
+    expected = ws.spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "label double")
+    found = learn.class_support(_judged(ws, sf_dir))
+    return expected.join(found, "label", "left").select("label", F.coalesce("support", F.lit(0)).alias("support"))
+
+
 @query
 def auc(ws: Workspace, sf_dir: str) -> DataFrame:
     return learn.auc(ws, _judged(ws, sf_dir), learn.LABEL, "score").select(F.round("auc", 6).alias("auc"))
@@ -433,17 +439,15 @@ def learning_table(ws: Workspace, sf_dir: str) -> DataFrame:
     payer = located("customer", "c_custkey", "c_nationkey", "Sender_bank_location", "Payment_currency")
     payee = located("supplier", "s_suppkey", "s_nationkey", "Receiver_bank_location", "Received_currency")
     featured = centrality.attach_features(ws, txn, members)
-    rows = (
-        featured.join(payer, F.col("sender") == F.col("c_custkey"))
-        .join(payee, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            "seq",
-            F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.date_format("ts", "HH:mm:ss").alias("Time"),
-            F.col("amount").alias("Amount"), F.col("o_orderpriority").alias("Payment_type"),
-            "Sender_bank_location", "Payment_currency", "Receiver_bank_location", "Received_currency",
-            *learn.GRAPH_COLUMNS,
-            (F.col("l_returnflag") == "R").cast("int").alias(learn.LABEL),
-        )
+    paid = lookup(featured, "sender", payer, "c_custkey", "seq", hot_keys(ws, txn, "sender"), "inner")
+    received = lookup(paid, "l_suppkey", payee, "s_suppkey", "seq", hot_keys(ws, txn, "l_suppkey"), "inner")
+    rows = received.select(
+        "seq",
+        F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.date_format("ts", "HH:mm:ss").alias("Time"),
+        F.col("amount").alias("Amount"), F.col("o_orderpriority").alias("Payment_type"),
+        "Sender_bank_location", "Payment_currency", "Receiver_bank_location", "Received_currency",
+        *learn.GRAPH_COLUMNS,
+        (F.col("l_returnflag") == "R").cast("int").alias(learn.LABEL),
     )
     return learn.add_timestamp(rows)
 

@@ -88,6 +88,10 @@ class Workspace:
             if any(table is t for t in tables):
                 delete(self.spark, path)
 
+    def close(self) -> None:
+        """Remove every table of this run, once its results have been used."""
+        delete(self.spark, self.root)
+
 
 def delete(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
