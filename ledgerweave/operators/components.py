@@ -127,7 +127,7 @@ def contract_entities(
 class MergeForest:
     """The edges that join two components, and the components they leave."""
 
-    seqs: DataFrame  # (seq)
+    seqs: DataFrame  # (seq, u, v), the arrival number and the two ends
     members: DataFrame  # (account, component)
 
 
@@ -146,14 +146,14 @@ def merge_forest(
     earliest outgoing edge, so at least half of the components disappear.
     """
     ends = txn.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col(order).alias("seq"))
-    everyone = pairs = ws.write(_earliest(ends), "pairs", joining="lo <> hi")
+    everyone = ws.write(ends.groupBy("lo", "hi").agg(F.min("seq").alias("seq")), "pairs", joining="lo <> hi")
+    # u and v keep the ends the edge had at first, while lo and hi are contracted.
+    pairs = everyone.where("lo <> hi").select("lo", "hi", "seq", F.col("lo").alias("u"), F.col("hi").alias("v"))
     left = ws.count(everyone, "joining")
     chosen: list[DataFrame] = []
     maps: list[DataFrame] = []
     while left:
-        first = F.min(F.struct("seq", "other")).alias("first")
-        outgoing = _both_ways(pairs.where("lo <> hi"), "seq")
-        pick = outgoing.groupBy("node").agg(first).select("node", "first.*")
+        pick = _both_ways(pairs, "seq", "u", "v").groupBy("node").agg(*_first_of("other", "u", "v"))
         if left > group_rows:
             pick = ws.write(pick, "pick")
         # Two nodes that took the same edge point at each other: the smaller one is the root.
@@ -162,19 +162,20 @@ def merge_forest(
         hot = hot_keys(ws, pick, "other", group_rows) if left > group_rows else None
         faced = lookup(pick, "other", back, "back_node", "node", hot)
         parent = F.when(mutual, F.col("node")).otherwise(F.col("other")).alias("parent")
-        pointers = ws.write(faced.select("node", "seq", parent), "pointers")
+        pointers = ws.write(faced.select("node", "seq", "u", "v", parent), "pointers")
         roots = _roots(ws, pointers.select("node", "parent"), ws.rows(pointers), group_rows)
-        chosen.append(pointers.select("seq"))
+        chosen.append(pointers.select("seq", "u", "v"))
         maps.append(roots)
-        shrunk = ws.write(_earliest(_rewrite(pairs, roots, _hot_ends(ws, pairs, group_rows))), "pairs")
-        if pairs is not everyone:
-            ws.drop(pairs)
+        fewer = _rewrite(pairs, roots, _hot_ends(ws, pairs, group_rows))
+        shrunk = ws.write(fewer.groupBy("lo", "hi").agg(*_first_of("u", "v")), "pairs")
+        ws.drop(pairs)
         pairs, left = shrunk, ws.rows(shrunk)
     return _as_forest(ws, everyone, chosen, maps, group_rows)
 
 
-def _earliest(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("lo", "hi").agg(F.min("seq").alias("seq"))
+def _first_of(*columns: str) -> list[Column]:
+    """The least ``seq`` of a group and what came with it."""
+    return [F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in columns]]
 
 
 def _as_forest(
@@ -183,7 +184,8 @@ def _as_forest(
     nodes = _both_ways(everyone).select(F.col("node").alias("account")).distinct()
     if not maps:
         alone = nodes.select("account", F.col("account").alias("component"))
-        return MergeForest(everyone.select("seq").limit(0), alone)
+        nothing = everyone.select("seq", F.col("lo").alias("u"), F.col("hi").alias("v")).limit(0)
+        return MergeForest(nothing, alone)
     seqs = chosen[0]
     for more in chosen[1:]:
         seqs = seqs.union(more)

@@ -13,15 +13,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import scoring
+from ledgerweave.functions.scoring import whole_weight
 from ledgerweave.operators import replay as rp
 from ledgerweave.operators.components import MergeForest, components, merge_forest
 from ledgerweave.operators.ordering import running_sum
 from ledgerweave.operators.skew import GROUP_ROWS, hot_keys, lookup
-from ledgerweave.operators.stats import running_outflow
 from ledgerweave.workspace import Workspace
 
 # Rows of one component that one task may replay.
@@ -50,18 +50,28 @@ class Book:
 
 
 def mark_merges(
-    ws: Workspace, txn: DataFrame, forest: MergeForest, group_rows: int = GROUP_ROWS
+    ws: Workspace, txn: DataFrame, forest: MergeForest, groups: DataFrame, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Edges with ``merges`` (does it join two components) and the sender's running outflow."""
+    """Edges with ``merges`` (does it join two components), running outflow, and final group.
+
+    The marks of the forest are laid among the edges of both of its ends, so that
+    outflow, marks and groups all come from one shuffle by sender.
+    """
     hot = hot_keys(ws, txn, "sender", group_rows)
-    edges = running_outflow(txn, hot).select(
-        "seq", "tnum", "sender", "receiver", "amount", "out_hh"
+    weight = whole_weight(F.col("amount")).alias("weight")
+    edges = txn.select("seq", "tnum", "sender", "receiver", "amount", weight, F.lit(False).alias("mark"))
+    marks = forest.seqs.select(
+        "seq", F.explode(F.array("u", "v")).alias("sender"), F.lit(0).cast("long").alias("weight"), F.lit(True).alias("mark")
     )
-    return ws.write(flag(edges, forest), "marked", merges="merges")
+    laid = edges.unionByName(marks, allowMissingColumns=True)
+    summed = running_sum(laid, "sender", "seq", "weight", "out_hh", hot)
+    marked = summed.withColumn("merges", F.max("mark").over(Window.partitionBy("sender", "seq"))).where("NOT mark")
+    grouped = lookup(marked.drop("mark", "weight"), "sender", groups, "_a", "seq", hot)
+    return ws.write(grouped, "marked")
 
 
 def flag(edges: DataFrame, forest: MergeForest) -> DataFrame:
-    joins = forest.seqs.withColumn("merges", F.lit(True))
+    joins = forest.seqs.select("seq", F.lit(True).alias("merges"))
     return edges.join(joins, "seq", "left").withColumn("merges", F.coalesce("merges", F.lit(False)))
 
 
@@ -78,19 +88,18 @@ def at_start(ws: Workspace, edges: DataFrame, book: Book, group_rows: int) -> Da
 def _steps(ws: Workspace, edges: DataFrame, groups: DataFrame, book: Book | None, group_rows: int) -> DataFrame:
     """Rows to replay: state, edge counts between merges, and merges.
 
-    ``groups`` is ``(a, grp, last)``: the group each start component ends in and
-    the number of merges there.  Edges between two merges of a group are counted
-    per start component before they are shuffled to it; those after the last
-    merge of the group are not needed.
+    Edges between two merges of a group are counted per start component before
+    they are shuffled to it; those after its last merge are not needed.
     """
-    hot = hot_keys(ws, edges, "a", group_rows)
-    grouped = lookup(edges, "a", groups, "_a", "seq", hot, "inner")
-    grouped = grouped.withColumn("one", F.col("merges").cast("long"))
+    if "grp" not in edges.columns:
+        hot = hot_keys(ws, edges, "a", group_rows)
+        edges = ws.know(lookup(edges, "a", groups, "_a", "seq", hot), edges)
+    needed = edges.where("seq <= last_seq").withColumn("one", F.col("merges").cast("long"))
     hot_groups = None
     if ws.rows(edges) > group_rows:
-        grouped = ws.write(grouped, "grouped")
-        hot_groups = hot_keys(ws, grouped, "grp", group_rows)
-    stepped = running_sum(grouped, "grp", "seq", "one", "done", hot_groups)
+        needed = ws.write(needed.select("grp", "seq", "a", "b", "merges", "one", "out_hh"), "needed")
+        hot_groups = hot_keys(ws, needed, "grp", group_rows)
+    stepped = running_sum(needed, "grp", "seq", "one", "done", hot_groups)
     nothing = F.lit(None).cast("long")
     no_history = F.lit(None).cast(SNAPSHOT).alias("history")
     merges = stepped.where("merges").select(
@@ -98,7 +107,7 @@ def _steps(ws: Workspace, edges: DataFrame, groups: DataFrame, book: Book | None
         nothing.alias("accounts"), nothing.alias("edges"), no_history,
     )
     counts = (
-        stepped.where("NOT merges AND done < last")
+        stepped.where("NOT merges")
         .groupBy("grp", "a", (F.col("done") + 1).alias("step"))
         .agg(F.count(F.lit(1)).alias("edges"))
         .select(
@@ -110,7 +119,7 @@ def _steps(ws: Workspace, edges: DataFrame, groups: DataFrame, book: Book | None
     if book is not None:
         state = (
             book.stats.join(groups, F.col("component") == F.col("_a"))
-            .where("last > 0")
+            .where("last_seq IS NOT NULL")
             .join(book.history, "component", "left")
             .select(
                 "grp", F.lit(0).cast("long").alias("step"), F.lit(rp.STATE).alias("kind"),
@@ -158,15 +167,20 @@ def _scored(replayed: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _groups(ws: Workspace, local: DataFrame, group_rows: int) -> DataFrame:
-    """``(_a, grp, last)`` from start components and the groups they end in."""
+def _groups(ws: Workspace, local: DataFrame, joins: DataFrame, group_rows: int) -> DataFrame:
+    """``(_a, grp, last_seq)``: where start components end, and the last merge there.
+
+    ``joins`` has ``(a, seq)``, one start component of each merge.
+    """
     if not ws.is_known(local):
         local = ws.write(local, "local")
-    sizes = local.groupBy("component").agg((F.count(F.lit(1)) - 1).alias("last"))
+    newest = joins.groupBy("a").agg(F.max("seq").alias("seq"))
+    newest = newest.join(local, F.col("a") == F.col("account"))
+    sizes = newest.groupBy("component").agg(F.max("seq").alias("last_seq"))
     hot = hot_keys(ws, local, "component", group_rows)
     sized = lookup(local, "component", sizes, "component", "account", hot)
     return ws.write(
-        sized.select(F.col("account").alias("_a"), F.col("component").alias("grp"), "last"), "groups"
+        sized.select(F.col("account").alias("_a"), F.col("component").alias("grp"), "last_seq"), "groups"
     )
 
 
@@ -199,7 +213,7 @@ def _next_book(
         .agg(F.sum("accounts").alias("accounts"), F.sum("edges").alias("edges"))
     )
     fresh = replayed.where(F.col("kind") == rp.HISTORY).select(F.col("root").alias("component"), "history")
-    merged = groups.where("last > 0").select(F.col("_a").alias("component"))
+    merged = groups.where("last_seq IS NOT NULL").select(F.col("_a").alias("component"))
     kept = book.history.join(merged, "component", "left_anti")
     return Book(
         ws.write(members, "members"), ws.write(stats, "stats"), ws.write(kept.union(fresh), "history")
@@ -216,7 +230,7 @@ def apply_epoch(
 ) -> tuple[DataFrame, Book] | None:
     """Score the merges among ``edges`` and advance the book; None if a group is too large.
 
-    ``edges`` are marked edges, see :func:`mark_merges`.  Where the caller has
+    ``edges`` have ``seq, tnum, sender, receiver, amount, out_hh, merges``.  Where the caller has
     them, edges carry ``a`` and ``b`` already, and ``local`` says which of these
     start components end up together.
     """
@@ -225,7 +239,7 @@ def apply_epoch(
         started = ws.write(at_start(ws, edges, book, group_rows), "started")
     if local is None:
         local = components(ws, started.where("merges"), "a", "b", group_rows)
-    groups = _groups(ws, local, group_rows)
+    groups = _groups(ws, local, started.where("merges").select("a", "seq"), group_rows)
     steps = _fitting(ws, _steps(ws, started, groups, book, group_rows), started, replay_rows)
     if steps is None:
         return None
@@ -246,13 +260,15 @@ def merge_scores(
     out_hh, density, z_distinct, z_out_hh, z_density, s, level``.
     """
     forest = forest or merge_forest(ws, txn, group_rows=group_rows)
-    marked = mark_merges(ws, txn, forest, group_rows)
+    joins = forest.seqs.select(F.col("u").alias("a"), "seq")
+    groups = _groups(ws, forest.members, joins, group_rows)
+    marked = mark_merges(ws, txn, forest, groups, group_rows)
     whole = ws.know(marked.withColumn("a", F.col("sender")).withColumn("b", F.col("receiver")), marked)
-    groups = _groups(ws, forest.members, group_rows)
     steps = _fitting(ws, _steps(ws, whole, groups, None, group_rows), whole, replay_rows)
     if steps is not None:
         return _scored(_replayed(ws, steps, with_history=False), marked)
-    return advance(ws, marked, Book.empty(marked), None, replay_rows, group_rows)[0]
+    edges = ws.know(marked.drop("grp", "last_seq"), marked)
+    return advance(ws, edges, Book.empty(marked), None, replay_rows, group_rows)[0]
 
 
 def advance(

@@ -11,7 +11,7 @@ from ledgerweave.workspace import Workspace
 GROUP_ROWS = 1_000_000
 # A key is hot above max(GROUP_ROWS, rows / MAX_HOT_KEYS), so there can be at
 # most MAX_HOT_KEYS of them: the list is always small enough to broadcast.
-MAX_HOT_KEYS = 10_000
+MAX_HOT_KEYS = 200_000
 
 
 def hot_keys(

@@ -278,7 +278,7 @@ def refine_blocks(ws: Workspace, sf_dir: str) -> DataFrame:
 def merge_events(ws: Workspace, sf_dir: str) -> DataFrame:
     txn = fx.txn(ws, sf_dir)
     forest = components.merge_forest(ws, txn)
-    return txn.join(forest.seqs, "seq").select("seq", "sender", "receiver")
+    return txn.join(forest.seqs.select("seq"), "seq").select("seq", "sender", "receiver")
 
 
 def _scored(ws: Workspace, sf_dir: str) -> tuple[DataFrame, components.MergeForest, DataFrame]:
