@@ -4,7 +4,7 @@ The input is taken in epochs of consecutive arrivals.  An epoch starts from the
 state the one before it left (a :class:`Book`), so only what changes inside it
 has to be replayed, and one group of the replay is one component as it stands at
 the end of the epoch.  If a group would be too large for a task the epoch is
-halved and tried again, so that every component is replayed exactly, whatever its
+shortened and tried again, so that every component is replayed exactly, whatever its
 size; data without such components takes one epoch.  The streaming job applies
 the same step to each micro-batch.
 """
@@ -131,22 +131,29 @@ def _steps(ws: Workspace, edges: DataFrame, groups: DataFrame, book: Book | None
     return steps
 
 
-def _fitting(ws: Workspace, steps: DataFrame, edges: DataFrame, replay_rows: int) -> DataFrame | None:
-    """``steps`` if every group of them can be replayed by one task, else None.
+class GroupTooLarge(Exception):
+    """A component has more rows in an epoch than one task should replay."""
 
-    An edge makes at most one step and brings in at most two states.
+    def __init__(self, rows: int):
+        super().__init__(f"{rows} rows in one component")
+        self.rows = rows
+
+
+def _fitting(ws: Workspace, steps: DataFrame, edges: DataFrame, replay_rows: int) -> tuple[DataFrame, int]:
+    """``steps``, if one task can replay each of their groups, and the rows of the largest.
+
+    An edge makes at most one step and brings in at most two states, so few edges
+    fit whatever their groups; the largest is then given as 0.
     """
     if 3 * ws.rows(edges) <= replay_rows:
-        return steps
+        return steps, 0
     steps = ws.write(steps, "steps")
-    return None if _too_large(ws, steps, replay_rows) else steps
-
-
-def _too_large(ws: Workspace, steps: DataFrame, replay_rows: int) -> bool:
-    if ws.rows(steps) <= replay_rows:
-        return False
-    largest = steps.groupBy("grp").count().agg(F.max("count")).first()[0]
-    return largest > replay_rows
+    largest = ws.rows(steps)
+    if largest > replay_rows:
+        largest = steps.groupBy("grp").count().agg(F.max("count")).first()[0]
+    if largest > replay_rows:
+        raise GroupTooLarge(largest)
+    return steps, largest
 
 
 def _replayed(ws: Workspace, steps: DataFrame, with_history: bool) -> DataFrame:
@@ -227,8 +234,8 @@ def apply_epoch(
     local: DataFrame | None = None,
     replay_rows: int = REPLAY_ROWS,
     group_rows: int = GROUP_ROWS,
-) -> tuple[DataFrame, Book] | None:
-    """Score the merges among ``edges`` and advance the book; None if a group is too large.
+) -> tuple[DataFrame, Book, int]:
+    """Score the merges among ``edges`` and advance the book; also the rows of the largest group.
 
     ``edges`` have ``seq, tnum, sender, receiver, amount, out_hh, merges``.  Where the caller has
     them, edges carry ``a`` and ``b`` already, and ``local`` says which of these
@@ -240,11 +247,9 @@ def apply_epoch(
     if local is None:
         local = components(ws, started.where("merges"), "a", "b", group_rows)
     groups = _groups(ws, local, started.where("merges").select("a", "seq"), group_rows)
-    steps = _fitting(ws, _steps(ws, started, groups, book, group_rows), started, replay_rows)
-    if steps is None:
-        return None
+    steps, largest = _fitting(ws, _steps(ws, started, groups, book, group_rows), started, replay_rows)
     replayed = _replayed(ws, steps, with_history=True)
-    return _scored(replayed, edges), _next_book(ws, started, groups, replayed, book, group_rows)
+    return _scored(replayed, edges), _next_book(ws, started, groups, replayed, book, group_rows), largest
 
 
 def merge_scores(
@@ -264,11 +269,12 @@ def merge_scores(
     groups = _groups(ws, forest.members, joins, group_rows)
     marked = mark_merges(ws, txn, forest, groups, group_rows)
     whole = ws.know(marked.withColumn("a", F.col("sender")).withColumn("b", F.col("receiver")), marked)
-    steps = _fitting(ws, _steps(ws, whole, groups, None, group_rows), whole, replay_rows)
-    if steps is not None:
-        return _scored(_replayed(ws, steps, with_history=False), marked)
-    edges = ws.know(marked.drop("grp", "last_seq"), marked)
-    return advance(ws, edges, Book.empty(marked), None, replay_rows, group_rows)[0]
+    try:
+        steps, _ = _fitting(ws, _steps(ws, whole, groups, None, group_rows), whole, replay_rows)
+    except GroupTooLarge as large:
+        edges = ws.know(marked.drop("grp", "last_seq"), marked)
+        return _by_epochs(ws, edges, Book.empty(marked), large.rows, replay_rows, group_rows)[0]
+    return _scored(_replayed(ws, steps, with_history=False), marked)
 
 
 def advance(
@@ -284,31 +290,43 @@ def advance(
     The first try is one epoch; ``local`` and the columns ``a, b`` of the edges,
     if given, are for that one.
     """
-    done = apply_epoch(ws, marked, book, local, replay_rows, group_rows)
-    if done is not None:
-        return done
-    edges = marked.drop("a", "b")
+    try:
+        return apply_epoch(ws, marked, book, local, replay_rows, group_rows)[:2]
+    except GroupTooLarge as large:
+        return _by_epochs(ws, marked.drop("a", "b"), book, large.rows, replay_rows, group_rows)
+
+
+def _by_epochs(
+    ws: Workspace, edges: DataFrame, book: Book, largest: int, replay_rows: int, group_rows: int
+) -> tuple[DataFrame, Book]:
+    """Epochs whose length follows from the largest group of the one before."""
     at, last = edges.agg(F.min("seq"), F.max("seq")).first()
-    length = max(1, (last - at + 1) // 2)
+    length = _fitted(last - at + 1, largest, replay_rows)
     parts: list[DataFrame] = []
     while at <= last:
         epoch = ws.write(edges.where(F.col("seq").between(at, at + length - 1)), "epoch")
         # A single arrival makes a few rows at most, so it is always taken.
         allowed = replay_rows if length > 1 else 1 << 62
-        done = apply_epoch(ws, epoch, book, None, allowed, group_rows)
-        if done is None:
-            length = max(1, length // 2)
+        try:
+            scored, book, largest = apply_epoch(ws, epoch, book, None, allowed, group_rows)
+        except GroupTooLarge as large:
+            length = min(length // 2, _fitted(length, large.rows, replay_rows))
+            length = max(1, length)
             continue
-        scored, book = done
         parts.append(ws.write(scored, "scored"))
         at += length
-        length *= 2
+        length = min(2 * length, _fitted(length, largest, replay_rows)) if largest else 2 * length
     result = parts[0]
     for more in parts[1:]:
         result = result.unionByName(more)
     return result, book
 
 
+def _fitted(length: int, largest: int, replay_rows: int) -> int:
+    """The length at which the largest group would take four fifths of what a task replays."""
+    return max(1, int(length * 0.8 * replay_rows / largest))
+
+
 def alerts(scored: DataFrame, min_level: str = "LOW") -> DataFrame:
     """Alert rows with the sink's columns, order and rounding."""
     levels = ["LOW", "MED", "HIGH"]

@@ -39,7 +39,7 @@ def test_scores_equal_a_sequential_replay(spark):
 
 
 def test_oversized_components_are_replayed_in_epochs(spark):
-    rows = transfers(70, 30)
+    rows = transfers(50, 30)
     found = merges.merge_scores(Workspace(spark), as_txn(spark, rows), replay_rows=25, group_rows=20)
     assert model.same_scores(scores(found), model.merge_scores(rows))
 
