@@ -15,6 +15,7 @@ from ledgerweave.workspace import Workspace
 
 STAGES = [
     ("toxicity", stages.without_toxic),
+    ("language", stages.readable),
 ]
 
 #: Trained classifiers, profiles and tokenizers are beyond SQL; tests compare with a brute-force version.

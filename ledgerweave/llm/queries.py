@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import toxicity
+from ledgerweave.llm import langid, toxicity
 from ledgerweave.llm.text import fold, table
 from ledgerweave.workspace import Workspace
 
@@ -24,8 +24,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by profiles learned on two of three folds."""
+    ws = Workspace(spark, "op3")
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.fit(ws, langid.sample(docs.where(fold("doc_id", 3) != 1)))
+    return langid.predict(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "likeness"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_language": op3_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}

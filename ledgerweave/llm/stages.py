@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import toxicity
+from ledgerweave.llm import langid, toxicity
 from ledgerweave.llm.text import configure, fold, table
 from ledgerweave.workspace import Workspace
 
+#: A text of at least so many characters, and of a smaller likeness to its language, is taken as unreadable.
+ENOUGH_CHARACTERS = 100
+LEAST_LIKENESS = 0.1
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifiers do not call toxic; labels of four of five folds train them."""
@@ -16,4 +20,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     known = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     training = toxicity.sample(docs.where(fold("doc_id", 5) != 0), known)
     model = toxicity.fit(Workspace(spark, "toxicity"), training, toxicity.prior_of(known))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return docs.where(toxicity.scorer(model)(F.col("text")) < 0.5)
+
+
+def readable(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the corpus's languages.
+
+    Those without a letter go, and those long enough to tell that resemble no language learned.
+    """
+    configure(spark)
+    profiles = langid.fit(Workspace(spark, "language"), langid.sample(docs))
+    judged = langid.judge(profiles)(F.col("text"))
+    unlike = (F.length("text") >= ENOUGH_CHARACTERS) & (judged["likeness"] < LEAST_LIKENESS)
+    return docs.where((judged["lang_pred"] != langid.UNDETERMINED) & ~unlike)

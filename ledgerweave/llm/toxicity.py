@@ -190,7 +190,8 @@ def fit(ws: Workspace, training: DataFrame, prior: float, classifiers: int = 3)
             bits = np.zeros((len(batch), len(buckets)), np.uint8)
             for row, text in zip(bits, batch["text"]):
                 row[_present(text, memo)] = 1
-            yield pd.DataFrame({"positive": batch["positive"], "bits": [r.tobytes() for r in np.packbits(bits, axis=1)]})
+            packed = pd.Series([r.tobytes() for r in np.packbits(bits, axis=1)], dtype=object)
+            yield pd.DataFrame({"positive": batch["positive"], "bits": packed})
 
     # The rows are bounded by the sample, FEATURES bits each; sorted, so that every run fits the same.
     encoded = rows.mapInPandas(encode, "positive boolean, bits binary").orderBy("positive", "bits").collect()
