@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import langid, toxicity
+from ledgerweave.llm import langid, packing, toxicity
 from ledgerweave.llm.text import fold, table
 from ledgerweave.workspace import Workspace
 
@@ -34,9 +35,16 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(Workspace(spark, "op4"), docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_language": op3_language,
+    "op4_packing": op4_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import langid, toxicity
+from ledgerweave.llm import langid, packing, toxicity
 from ledgerweave.llm.text import configure, fold, table
 from ledgerweave.workspace import Workspace
 
@@ -33,3 +34,9 @@ def readable(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = langid.judge(profiles)(F.col("text"))
     unlike = (F.length("text") >= ENOUGH_CHARACTERS) & (judged["likeness"] < LEAST_LIKENESS)
     return docs.where((judged["lang_pred"] != langid.UNDETERMINED) & ~unlike)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in training sequences."""
+    configure(spark)
+    return packing.pack(Workspace(spark, "packed"), docs, public_tokenizers.path("byte_bpe_50k.json"))
