@@ -16,6 +16,8 @@ from ledgerweave.workspace import Workspace
 STAGES = [
     ("toxicity", stages.without_toxic),
     ("language", stages.readable),
+    ("near-dedup", stages.deduplicated),
+    ("packing", stages.packed),
 ]
 
 #: Trained classifiers, profiles and tokenizers are beyond SQL; tests compare with a brute-force version.

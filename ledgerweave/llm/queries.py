@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import langid, packing, toxicity
+from ledgerweave.llm import langid, neardup, packing, toxicity
 from ledgerweave.llm.text import fold, table
 from ledgerweave.workspace import Workspace
 
@@ -41,10 +41,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(Workspace(spark, "op4"), docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents: three-word shingles, similarity 0.85."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_copies(Workspace(spark, "op8"), docs, words=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op8_near_copies": op8_near_copies,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import langid, packing, toxicity
+from ledgerweave.llm import langid, neardup, packing, toxicity
 from ledgerweave.llm.text import configure, fold, table
 from ledgerweave.workspace import Workspace
 
@@ -36,6 +36,14 @@ def readable(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where((judged["lang_pred"] != langid.UNDETERMINED) & ~unlike)
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest key, of each group of near copies: five-word shingles, similarity 0.8."""
+    configure(spark)
+    judged = neardup.near_copies(Workspace(spark, "deduplicated"), docs)
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in training sequences."""
     configure(spark)
