@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import langid, neardup, packing, toxicity
+from ledgerweave.llm import bpe, langid, neardup, packing, toxicity, wordpiece
 from ledgerweave.llm.text import fold, table
 from ledgerweave.workspace import Workspace
 
@@ -47,11 +47,27 @@ def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(Workspace(spark, "op8"), docs, words=3, percent=85)
 
 
+def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match piece counts of all documents over the byte-level vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = wordpiece.count_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_words", "n_pieces", "n_unknown")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op7_piece_counts": op7_piece_counts,
     "op8_near_copies": op8_near_copies,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
