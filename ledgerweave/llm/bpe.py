@@ -15,7 +15,7 @@ import hashlib
 import json
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -23,9 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.text import Memo, once, with_columns
+from ledgerweave.llm.wordpiece import byte_symbols
 
 _END = "\n"  # stands for the suffix that marks the end of a word; no byte-level symbol is a line feed
 _NEVER = 1 << 60
+_PARTS, _WORDS = 400_000, 300_000  # held by a worker
+
+# Texts of these characters need no composing, and lower case and the classes of characters are beyond doubt;
+# they are cut here by the rule that the file states, others by the library.
+_PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+#: Fixed value: that rule.
+_WORDS_RULE = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class Merges:
@@ -98,11 +107,6 @@ class Automaton:
                 self.shorter[child] = self.step[back].get(c, 0)
                 queue.append(child)
 
-    def advance(self, state: int, c: str) -> int:
-        while state and c not in self.step[state]:
-            state = self.shorter[state]
-        return self.step[state].get(c, 0)
-
 
 class Bpe:
     """Encoder for a tokenizer file whose model is BPE with an end-of-word suffix or without one.
@@ -122,61 +126,106 @@ class Bpe:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.token = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         named = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
-        self.cut = re.compile(f"({named})") if named else None
+        self.named = re.compile(f"({named})") if named else None
+        self.plain = _WORDS_RULE in json.dumps(json.loads(Path(path).read_text(encoding="utf-8"))["pre_tokenizer"])
+        self.length = {i: len(text) for i, text in self.merges.text.items()}
+        self.symbol = {byte: symbol for symbol, byte in byte_symbols().items()}
+        self.words: dict[str, tuple[int, ...]] = {}
         #: By what stands between two blanks: number of tokens, ids as text, tokens as text.
-        self.parts = Memo(self._part, 150_000)
-
-    def word(self, word: str) -> list[int]:
-        """Ids of one pre-tokenized word."""
-        text = word + _END if self.suffix else word
-        if not word:
-            return []
-        last: list[int | None] = [None] * (len(text) + 1)
-        texts, reached, apart, state = self.merges.text, self.merges.reached, self.merges.apart, 0
-        for place, c in enumerate(text, 1):
-            state = self.automaton.advance(state, c)
-            for token in self.automaton.ends[state]:
-                start = place - len(texts[token])
-                if start == 0 or (last[start] is not None and apart[last[start], token]):
-                    last[place] = token
-                    break
-        ids, place = [], len(text)
-        while place:
-            if last[place] is None:
-                raise ValueError(f"the vocabulary does not cover {word!r}")
-            ids.append(last[place])
-            place -= len(texts[last[place]])
-        return ids[::-1]
+        self.parts: dict[str, tuple[int, str, str]] = {}
 
-    def ids(self, text: str) -> list[int]:
-        """Ids of any text; names of special tokens in it become their ids, as with the library."""
-        found: list[int] = []
-        for piece in self.cut.split(text) if self.cut else [text]:
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of pre-tokenized words.
+
+        The words are taken in order, so that what is known of a prefix serves the next word too.
+        """
+        done, before = {}, ""
+        last: list[int | None] = [None]
+        states = [0]
+        length, apart = self.length, self.merges.apart
+        step, shorter, ends = self.automaton.step, self.automaton.shorter, self.automaton.ends
+        for word in sorted(words):
+            text = word + _END if self.suffix else word
+            same, most = 0, min(len(text), len(before))
+            while same < most and text[same] == before[same]:
+                same += 1
+            del last[same + 1 :], states[same + 1 :]
+            state, before = states[same], text
+            for place in range(same + 1, len(text) + 1):
+                c = text[place - 1]
+                while state and c not in step[state]:
+                    state = shorter[state]
+                state = step[state].get(c, 0)
+                states.append(state)
+                for token in ends[state]:
+                    start = place - length[token]
+                    if start == 0 or (last[start] is not None and apart[last[start], token]):
+                        last.append(token)
+                        break
+                else:
+                    last.append(None)
+            ids, place = [], len(text)
+            while place:
+                if last[place] is None:
+                    raise ValueError(f"the vocabulary does not cover {word!r}")
+                ids.append(last[place])
+                place -= length[last[place]]
+            done[word] = tuple(ids[::-1])
+        return done
+
+    def _cut(self, text: str) -> list[str | int]:
+        """Words of a text, and ids of the special tokens named in it, as the library finds them."""
+        if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+            found = _PLAIN_WORD.findall(text.lower())
+            return [w if w.isascii() else "".join([self.symbol[b] for b in w.encode()]) for w in found]
+        words: list[str | int] = []
+        for piece in self.named.split(text) if self.named else [text]:
             if piece in self.special:
-                found.append(self.special[piece])
+                words.append(self.special[piece])
             elif piece:
                 normal = self.tokenizer.normalizer.normalize_str(piece) if self.tokenizer.normalizer else piece
-                for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-                    found += self.word(word)
-        return found
+                words += [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        return words
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens side by side with a blank between, which is decoding where a file names no decoder."""
-        return " ".join(self.token[i] for i in ids)
-
-    def _part(self, part: str) -> tuple[int, str, str]:
-        ids = self.ids(part)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def ids(self, text: str) -> list[int]:
+        """Ids of any text; names of special tokens in it become their ids, as with the library."""
+        words = self._cut(text)
+        known = self.encode_words({w for w in words if isinstance(w, str)})
+        return [i for w in words for i in (known[w] if isinstance(w, str) else (w,))]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, and SHA-256 of the ids as text and of the decoded text.
+    def decode(self, ids: Iterable[int]) -> str:
+        """Tokens side by side with a blank between, which is decoding where a file names no decoder."""
+        return " ".join([self.token[i] for i in ids])
+
+    def _prepare(self, texts: list[str]) -> None:
+        """Encode what stands between the blanks of these texts and is not known yet."""
+        wanted = set()
+        for text in texts:
+            wanted.update(text.split(" "))
+        missing = wanted.difference(self.parts)
+        if len(self.parts) + len(missing) > _PARTS:
+            self.parts = {p: self.parts[p] for p in wanted if p in self.parts}
+        cut = {p: self._cut(p) for p in missing}
+        words = {w for found in cut.values() for w in found if isinstance(w, str)}
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > _WORDS:
+            self.words = {w: self.words[w] for w in words if w in self.words}
+        self.words.update(self.encode_words(new))
+        for part, found in cut.items():
+            ids = [i for w in found for i in (self.words[w] if isinstance(w, str) else (w,))]
+            self.parts[part] = len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text: number of tokens, and SHA-256 of the ids as text and of the decoded text.
 
         White space ends a word in these files and leaves nothing, so the parts between blanks are
         encoded one by one and kept, as most of them recur.
         """
-        found = [p for p in map(self.parts.__getitem__, text.split(" ")) if p[0]]
-        ids, decoded = (" ".join([p[k] for p in found]).encode() for k in (1, 2))
-        return sum(p[0] for p in found), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        self._prepare(texts)
+        for text in texts:
+            found = [p for p in map(self.parts.__getitem__, text.split(" ")) if p[0]]
+            ids, decoded = (" ".join([p[k] for p in found]).encode() for k in (1, 2))
+            yield sum([p[0] for p in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def encoder(path: str) -> Bpe:
@@ -219,7 +268,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path)
         for texts in batches:
-            n, ids, decoded = zip(*(bpe.digest(t or "") for t in texts))
+            n, ids, decoded = zip(*bpe.digests([t or "" for t in texts]))
             yield pd.DataFrame(
                 {
                     "n_tokens": n,

@@ -37,14 +37,19 @@ def with_columns(df: DataFrame, **made: Column) -> DataFrame:
 
 
 class Memo(dict):
-    """Results by key, worked out at first use, and forgotten all at once when there are too many."""
+    """Results by key, worked out at first use.
+
+    At most ``limit`` are held, in a younger half and an older one; what is asked for again moves
+    to the younger, and the older is forgotten when the younger is full.
+    """
 
     def __init__(self, compute: Callable[[Hashable], Any], limit: int = 200_000):
-        self.compute, self.limit = compute, limit
+        self.compute, self.half, self.older = compute, limit // 2, {}
 
     def __missing__(self, key: Hashable) -> Any:
-        value = self.compute(key)
-        if len(self) >= self.limit:
+        value = self.older[key] if key in self.older else self.compute(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
