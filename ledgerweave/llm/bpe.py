@@ -22,12 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.text import Memo, once, with_columns
+from ledgerweave.llm.text import Known, Memo, once, with_columns
 from ledgerweave.llm.wordpiece import byte_symbols
 
 _END = "\n"  # stands for the suffix that marks the end of a word; no byte-level symbol is a line feed
 _NEVER = 1 << 60
-_PARTS, _WORDS = 400_000, 300_000  # held by a worker
+_PARTS, _WORDS = 600_000, 300_000  # held by a worker
 
 # Texts of these characters need no composing, and lower case and the classes of characters are beyond doubt;
 # they are cut here by the rule that the file states, others by the library.
@@ -130,9 +130,9 @@ class Bpe:
         self.plain = _WORDS_RULE in json.dumps(json.loads(Path(path).read_text(encoding="utf-8"))["pre_tokenizer"])
         self.length = {i: len(text) for i, text in self.merges.text.items()}
         self.symbol = {byte: symbol for symbol, byte in byte_symbols().items()}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Known(_WORDS)
         #: By what stands between two blanks: number of tokens, ids as text, tokens as text.
-        self.parts: dict[str, tuple[int, str, str]] = {}
+        self.parts = Known(_PARTS)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of pre-tokenized words.
@@ -202,18 +202,13 @@ class Bpe:
         wanted = set()
         for text in texts:
             wanted.update(text.split(" "))
-        missing = wanted.difference(self.parts)
-        if len(self.parts) + len(missing) > _PARTS:
-            self.parts = {p: self.parts[p] for p in wanted if p in self.parts}
-        cut = {p: self._cut(p) for p in missing}
-        words = {w for found in cut.values() for w in found if isinstance(w, str)}
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > _WORDS:
-            self.words = {w: self.words[w] for w in words if w in self.words}
-        self.words.update(self.encode_words(new))
+        cut = {p: self._cut(p) for p in self.parts.lacking(wanted)}
+        new = self.words.lacking({w for found in cut.values() for w in found if isinstance(w, str)})
+        words = self.words.younger
+        words.update(self.encode_words(new))
         for part, found in cut.items():
-            ids = [i for w in found for i in (self.words[w] if isinstance(w, str) else (w,))]
-            self.parts[part] = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            ids = [i for w in found for i in (words[w] if isinstance(w, str) else (w,))]
+            self.parts.younger[part] = len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, and SHA-256 of the ids as text and of the decoded text.
@@ -223,7 +218,7 @@ class Bpe:
         """
         self._prepare(texts)
         for text in texts:
-            found = [p for p in map(self.parts.__getitem__, text.split(" ")) if p[0]]
+            found = [p for p in map(self.parts.younger.__getitem__, text.split(" ")) if p[0]]
             ids, decoded = (" ".join([p[k] for p in found]).encode() for k in (1, 2))
             yield sum([p[0] for p in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.text import Memo, once
+from ledgerweave.llm.text import Known, once
 from ledgerweave.workspace import Workspace
 
 SEQUENCE_TOKENS = 2_048
@@ -36,6 +36,12 @@ GROUP_PIECES = 8_192
 _ACROSS = re.compile(r"\s \s|\s $")
 
 
+# Parts of these characters are cut into words here by the rule of byte-level files, other parts by the library.
+_PLAIN = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PARTS, _WORDS = 900_000, 500_000  # held by a worker
+
+
 class ByteBpe:
     """Token ids of a byte-level BPE file, as little-endian unsigned 32-bit numbers.
 
@@ -49,18 +55,30 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.after_space = Memo(lambda part: self._direct(" " + part), 150_000)
-        self.at_start = Memo(self._direct, 50_000)
-
-    def _direct(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        self.words, self.parts = Known(_WORDS), Known(_PARTS)
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _prepare(self, wanted: set[str]) -> None:
+        """Encode the parts that are not known yet; those of plain characters word by word."""
+        missing = self.parts.lacking(wanted)
+        cut = {p: _PLAIN_WORD.findall(p) if _PLAIN.fullmatch(p) else [p] for p in missing}
+        new = list(self.words.lacking({w for found in cut.values() for w in found}))
+        words = self.words.younger
+        words.update(zip(new, self._direct(new)))
+        self.parts.younger.update(
+            {p: words[f[0]] if len(f) == 1 else b"".join([words[w] for w in f]) for p, f in cut.items()}
+        )
 
-    def encode(self, text: str) -> bytes:
-        if _ACROSS.search(text) or any(s in text for s in self.special):
-            return self._direct(text)
-        first, *rest = text.split(" ")
-        return self.at_start[first] + b"".join(map(self.after_space.__getitem__, rest))
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        odd = [bool(_ACROSS.search(t)) or any(s in t for s in self.special) for t in texts]
+        split = [None if o else t.split(" ") for t, o in zip(texts, odd)]
+        split = [p and [p[0], *[" " + part for part in p[1:]]] for p in split]
+        self._prepare(set().union(*[p for p in split if p]))
+        for text, parts in zip(texts, split):
+            yield b"".join(map(self.parts.younger.__getitem__, parts)) if parts else self._direct([text])[0]
 
 
 def cut(length: int, most: int) -> Iterator[tuple[int, int]]:
@@ -84,8 +102,8 @@ def pieces(path: str, most: int = SEQUENCE_TOKENS) -> Column:
         encoder = once(("byte_bpe", path), lambda: ByteBpe(path))
         for texts in batches:
             out = []
-            for text in texts:
-                ids = encoder.encode(text or "") + end
+            for encoded in encoder.encode([t or "" for t in texts]):
+                ids = encoded + end
                 out.append(
                     [
                         {"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + n)])}

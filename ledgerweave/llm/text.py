@@ -55,6 +55,25 @@ class Memo(dict):
         return value
 
 
+class Known:
+    """Results by key for keys that come in batches; the least recently asked for are forgotten beyond ``limit``.
+
+    A batch of more keys than that is held whole for as long as it lasts.
+    """
+
+    def __init__(self, limit: int):
+        self.half, self.younger, self.older = limit // 2, {}, {}
+
+    def lacking(self, wanted: set) -> set:
+        """The keys that still have to be worked out and put in ``younger``, which then holds all wanted."""
+        if len(self.younger) + len(wanted) > self.half:
+            self.older, self.younger = self.younger, {}
+        unknown = wanted.difference(self.younger)
+        again = unknown.intersection(self.older)
+        self.younger.update({key: self.older[key] for key in again})
+        return unknown.difference(again)
+
+
 _loaded: dict[Hashable, Any] = {}
 
 
