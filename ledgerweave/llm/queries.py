@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import bpe, langid, neardup, packing, toxicity, wordpiece
+from ledgerweave.llm import ann, bpe, langid, neardup, packing, toxicity, urls, wordpiece
 from ledgerweave.llm.text import fold, table
 from ledgerweave.workspace import Workspace
 
@@ -61,13 +61,64 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+#: The rules that the query is asked to apply.
+RULES = [
+    urls.Rule("allow", "com/"),
+    urls.Rule("block", "example.com/en/"),
+    urls.Rule("allow", "www.example.com/en/"),
+    urls.Rule("block", "net/es/"),
+    urls.Rule("block", "net/fr/"),
+]
+#: The method's own, for URLs that none of those fits.
+OWN_RULES = [urls.Rule("block", "spam-farm.*", 1), urls.Rule("block", "cheap-pills.*", 1)]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.verdicts(pages, [*RULES, *OWN_RULES])
+    return judged.select(
+        "page_id", "host", "path", F.when(F.col("tier") == 0, F.col("pattern")).alias("rule"), "verdict"
+    )
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth, by inner product."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(Workspace(spark, "op5"), vectors, F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filter": op2_url_filter,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op5_neighbours": op5_neighbours,
     "op7_piece_counts": op7_piece_counts,
     "op8_near_copies": op8_near_copies,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": """
+        WITH parts AS (
+            SELECT page_id,
+                   coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), judged AS (
+            SELECT *, '.' || host AS dotted,
+                   CASE WHEN dotted LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                        WHEN dotted LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+                        WHEN dotted LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+                        WHEN dotted LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+                        WHEN dotted LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule
+            FROM parts
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+                    WHEN rule IS NOT NULL OR dotted LIKE '%.spam-farm.%' OR dotted LIKE '%.cheap-pills.%' THEN 'block'
+                    ELSE 'allow' END AS verdict
+        FROM judged""",
+}
