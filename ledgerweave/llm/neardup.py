@@ -279,15 +279,18 @@ def near_copies(
     met = indexed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first < _last")
     shared = ws.write(indexed.join(met.select("key", "first"), "key"), "shared")
 
+    # From here on only texts that share a bucket move.
+    texts = ws.write(docs.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
+
     r = distance(percent, BITS, 1)
     stars = shared.where("id <> first").select("first", "id").distinct()
     first = signs.withColumnRenamed("id", "first").alias("p")
     stars = stars.join(first, "first").join(signs.alias("t"), "id").where(_apart("p", "t") <= r)
-    near = _confirmed_pairs(ws, stars.select(F.col("first").alias("a"), F.col("id").alias("b")), docs, words, percent)
+    near = _confirmed_pairs(ws, stars.select(F.col("first").alias("a"), F.col("id").alias("b")), texts, words, percent)
     grouped = ws.write(components(ws, near, "a", "b"), "grouped")
     across = ws.write(_across(ws, shared, signs, grouped, r), "across")
-    rest = _confirmed_pairs(ws, across.where("not whole").select("a", "b"), docs, words, percent)
-    far = _confirmed_groups(ws, across.where("whole").select("a", "b"), grouped, docs, words, percent)
+    rest = _confirmed_pairs(ws, across.where("not whole").select("a", "b"), texts, words, percent)
+    far = _confirmed_groups(ws, across.where("whole").select("a", "b"), grouped, texts, words, percent)
     equal = usable.join(folded.select("fingerprint", F.col("id").alias("first")), "fingerprint")
     same = equal.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     final = components(ws, near.union(rest).union(far).union(same), "a", "b")
