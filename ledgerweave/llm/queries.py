@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import ann, bpe, langid, neardup, packing, toxicity, urls, wordpiece
+from ledgerweave.llm import ann, bpe, langid, neardup, packing, quality, sharding, toxicity, urls, wordpiece
 from ledgerweave.llm.text import fold, table
 from ledgerweave.workspace import Workspace
 
@@ -47,6 +47,15 @@ def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(Workspace(spark, "op8"), docs, words=3, percent=85)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents, the base rule, and the verdict of a learned decision list."""
+    ws = Workspace(spark, "op6")
+    stats = ws.write(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "stats")
+    rules = quality.learn(ws, stats, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality.judge(stats, rules).select("doc_id", *counts, "base_failed", "kept", "rule")
+
+
 def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match piece counts of all documents over the byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +63,13 @@ def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_words", "n_pieces", "n_unknown")
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near-equal bytes, equal texts together."""
+    dealt = sharding.shard(Workspace(spark, "op9"), table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return dealt.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,8 +110,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_neighbours": op5_neighbours,
+    "op6_quality": op6_quality,
     "op7_piece_counts": op7_piece_counts,
     "op8_near_copies": op8_near_copies,
+    "op9_shards": op9_shards,
     "op10_bpe": op10_bpe,
 }
 
