@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-SPARSE = (10, "l_quantity >= 48 AND l_discount >= 0.08")
-DENSE = (8, "l_quantity >= 45")
+SPARSE = 10
+DENSE = 8
 ORDER_KEY = "o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 
-def _txn(shape: tuple[int, str], extra: str = "") -> str:
-    block, where = shape
+def _txn(block: int, extra: str = "") -> str:
     return f"""txn AS MATERIALIZED (
       SELECT row_number() OVER (ORDER BY {ORDER_KEY}) AS seq, o_orderdate AS ts, o_custkey AS sender,
              o_custkey - o_custkey % {block} + l_partkey % {block} AS receiver, l_extendedprice AS amount{extra}
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {where})"""
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def _members(source: str = "txn", a: str = "sender", b: str = "receiver", prefix: str = "") -> str:
@@ -134,7 +133,7 @@ ratio AS MATERIALIZED (
 
 JUDGED = """judged AS (
   SELECT (l_returnflag = 'R')::INT AS label, (l_tax >= 0.04)::INT::DOUBLE AS prediction, l_tax AS score
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 CLASSES = f"""{JUDGED},
 c AS (SELECT label::DOUBLE AS label, prediction, count(*) AS n FROM judged GROUP BY ALL),
@@ -162,7 +161,7 @@ WITH raw AS (
   SELECT CASE WHEN l_orderkey % 50 <> 0 THEN epoch(o_orderdate)::DOUBLE END AS t, o_custkey AS sender,
          o_custkey - o_custkey % 10 + l_partkey % 10 AS receiver,
          CASE WHEN l_linenumber % 7 = 0 THEN 0.0 ELSE l_extendedprice END AS amount
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 AND l_discount >= 0.08),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 n AS (SELECT row_number() OVER (ORDER BY t NULLS LAST, sender, receiver, amount) AS seq, * FROM raw)
 SELECT seq, coalesce(t, seq - 1)::DOUBLE AS tnum, sender, receiver, amount, greatest(1.0, amount) AS weight FROM n""",
         "time_normalise": """
@@ -356,7 +355,7 @@ SELECT timestamp, sender, receiver FROM n WHERE place <= (SELECT floor(count(*)
         "category_index": """
 SELECT value, count, row_number() OVER (ORDER BY count DESC, value) - 1 AS index FROM (
   SELECT o_orderpriority AS value, count(*) AS count FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_quantity >= 45 GROUP BY 1)""",
+  GROUP BY 1)""",
         "confusion": f"WITH {JUDGED} SELECT label::DOUBLE AS label, prediction, count(*) AS n FROM judged GROUP BY ALL",
         "class_metrics": f"""WITH {CLASSES},
 w AS (SELECT sum(precision * support) / sum(support) AS p, sum(recall * support) / sum(support) AS r, sum(f1 * support) / sum(support) AS f FROM h)

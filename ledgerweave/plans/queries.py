@@ -56,7 +56,7 @@ def comparable(c: str, digits: int) -> Column:
 @query
 def txn_normalised(ws: Workspace, sf_dir: str) -> DataFrame:
     """Columns found by alias; some times are missing and some amounts are not numbers."""
-    raw = fx.transfers(ws.spark, sf_dir, *fx.SPARSE).select(
+    raw = fx.transfers(ws.spark, sf_dir, fx.SPARSE).select(
         F.when(F.col("l_orderkey") % 50 != 0, F.col("ts")).alias("Timestamp"),
         F.col("sender").alias("Sender_account"),
         F.col("receiver").alias("PAYEE"),
@@ -102,12 +102,12 @@ def time_normalise(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def wcc(ws: Workspace, sf_dir: str) -> DataFrame:
-    return components.components(ws, fx.transfers(ws.spark, sf_dir, *fx.SPARSE))
+    return components.components(ws, fx.transfers(ws.spark, sf_dir, fx.SPARSE))
 
 
 def _txn_and_members(ws: Workspace, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Edges without arrival numbers, for figures that do not depend on order."""
-    edges = fx.transfers(ws.spark, sf_dir, *fx.SPARSE).select("sender", "receiver", "amount")
+    edges = fx.transfers(ws.spark, sf_dir, fx.SPARSE).select("sender", "receiver", "amount")
     txn = ws.write(edges, "txn")
     return txn, ws.write(components.components(ws, txn), "members")
 
@@ -132,7 +132,7 @@ def entity_contract(ws: Workspace, sf_dir: str) -> DataFrame:
 
 
 def _dense_edges(ws: Workspace, sf_dir: str) -> DataFrame:
-    edges = fx.transfers(ws.spark, sf_dir, *fx.DENSE)
+    edges = fx.transfers(ws.spark, sf_dir, fx.DENSE)
     return ws.write(edges.select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), F.col("amount").alias("w")), "edges")
 
 
@@ -159,7 +159,7 @@ def risk_distance(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def account_flow(ws: Workspace, sf_dir: str) -> DataFrame:
-    found = stats.account_flow(fx.transfers(ws.spark, sf_dir, *fx.SPARSE))
+    found = stats.account_flow(fx.transfers(ws.spark, sf_dir, fx.SPARSE))
     return found.select(
         "account", "sent", "out_whole", "in_whole", F.round("out_flow", 2).alias("out_flow"), F.round("in_flow", 2).alias("in_flow")
     )
@@ -242,7 +242,7 @@ def sketch_merge(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def reciprocal_pairs(ws: Workspace, sf_dir: str) -> DataFrame:
-    return pairs.reciprocal_pairs(fx.transfers(ws.spark, sf_dir, *fx.DENSE))
+    return pairs.reciprocal_pairs(fx.transfers(ws.spark, sf_dir, fx.DENSE))
 
 
 @query
@@ -365,7 +365,7 @@ def graph_features(ws: Workspace, sf_dir: str) -> DataFrame:
 
 def _judged(ws: Workspace, sf_dir: str) -> DataFrame:
     """Dense transfers with a fixed rule as prediction."""
-    rows = fx.transfers(ws.spark, sf_dir, *fx.DENSE, keep=("l_returnflag", "l_tax"))
+    rows = fx.transfers(ws.spark, sf_dir, fx.DENSE, keep=("l_returnflag", "l_tax"))
     return rows.select(
         (F.col("l_returnflag") == "R").cast("int").alias(learn.LABEL),
         (F.col("l_tax") >= 0.04).cast("double").alias("prediction"),
@@ -383,14 +383,14 @@ def temporal_split(ws: Workspace, sf_dir: str) -> DataFrame:
 @query
 def split_except(ws: Workspace, sf_dir: str) -> DataFrame:
     """Test side by set difference: repeated rows and rows equal to a training row go."""
-    rows = fx.transfers(ws.spark, sf_dir, *fx.DENSE).select(F.unix_timestamp("ts").alias("timestamp"), "sender", "receiver")
+    rows = fx.transfers(ws.spark, sf_dir, fx.DENSE).select(F.unix_timestamp("ts").alias("timestamp"), "sender", "receiver")
     _, test = learn.split_by_time(ws, rows, ["timestamp", "sender", "receiver"], dedupe=True)
     return test
 
 
 @query
 def category_index(ws: Workspace, sf_dir: str) -> DataFrame:
-    rows = fx.transfers(ws.spark, sf_dir, *fx.DENSE, keep=("o_orderpriority",))
+    rows = fx.transfers(ws.spark, sf_dir, fx.DENSE, keep=("o_orderpriority",))
     return learn.category_index(ws, rows, "o_orderpriority")
 
 
