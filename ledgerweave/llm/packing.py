@@ -15,9 +15,12 @@ it leaves part empty do not count.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,29 +56,32 @@ class ByteBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and words are too short to share out
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.parts = Known(_WORDS), Known(_PARTS)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def _prepare(self, wanted: set[str]) -> None:
         """Encode the parts that are not known yet; those of plain characters word by word."""
-        missing = self.parts.lacking(wanted)
-        cut = {p: _PLAIN_WORD.findall(p) if _PLAIN.fullmatch(p) else [p] for p in missing}
-        new = list(self.words.lacking({w for found in cut.values() for w in found}))
+        missing = list(self.parts.lacking(wanted))
+        spaced = [p[1:] if p[:1] == " " else " " + p for p in missing]
+        cut = [_PLAIN_WORD.findall(p) if _PLAIN.fullmatch(p) else [p] for p in spaced]
+        new = list(self.words.lacking(set(chain.from_iterable(cut))))
         words = self.words.younger
         words.update(zip(new, self._direct(new)))
-        self.parts.younger.update(
-            {p: words[f[0]] if len(f) == 1 else b"".join([words[w] for w in f]) for p, f in cut.items()}
-        )
+        known, parts = words.__getitem__, self.parts.younger
+        for part, found in zip(missing, cut):
+            parts[part] = known(found[0]) if len(found) == 1 else b"".join(map(known, found))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         odd = [bool(_ACROSS.search(t)) or any(s in t for s in self.special) for t in texts]
         split = [None if o else t.split(" ") for t, o in zip(texts, odd)]
-        split = [p and [p[0], *[" " + part for part in p[1:]]] for p in split]
+        for parts in filter(None, split):
+            parts[0] = " " + parts[0]  # a key that only a first part has, since others hold no space
         self._prepare(set().union(*[p for p in split if p]))
         for text, parts in zip(texts, split):
             yield b"".join(map(self.parts.younger.__getitem__, parts)) if parts else self._direct([text])[0]

@@ -69,8 +69,8 @@ class Known:
         if len(self.younger) + len(wanted) > self.half:
             self.older, self.younger = self.younger, {}
         unknown = wanted.difference(self.younger)
-        again = unknown.intersection(self.older)
-        self.younger.update({key: self.older[key] for key in again})
+        again = {key: self.older[key] for key in unknown if key in self.older}
+        self.younger.update(again)
         return unknown.difference(again)
 
 
