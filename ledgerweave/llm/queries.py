@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import ann, bpe, langid, neardup, packing, quality, sharding, toxicity, urls, wordpiece
+from ledgerweave.llm import (
+    ann,
+    bpe,
+    centroids,
+    langid,
+    mixing,
+    neardup,
+    packing,
+    periodic,
+    quality,
+    sharding,
+    toxicity,
+    urls,
+    wordpiece,
+)
 from ledgerweave.llm.text import fold, table
 from ledgerweave.workspace import Workspace
 
@@ -104,6 +118,63 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(Workspace(spark, "op5"), vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of all documents a mix of their sources by the weights 1, 2, 3 takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    planned = mixing.plan(Workspace(spark, "op11"), docs, mixing.cycled((1, 2, 3)))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return planned.select("doc_id", "size", "source_size", "target", taken)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all vectors of 64 components after three rounds."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    assigned, found = centroids.cluster(Workspace(spark, "op12"), vectors, 16, 3, 64)
+    return centroids.with_inertia(assigned, found).drop("x")
+
+
+def spliced(text: str, key: str) -> Column:
+    """The text; for keys whose crc32 ends in 0, its words with a stretch of them repeated to the end."""
+    blank = r"[\x20\x09-\x0D]+"
+    number = F.crc32(F.col(key).cast("string").cast("binary"))
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def repeated(words: Column) -> Column:
+        n, g = F.size(words), F.floor(number / 10)
+        head = (g % n).cast("int")
+        period = (1 + F.floor((n - head) / (3 + g % 8))).cast("int")
+        unit = F.slice(words, head + 1, period)
+        tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - head) / period).cast("int"))), 1, n - head)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, head), tail), " ")).otherwise("")
+
+    words = F.filter(F.split(F.col(text), blank), lambda w: w != "")
+    return F.when(number % 10 == 0, let(words, repeated)).otherwise(F.col(text))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, and digests of them and of the texts without their repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", spliced("text", "doc_id").alias("text"))
+    found = periodic.find_runs(docs)
+
+    def better(best: Column, run: Column) -> Column:
+        """The run of greatest length / period; the earlier one, by start and then period, of equals."""
+        beyond = run["length"] * best["period"] > best["length"] * run["period"]
+        return F.when(best.isNull() | beyond, run).otherwise(best)
+
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    best = found.withColumn("best", F.aggregate("runs", none, better))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -115,9 +186,75 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_copies": op8_near_copies,
     "op9_shards": op9_shards,
     "op10_bpe": op10_bpe,
+    "op11_mixing": op11_mixing,
+    "op12_clusters": op12_clusters,
+    "op13_runs": op13_runs,
 }
 
+MIX_SQL = r"""
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+            FROM sized GROUP BY source
+        ), levelled AS (
+            SELECT *, 3 * source_size AS room, coalesce(sum(3 * source_size) OVER before, 0)::BIGINT AS room_before,
+                   coalesce(sum(weight) OVER before, 0)::BIGINT AS weight_before,
+                   (SELECT sum(source_size) FROM sources)::BIGINT AS whole, (SELECT sum(weight) FROM sources)::BIGINT AS weights
+            FROM sources
+            WINDOW before AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), judged AS (
+            SELECT *, room / weight <= (whole - room_before) / (weights - weight_before) AS is_full FROM levelled
+        ), aimed AS (
+            SELECT *, CASE WHEN is_full THEN room::DOUBLE ELSE
+                (whole - (SELECT coalesce(sum(room), 0) FROM judged WHERE is_full)::BIGINT)::DOUBLE * weight
+                / (weights - (SELECT coalesce(sum(weight), 0) FROM judged WHERE is_full)::BIGINT) END AS target FROM judged
+        ), rated AS (
+            SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM aimed
+        )
+        SELECT doc_id, size, source_size, target,
+               size * (floor(rate)::BIGINT + (('0x' || substr(sha256('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT
+                                              / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken
+        FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source"""
+
+
+def clusters_sql(clusters: int = 16, rounds: int = 3, length: int = 64) -> str:
+    """Each round as one more pair of tables: the nearest centroid of every vector, and the new centroids."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = {length} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "pieces AS MATERIALIZED (SELECT row, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM kept)",
+        f"""first AS (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept
+            QUALIFY c < {clusters})""",
+        "centroid0 AS MATERIALIZED (SELECT c, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM first)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""near{r} AS MATERIALIZED (
+            SELECT row, c, distance FROM (
+                SELECT p.row, k.c, sum((p.v - k.v) * (p.v - k.v))::BIGINT AS distance
+                FROM pieces p JOIN centroid{r} k ON k.i = p.i GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, c) = 1)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""centroid{r + 1} AS MATERIALIZED (
+            SELECT k.c, k.i, coalesce(m.v, k.v) AS v FROM centroid{r} k LEFT JOIN (
+                SELECT c, i, (s - (s % n + n) % n) // n AS v FROM (
+                    SELECT c, i, sum(v)::BIGINT AS s, count(*) AS n FROM near{r} JOIN pieces USING (row) GROUP BY ALL)) m
+            ON m.c = k.c AND m.i = k.i)"""
+            )
+    return f"""WITH {", ".join(parts)},
+        named AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM centroid{rounds} GROUP BY c)
+        SELECT vec_id, c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+               (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM near{rounds} JOIN kept USING (row) JOIN named USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_mixing": MIX_SQL,
+    "op12_clusters": clusters_sql(),
     "op2_url_filter": """
         WITH parts AS (
             SELECT page_id,
