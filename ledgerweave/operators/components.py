@@ -129,6 +129,8 @@ class MergeForest:
 
     seqs: DataFrame  # (seq, u, v), the arrival number and the two ends
     members: DataFrame  # (account, component)
+    # Per round of contraction: (node, seq), the edge each node took, and (node, parent), what it became part of.
+    rounds: tuple[tuple[DataFrame, DataFrame], ...] = ()
 
 
 def merge_forest(
@@ -152,6 +154,7 @@ def merge_forest(
     left = ws.count(everyone, "joining")
     chosen: list[DataFrame] = []
     maps: list[DataFrame] = []
+    rounds: list[tuple[DataFrame, DataFrame]] = []
     while left:
         pick = _both_ways(pairs, "seq", "u", "v").groupBy("node").agg(*_first_of("other", "u", "v"))
         if left > group_rows:
@@ -166,11 +169,13 @@ def merge_forest(
         roots = _roots(ws, pointers.select("node", "parent"), ws.rows(pointers), group_rows)
         chosen.append(pointers.select("seq", "u", "v"))
         maps.append(roots)
+        rounds.append((pointers, roots))
         fewer = _rewrite(pairs, roots, _hot_ends(ws, pairs, group_rows))
         shrunk = ws.write(fewer.groupBy("lo", "hi").agg(*_first_of("u", "v")), "pairs")
         ws.drop(pairs)
         pairs, left = shrunk, ws.rows(shrunk)
-    return _as_forest(ws, everyone, chosen, maps, group_rows)
+    forest = _as_forest(ws, everyone, chosen, maps, group_rows)
+    return MergeForest(forest.seqs, forest.members, tuple(rounds))
 
 
 def _first_of(*columns: str) -> list[Column]:

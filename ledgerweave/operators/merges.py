@@ -1,12 +1,9 @@
 """Scores for the moments at which two components join.
 
-The input is taken in epochs of consecutive arrivals.  An epoch starts from the
-state the one before it left (a :class:`Book`), so only what changes inside it
-has to be replayed, and one group of the replay is one component as it stands at
-the end of the epoch.  If a group would be too large for a task the epoch is
-shortened and tried again, so that every component is replayed exactly, whatever its
-size; data without such components takes one epoch.  The streaming job applies
-the same step to each micro-batch.
+Merges are the edges of the forest; their figures and their past come from the merge tree
+(:mod:`ledgerweave.operators.mergetree`), so no component is replayed.  A run may start from
+what earlier arrivals left (a :class:`Book`), which is how the streaming job uses it: the nodes
+of its tree are then the components at the start.
 """
 
 from __future__ import annotations
@@ -18,15 +15,12 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import scoring
 from ledgerweave.functions.scoring import whole_weight
-from ledgerweave.operators import replay as rp
-from ledgerweave.operators.components import MergeForest, components, merge_forest
+from ledgerweave.operators import mergetree as mt
+from ledgerweave.operators.components import MergeForest, merge_forest
 from ledgerweave.operators.ordering import running_sum
 from ledgerweave.operators.skew import GROUP_ROWS, hot_keys, lookup
 from ledgerweave.workspace import Workspace
 
-# Rows of one component that one task may replay.
-REPLAY_ROWS = 5_000_000
-
 SNAPSHOT = "array<struct<seq:bigint,distinct:double,out_hh:double,density:double>>"
 
 
@@ -49,13 +43,19 @@ class Book:
         )
 
 
+def _placed(edges: DataFrame) -> DataFrame:
+    """Edges with their chain in place of the list; those after their component's last merge have none."""
+    needed = F.when(F.col("seq") <= F.col("last_seq"), mt.chain_at("seq"))
+    return edges.withColumn("chain", needed).drop("steps", "last_seq")
+
+
 def mark_merges(
-    ws: Workspace, txn: DataFrame, forest: MergeForest, groups: DataFrame, group_rows: int = GROUP_ROWS
+    ws: Workspace, txn: DataFrame, forest: MergeForest, tree: mt.MergeTree, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Edges with ``merges`` (does it join two components), running outflow, and final group.
+    """Edges with ``merges`` (does it join two components), running outflow, and chain.
 
     The marks of the forest are laid among the edges of both of its ends, so that
-    outflow, marks and groups all come from one shuffle by sender.
+    outflow, marks and chains all come from one shuffle by sender.
     """
     hot = hot_keys(ws, txn, "sender", group_rows)
     weight = whole_weight(F.col("amount")).alias("weight")
@@ -64,10 +64,10 @@ def mark_merges(
         "seq", F.explode(F.array("u", "v")).alias("sender"), F.lit(0).cast("long").alias("weight"), F.lit(True).alias("mark")
     )
     laid = edges.unionByName(marks, allowMissingColumns=True)
-    summed = running_sum(laid, "sender", "seq", "weight", "out_hh", hot)
+    summed = running_sum(laid, "sender", "seq", "weight", "out_hh", hot, group_rows)
     marked = summed.withColumn("merges", F.max("mark").over(Window.partitionBy("sender", "seq"))).where("NOT mark")
-    grouped = lookup(marked.drop("mark", "weight"), "sender", groups, "_a", "seq", hot)
-    return ws.write(grouped, "marked")
+    listed = lookup(marked.drop("mark", "weight"), "sender", tree.places, "account", "seq", hot)
+    return ws.write(_placed(listed), "marked")
 
 
 def flag(edges: DataFrame, forest: MergeForest) -> DataFrame:
@@ -76,7 +76,7 @@ def flag(edges: DataFrame, forest: MergeForest) -> DataFrame:
 
 
 def at_start(ws: Workspace, edges: DataFrame, book: Book, group_rows: int) -> DataFrame:
-    """Edges with the components of both ends as the epoch starts, ``a`` and ``b``."""
+    """Edges with the components of both ends before the first of them, ``a`` and ``b``."""
     for end, name in (("sender", "a"), ("receiver", "b")):
         known = book.members.withColumnRenamed("component", name)
         hot = hot_keys(ws, edges, end, group_rows)
@@ -85,116 +85,79 @@ def at_start(ws: Workspace, edges: DataFrame, book: Book, group_rows: int) -> Da
     return edges
 
 
-def _steps(ws: Workspace, edges: DataFrame, groups: DataFrame, book: Book | None, group_rows: int) -> DataFrame:
-    """Rows to replay: state, edge counts between merges, and merges.
-
-    Edges between two merges of a group are counted per start component before
-    they are shuffled to it; those after its last merge are not needed.
-    """
-    if "grp" not in edges.columns:
-        hot = hot_keys(ws, edges, "a", group_rows)
-        edges = ws.know(lookup(edges, "a", groups, "_a", "seq", hot), edges)
-    needed = edges.where("seq <= last_seq").withColumn("one", F.col("merges").cast("long"))
-    hot_groups = None
-    if ws.rows(edges) > group_rows:
-        needed = ws.write(needed.select("grp", "seq", "a", "b", "merges", "one", "out_hh"), "needed")
-        hot_groups = hot_keys(ws, needed, "grp", group_rows)
-    stepped = running_sum(needed, "grp", "seq", "one", "done", hot_groups)
-    nothing = F.lit(None).cast("long")
-    no_history = F.lit(None).cast(SNAPSHOT).alias("history")
-    merges = stepped.where("merges").select(
-        "grp", F.col("done").alias("step"), F.lit(rp.MERGE).alias("kind"), "a", "b", "seq", "out_hh",
-        nothing.alias("accounts"), nothing.alias("edges"), no_history,
-    )
-    counts = (
-        stepped.where("NOT merges")
-        .groupBy("grp", "a", (F.col("done") + 1).alias("step"))
-        .agg(F.count(F.lit(1)).alias("edges"))
-        .select(
-            "grp", "step", F.lit(rp.COUNT).alias("kind"), "a", F.col("a").alias("b"), nothing.alias("seq"),
-            nothing.alias("out_hh"), nothing.alias("accounts"), "edges", no_history,
-        )
-    )
-    steps = merges.unionByName(counts)
+def _scored(
+    ws: Workspace,
+    marked: DataFrame,
+    tree: mt.MergeTree,
+    book: Book | None,
+    depth: int,
+    block: int,
+    group_rows: int,
+) -> DataFrame:
+    """Merge events with figures, z values, score and level, as a table."""
+    placed = ws.write(marked.where("chain IS NOT NULL").select("seq", "chain", "merges", "out_hh"), "placed")
+    start = history = None
     if book is not None:
-        state = (
-            book.stats.join(groups, F.col("component") == F.col("_a"))
-            .where("last_seq IS NOT NULL")
-            .join(book.history, "component", "left")
-            .select(
-                "grp", F.lit(0).cast("long").alias("step"), F.lit(rp.STATE).alias("kind"),
-                F.col("component").alias("a"), F.col("component").alias("b"), nothing.alias("seq"),
-                nothing.alias("out_hh"), "accounts", "edges", "history",
-            )
-        )
-        steps = steps.unionByName(state)
-    return steps
-
-
-class GroupTooLarge(Exception):
-    """A component has more rows in an epoch than one task should replay."""
-
-    def __init__(self, rows: int):
-        super().__init__(f"{rows} rows in one component")
-        self.rows = rows
+        start = book.stats.withColumnRenamed("component", "account")
+        history = book.history.select(F.col("component").alias("account"), F.inline("history"))
+    found = mt.figures(ws, placed, tree, start, group_rows)
+    z = mt.standing(ws, found, tree, history, depth, block)
+    s = scoring.score(F.col("z_distinct"), F.col("z_out_hh"), F.col("z_density"))
+    rows = marked.where("merges").select("seq", "tnum", "sender", "receiver", "amount")
+    events = rows.join(found, "seq").join(z, "seq").withColumn("s", s).withColumn("level", scoring.level(F.col("s")))
+    return ws.write(
+        events.select(
+            "seq", "tnum", "sender", "receiver", "amount", "root", F.col("accounts").cast("double").alias("distinct"), "edges",
+            F.col("out_hh").cast("double").alias("out_hh"), "density", *[f"z_{f}" for f in mt.FIELDS], "s", "level",
+        ),
+        "scored",
+    )
 
 
-def _fitting(ws: Workspace, steps: DataFrame, edges: DataFrame, replay_rows: int) -> tuple[DataFrame, int]:
-    """``steps``, if one task can replay each of their groups, and the rows of the largest.
+def merge_scores(
+    ws: Workspace,
+    txn: DataFrame,
+    forest: MergeForest | None = None,
+    group_rows: int = GROUP_ROWS,
+    depth: int = scoring.HISTORY_DEPTH,
+    block: int = mt.BLOCK,
+) -> DataFrame:
+    """One row per merge event, in the state the merge leaves.
 
-    An edge makes at most one step and brings in at most two states, so few edges
-    fit whatever their groups; the largest is then given as 0.
+    Columns: ``seq, tnum, sender, receiver, amount, root, distinct, edges,
+    out_hh, density, z_distinct, z_out_hh, z_density, s, level``.
     """
-    if 3 * ws.rows(edges) <= replay_rows:
-        return steps, 0
-    steps = ws.write(steps, "steps")
-    largest = ws.rows(steps)
-    if largest > replay_rows:
-        largest = steps.groupBy("grp").count().agg(F.max("count")).first()[0]
-    if largest > replay_rows:
-        raise GroupTooLarge(largest)
-    return steps, largest
-
-
-def _replayed(ws: Workspace, steps: DataFrame, with_history: bool) -> DataFrame:
-    name = steps.schema["grp"].dataType.simpleString()
-    figures = ", ".join(f"{f} double" for f in [*rp.FIELDS, *[f"z_{f}" for f in rp.FIELDS]])
-    schema = f"kind int, seq bigint, root {name}, edges bigint, {figures}, history {SNAPSHOT}"
-    ordered = steps.repartition("grp").sortWithinPartitions("grp", "step", "kind")
-    return ws.write(ordered.mapInPandas(rp.replay(with_history), schema), "replayed")
-
-
-def _scored(replayed: DataFrame, edges: DataFrame) -> DataFrame:
-    events = replayed.where(F.col("kind") == rp.EVENT).drop("kind", "history")
-    s = scoring.score(F.col("z_distinct"), F.col("z_out_hh"), F.col("z_density"))
-    return (
-        events.withColumn("s", s)
-        .join(edges.where("merges").select("seq", "tnum", "sender", "receiver", "amount"), "seq")
-        .withColumn("level", scoring.level(F.col("s")))
-    )
+    forest = forest or merge_forest(ws, txn, group_rows=group_rows)
+    tree = mt.merge_tree(ws, forest, group_rows)
+    marked = mark_merges(ws, txn, forest, tree, group_rows)
+    return _scored(ws, marked, tree, None, depth, block, group_rows)
 
 
-def _groups(ws: Workspace, local: DataFrame, joins: DataFrame, group_rows: int) -> DataFrame:
-    """``(_a, grp, last_seq)``: where start components end, and the last merge there.
+def advance(
+    ws: Workspace,
+    marked: DataFrame,
+    book: Book,
+    forest: MergeForest,
+    group_rows: int = GROUP_ROWS,
+    depth: int = scoring.HISTORY_DEPTH,
+    block: int = mt.BLOCK,
+) -> tuple[DataFrame, Book]:
+    """Score the merges among ``marked`` and bring the book up to date.
 
-    ``joins`` has ``(a, seq)``, one start component of each merge.
+    ``marked`` have ``seq, tnum, sender, receiver, amount, out_hh, merges`` and the components ``a, b``
+    of both ends at the start; ``forest`` joins these.
     """
-    if not ws.is_known(local):
-        local = ws.write(local, "local")
-    newest = joins.groupBy("a").agg(F.max("seq").alias("seq"))
-    newest = newest.join(local, F.col("a") == F.col("account"))
-    sizes = newest.groupBy("component").agg(F.max("seq").alias("last_seq"))
-    hot = hot_keys(ws, local, "component", group_rows)
-    sized = lookup(local, "component", sizes, "component", "account", hot)
-    return ws.write(
-        sized.select(F.col("account").alias("_a"), F.col("component").alias("grp"), "last_seq"), "groups"
-    )
+    tree = mt.merge_tree(ws, forest, group_rows)
+    hot = hot_keys(ws, marked, "a", group_rows)
+    placed = ws.know(_placed(lookup(marked, "a", tree.places, "account", "seq", hot)), marked)
+    scored = _scored(ws, placed, tree, book, depth, block, group_rows)
+    return scored, _next_book(ws, marked, forest.members, scored, book, depth, group_rows)
 
 
 def _next_book(
-    ws: Workspace, edges: DataFrame, groups: DataFrame, replayed: DataFrame, book: Book, group_rows: int
+    ws: Workspace, edges: DataFrame, joined: DataFrame, scored: DataFrame, book: Book, depth: int, group_rows: int
 ) -> Book:
-    """The state after the epoch; sums are added, memberships renamed."""
+    """Members renamed, sizes and edges added, and the newest snapshots of what joined."""
     ends = F.array(
         F.struct(F.col("sender").alias("account"), F.col("a").alias("component"), F.lit(1).alias("sent")),
         F.struct(F.col("receiver").alias("account"), F.col("b").alias("component"), F.lit(0).alias("sent")),
@@ -203,7 +166,7 @@ def _next_book(
     touched = ws.write(touched, "touched")
     newcomers = touched.join(book.members.select("account"), "account", "left_anti").select("account", "component")
     renamed = F.coalesce("grp", "component").alias("component")
-    named = groups.select("_a", "grp")
+    named = joined.select(F.col("account").alias("_a"), F.col("component").alias("grp"))
     known = book.members.union(newcomers)
     # A newcomer is a component of its own, so only earlier members can crowd one.
     hot = hot_keys(ws, book.members, "component", group_rows)
@@ -219,114 +182,18 @@ def _next_book(
         .groupBy(renamed)
         .agg(F.sum("accounts").alias("accounts"), F.sum("edges").alias("edges"))
     )
-    fresh = replayed.where(F.col("kind") == rp.HISTORY).select(F.col("root").alias("component"), "history")
-    merged = groups.where("last_seq IS NOT NULL").select(F.col("_a").alias("component"))
-    kept = book.history.join(merged, "component", "left_anti")
+    fields = ["seq", *mt.FIELDS]
+    grouped = named.withColumnRenamed("_a", "component")
+    past = book.history.select("component", F.inline("history")).join(grouped, "component")
+    fresh = scored.select(F.col("root").alias("component"), *fields).join(grouped, "component")
+    kept = mt.newest_of(past.unionByName(fresh).select("grp", *fields), "grp", depth)
+    folded = kept.groupBy(F.col("grp").alias("component")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("history"))
+    untouched = book.history.join(named.withColumnRenamed("_a", "component"), "component", "left_anti")
     return Book(
-        ws.write(members, "members"), ws.write(stats, "stats"), ws.write(kept.union(fresh), "history")
+        ws.write(members, "members"), ws.write(stats, "stats"), ws.write(untouched.unionByName(folded), "history")
     )
 
 
-def apply_epoch(
-    ws: Workspace,
-    edges: DataFrame,
-    book: Book,
-    local: DataFrame | None = None,
-    replay_rows: int = REPLAY_ROWS,
-    group_rows: int = GROUP_ROWS,
-) -> tuple[DataFrame, Book, int]:
-    """Score the merges among ``edges`` and advance the book; also the rows of the largest group.
-
-    ``edges`` have ``seq, tnum, sender, receiver, amount, out_hh, merges``.  Where the caller has
-    them, edges carry ``a`` and ``b`` already, and ``local`` says which of these
-    start components end up together.
-    """
-    started = edges
-    if "a" not in edges.columns:
-        started = ws.write(at_start(ws, edges, book, group_rows), "started")
-    if local is None:
-        local = components(ws, started.where("merges"), "a", "b", group_rows)
-    groups = _groups(ws, local, started.where("merges").select("a", "seq"), group_rows)
-    steps, largest = _fitting(ws, _steps(ws, started, groups, book, group_rows), started, replay_rows)
-    replayed = _replayed(ws, steps, with_history=True)
-    return _scored(replayed, edges), _next_book(ws, started, groups, replayed, book, group_rows), largest
-
-
-def merge_scores(
-    ws: Workspace,
-    txn: DataFrame,
-    forest: MergeForest | None = None,
-    replay_rows: int = REPLAY_ROWS,
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
-    """One row per merge event, in the state the merge leaves.
-
-    Columns: ``seq, tnum, sender, receiver, amount, root, distinct, edges,
-    out_hh, density, z_distinct, z_out_hh, z_density, s, level``.
-    """
-    forest = forest or merge_forest(ws, txn, group_rows=group_rows)
-    joins = forest.seqs.select(F.col("u").alias("a"), "seq")
-    groups = _groups(ws, forest.members, joins, group_rows)
-    marked = mark_merges(ws, txn, forest, groups, group_rows)
-    whole = ws.know(marked.withColumn("a", F.col("sender")).withColumn("b", F.col("receiver")), marked)
-    try:
-        steps, _ = _fitting(ws, _steps(ws, whole, groups, None, group_rows), whole, replay_rows)
-    except GroupTooLarge as large:
-        edges = ws.know(marked.drop("grp", "last_seq"), marked)
-        return _by_epochs(ws, edges, Book.empty(marked), large.rows, replay_rows, group_rows)[0]
-    return _scored(_replayed(ws, steps, with_history=False), marked)
-
-
-def advance(
-    ws: Workspace,
-    marked: DataFrame,
-    book: Book,
-    local: DataFrame | None = None,
-    replay_rows: int = REPLAY_ROWS,
-    group_rows: int = GROUP_ROWS,
-) -> tuple[DataFrame, Book]:
-    """Take marked edges in epochs short enough for every group to be replayed by one task.
-
-    The first try is one epoch; ``local`` and the columns ``a, b`` of the edges,
-    if given, are for that one.
-    """
-    try:
-        return apply_epoch(ws, marked, book, local, replay_rows, group_rows)[:2]
-    except GroupTooLarge as large:
-        return _by_epochs(ws, marked.drop("a", "b"), book, large.rows, replay_rows, group_rows)
-
-
-def _by_epochs(
-    ws: Workspace, edges: DataFrame, book: Book, largest: int, replay_rows: int, group_rows: int
-) -> tuple[DataFrame, Book]:
-    """Epochs whose length follows from the largest group of the one before."""
-    at, last = edges.agg(F.min("seq"), F.max("seq")).first()
-    length = _fitted(last - at + 1, largest, replay_rows)
-    parts: list[DataFrame] = []
-    while at <= last:
-        epoch = ws.write(edges.where(F.col("seq").between(at, at + length - 1)), "epoch")
-        # A single arrival makes a few rows at most, so it is always taken.
-        allowed = replay_rows if length > 1 else 1 << 62
-        try:
-            scored, book, largest = apply_epoch(ws, epoch, book, None, allowed, group_rows)
-        except GroupTooLarge as large:
-            length = min(length // 2, _fitted(length, large.rows, replay_rows))
-            length = max(1, length)
-            continue
-        parts.append(ws.write(scored, "scored"))
-        at += length
-        length = min(2 * length, _fitted(length, largest, replay_rows)) if largest else 2 * length
-    result = parts[0]
-    for more in parts[1:]:
-        result = result.unionByName(more)
-    return result, book
-
-
-def _fitted(length: int, largest: int, replay_rows: int) -> int:
-    """The length at which the largest group would take four fifths of what a task replays."""
-    return max(1, int(length * 0.8 * replay_rows / largest))
-
-
 def alerts(scored: DataFrame, min_level: str = "LOW") -> DataFrame:
     """Alert rows with the sink's columns, order and rounding."""
     levels = ["LOW", "MED", "HIGH"]

@@ -116,6 +116,42 @@ def running_sum(
     )
 
 
+def running(
+    df: DataFrame,
+    key: str,
+    order: str,
+    sums: dict[str, Column],
+    least: dict[str, Column],
+    hot: DataFrame | None = None,
+    slice_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """``df`` with several inclusive running sums and running minima per ``key`` by ``order``.
+
+    As :func:`running_sum`, for more than one figure in one shuffle.  Nulls count as nothing.
+    """
+
+    def over(window) -> list[Column]:
+        added = [F.coalesce(F.sum(v).over(window), F.lit(0)).alias(n) for n, v in sums.items()]
+        return added + [F.min(v).over(window).alias(n) for n, v in least.items()]
+
+    def upto(*keys: str, by: str, end: int):
+        return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, end)
+
+    if hot is None:
+        return df.select("*", *over(upto(key, by=order, end=0)))
+    sliced = _sliced(df, key, F.floor(F.col(order) / slice_rows), hot)
+    totals = sliced.where("_is_hot").groupBy(key, "_slice").agg(
+        *[F.sum(v).alias(f"_{n}") for n, v in sums.items()], *[F.min(v).alias(f"_{n}") for n, v in least.items()]
+    )
+    before = upto(key, by="_slice", end=-1)
+    earlier = [F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums] + [F.min(f"_{n}").over(before).alias(f"_{n}") for n in least]
+    joined = sliced.select("*", *over(upto(key, "_slice", by=order, end=0))).join(
+        totals.select(key, "_slice", *earlier), [key, "_slice"], "left"
+    )
+    whole = [(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in sums]
+    return joined.select(*[f"`{c}`" for c in df.columns], *whole, *[F.least(n, f"_{n}").alias(n) for n in least])
+
+
 def trailing(
     df: DataFrame,
     key: str,

@@ -37,10 +37,10 @@ def transfers(spark: SparkSession, sf_dir: str, block: int, keep: tuple[str, ...
     )
 
 
-def _arrived(ws: Workspace, rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    numbered = number_rows(ws, rows, ORDER_KEY)
+def _arrived(ws: Workspace, rows: DataFrame, keep: tuple[str, ...], order: list[str] = ORDER_KEY) -> DataFrame:
+    numbered = number_rows(ws, rows, order)
     tnum = F.unix_timestamp("ts").cast("double").alias("tnum")
-    return ws.know(numbered.select("seq", "ts", tnum, "sender", "receiver", "amount", *keep), numbered)
+    return ws.write(numbered.select("seq", "ts", tnum, "sender", "receiver", "amount", *keep), "txn")
 
 
 #: Accounts per block of the two graphs; both take every line item.
@@ -56,6 +56,23 @@ def txn_dense(ws: Workspace, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFra
     return _arrived(ws, transfers(ws.spark, sf_dir, DENSE, keep), keep)
 
 
+#: Accounts per block of the graph of orders.
+LARGE = 400
+
+
+def txn_large(ws: Workspace, sf_dir: str) -> DataFrame:
+    """All orders as transfers from their customer to an account of the same block of 400; a few large components."""
+    rows = table(ws.spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.col("o_custkey").alias("sender"),
+        (F.col("o_custkey") - F.col("o_custkey") % LARGE + (F.col("o_orderkey") * 31 + 7) % LARGE).alias("receiver"),
+        F.col("o_totalprice").alias("amount"),
+        "o_orderdate",
+        "o_orderkey",
+    )
+    return _arrived(ws, rows, (), ["o_orderdate", "o_orderkey"])
+
+
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring customers of one nation, taken as one entity."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")

@@ -14,6 +14,11 @@ def _txn(block: int, extra: str = "") -> str:
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
+TXN_LARGE = """txn AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq, o_orderdate AS ts, o_custkey AS sender,
+         o_custkey - o_custkey % 400 + (o_orderkey * 31 + 7) % 400 AS receiver, o_totalprice AS amount FROM orders)"""
+
+
 def _members(source: str = "txn", a: str = "sender", b: str = "receiver", prefix: str = "") -> str:
     return f"""{prefix}e AS (SELECT {a} AS u, {b} AS v FROM {source} UNION SELECT {b}, {a} FROM {source}),
     {prefix}r(a, n) AS (SELECT DISTINCT u, u FROM {prefix}e
@@ -62,8 +67,7 @@ b(s, n) AS (SELECT seq, sender FROM txn UNION SELECT b.s, me.v FROM b JOIN me ON
 merge AS MATERIALIZED (SELECT t.* FROM txn t WHERE sender <> receiver
           AND NOT EXISTS (SELECT 1 FROM b WHERE b.s = t.seq AND b.n = t.receiver))"""
 
-SCORED = f"""{MERGES},
-i(s, n) AS (SELECT seq, sender FROM merge UNION SELECT i.s, me.v FROM i JOIN me ON me.u = i.n AND me.seq <= i.s),
+_INSIDE = f"""i(s, n) AS (SELECT seq, sender FROM merge UNION SELECT i.s, me.v FROM i JOIN me ON me.u = i.n AND me.seq <= i.s),
 inside AS MATERIALIZED (SELECT s, n FROM i),
 sizes AS (SELECT s, count(*) AS n, min(n) AS root FROM inside GROUP BY s),
 counts AS (SELECT s, count(*) AS e FROM inside JOIN txn ON txn.sender = inside.n AND txn.seq <= inside.s GROUP BY s),
@@ -75,14 +79,43 @@ now AS MATERIALIZED (
 past AS (
   SELECT s, list(d) AS hd, list(hh) AS hhh, list(rho) AS hr FROM (
     SELECT inside.s, now.*, row_number() OVER (PARTITION BY inside.s ORDER BY now.seq DESC) AS k
-    FROM inside JOIN merge m ON m.sender = inside.n AND m.seq < inside.s JOIN now ON now.seq = m.seq) WHERE k <= 256 GROUP BY s),
-zs AS (
+    FROM inside JOIN merge m ON m.sender = inside.n AND m.seq < inside.s JOIN now ON now.seq = m.seq) WHERE k <= 256 GROUP BY s)"""
+
+_Z_VALUES = f"""zs AS (
   SELECT now.*, CASE WHEN hd IS NULL THEN 0.0 ELSE {_z('d', 'hd')} END AS z1,
          CASE WHEN hd IS NULL THEN 0.0 ELSE {_z('hh', 'hhh')} END AS z2,
          CASE WHEN hd IS NULL THEN 0.0 ELSE {_z('rho', 'hr')} END AS z3
   FROM now LEFT JOIN past ON past.s = now.seq),
 scored AS MATERIALIZED (SELECT *, 0.4 * z1 + 0.4 * z2 + 0.2 * z3 AS s FROM zs)"""
 
+SCORED = f"{MERGES},\n{_INSIDE},\n{_Z_VALUES}"
+
+#: Union-find over blocks of 400 accounts in order of arrival: per edge the smallest account of every account's
+#: component, and the edges of each component under its smallest account.
+LARGE_SCORED = f"""numbered AS MATERIALIZED (
+  SELECT *, sender // 400 AS block, row_number() OVER (PARTITION BY sender // 400 ORDER BY seq) AS k FROM txn),
+state(block, k, seq, joins, least, label, counted) AS (
+  SELECT DISTINCT block, 0::BIGINT, 0::BIGINT, false, 0::BIGINT, range(400), list_transform(range(400), lambda x: 0::BIGINT) FROM numbered
+  UNION ALL
+  SELECT block, k, seq, a <> b, least(a, b), CASE WHEN a = b THEN label ELSE
+      list_transform(label, lambda x: CASE WHEN x = greatest(a, b) THEN least(a, b) ELSE x END) END,
+    list_transform(counted, lambda c, i: CASE WHEN i - 1 = least(a, b)
+      THEN c + 1 + CASE WHEN a <> b THEN counted[greatest(a, b) + 1] ELSE 0 END ELSE c END)
+  FROM (SELECT n.block, n.k, n.seq, label, counted, label[n.sender % 400 + 1] AS a, label[n.receiver % 400 + 1] AS b
+        FROM state JOIN numbered n ON n.block = state.block AND n.k = state.k + 1)),
+{OUTFLOW},
+joined AS MATERIALIZED (
+  SELECT seq, block, least, label, sender, len(list_filter(label, lambda x: x = least)) AS n, counted[least + 1] AS e, out_hh::DOUBLE AS hh
+  FROM state JOIN outflow USING (seq) WHERE joins),
+now AS MATERIALIZED (
+  SELECT seq, block * 400 + least AS root, n::DOUBLE AS d, e, hh, 2.0 * e / (n::DOUBLE * (n - 1)) AS rho FROM joined),
+past AS (
+  SELECT s, list(d) AS hd, list(hh) AS hhh, list(rho) AS hr FROM (
+    SELECT x.seq AS s, now.*, row_number() OVER (PARTITION BY x.seq ORDER BY y.seq DESC) AS k
+    FROM joined x JOIN joined y ON y.block = x.block AND y.seq < x.seq AND x.label[y.sender % 400 + 1] = x.least
+    JOIN now ON now.seq = y.seq) WHERE k <= 256 GROUP BY s),
+{_Z_VALUES}"""
+
 KMV_HASH = "(({x} * 1103515245 + 12345) % 2147483647)"
 
 
@@ -121,7 +154,11 @@ snap AS MATERIALIZED (
     FROM per LEFT JOIN born USING (component, interval) JOIN outflow ON outflow.seq = last_seq
     WINDOW w AS (PARTITION BY component ORDER BY interval ROWS UNBOUNDED PRECEDING)))"""
 
-SUM_AND_LEVEL = "CASE WHEN abs(s) < 1e6 THEN round(s, 3) END AS s"
+
+def _six(x: str) -> str:
+    """Six significant digits; the factor decides ties, which the two engines round differently."""
+    return f"printf('%.5e', {x} * 1.0000000000001 + 0.0)::DOUBLE"
+
 
 PAIRS = """p AS MATERIALIZED (SELECT DISTINCT sender AS u, receiver AS v FROM txn WHERE sender <> receiver)"""
 
@@ -146,6 +183,49 @@ g AS (SELECT label, support, CASE WHEN predicted > 0 THEN hits / predicted ELSE
 h AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM g)"""
 
 
+def _summary(txn: str, scored: str, k: int) -> str:
+    return _recursive(
+        txn, _members(), STATS, scored, _kmv("members", k),
+        "big AS (SELECT * FROM rated ORDER BY accounts DESC, component LIMIT 1)",
+        "lm AS (SELECT * FROM scored ORDER BY seq DESC LIMIT 1)",
+        """top AS (SELECT row_number() OVER (ORDER BY est_out DESC, first_seq) AS place, account, component, est_out, out_flow / 4096 AS bound FROM (
+  SELECT sender AS account, min(seq) AS first_seq FROM txn WHERE seq > (SELECT max(seq) FROM txn) - 500 GROUP BY 1)
+  JOIN (SELECT sender AS account, sum(trunc(greatest(1.0, amount))::BIGINT)::BIGINT AS est_out FROM txn GROUP BY 1) USING (account)
+  JOIN members USING (account) JOIN stats USING (component) ORDER BY est_out DESC, first_seq LIMIT 5)""",
+        body=f"""SELECT 'components' AS item, count(*)::VARCHAR AS value FROM rated
+UNION ALL SELECT 'edges', sum(edges)::BIGINT::VARCHAR FROM rated
+UNION ALL SELECT 'largest', component::VARCHAR FROM big UNION ALL SELECT 'largest_accounts', accounts::VARCHAR FROM big
+UNION ALL SELECT 'densest', (SELECT component FROM rated WHERE density > 0 ORDER BY density DESC, component LIMIT 1)::VARCHAR
+UNION ALL SELECT 'top_senders', string_agg(concat(place, ':', account, '/', component, '~', est_out, ' (+', trunc(bound)::BIGINT, ')'), ', ' ORDER BY place) FROM top
+UNION ALL SELECT 'last_merge_seq', seq::VARCHAR FROM lm UNION ALL SELECT 'last_merge_root', root::VARCHAR FROM lm
+UNION ALL SELECT 'last_merge_marker', CASE WHEN lm.s >= 3 THEN 'red' WHEN lm.s >= 2 THEN 'orange' ELSE 'green' END FROM lm
+UNION ALL SELECT 'last_merge_reason', {REASON} FROM lm
+UNION ALL SELECT 'kmv_samples', n_samples::VARCHAR FROM kmv JOIN big USING (component)
+UNION ALL SELECT 'kmv_r_k', CASE WHEN n_samples >= {k} THEN top::VARCHAR ELSE 'none' END FROM kmv JOIN big USING (component)
+UNION ALL SELECT 'cms_bound_out', trunc(out_flow / 4096)::BIGINT::VARCHAR FROM big""",
+    )
+
+
+def _refined(txn: str, least: int, window: int) -> str:
+    return _recursive(
+        txn, _members(), STATS,
+        f"""win AS MATERIALIZED (SELECT component, seq, sender, receiver, amount FROM txn JOIN members ON account = sender
+  WHERE component IN (SELECT component FROM rated WHERE edges >= {least})
+  QUALIFY row_number() OVER (PARTITION BY component ORDER BY seq DESC) <= {window})""",
+        """mutual AS MATERIALIZED (SELECT DISTINCT x.component, x.sender AS a, x.receiver AS b FROM win x JOIN win y
+  ON x.component = y.component AND y.sender = x.receiver AND y.receiver = x.sender WHERE x.sender <> x.receiver)""",
+        _members("mutual", "a", "b", "q"),
+        """blk AS MATERIALIZED (SELECT DISTINCT m.component, q.account, q.component AS block FROM qmembers q JOIN mutual m ON m.a = q.account)""",
+        """size AS (SELECT component, block, count(*) AS accounts FROM blk GROUP BY ALL)""",
+        """flow AS (SELECT s.block, count(*) AS edges, sum(greatest(1.0, amount)) AS out_flow FROM win
+  JOIN blk s ON s.account = sender JOIN blk d ON d.account = receiver AND d.block = s.block GROUP BY 1)""",
+        body=f"""SELECT component, block, true AS refined, accounts, edges, round(out_flow, 2) AS out_flow,
+  round(2.0 * edges / (accounts::DOUBLE * (accounts - 1)), 6) AS density FROM size JOIN flow USING (block)
+UNION ALL SELECT component, component, false, accounts, edges::BIGINT, round(out_flow, 2), round(density, 6) FROM rated
+WHERE edges >= {least} AND component NOT IN (SELECT component FROM blk)""",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     sparse, dense = _txn(SPARSE), _txn(DENSE)
     components = (sparse, _members())
@@ -155,6 +235,12 @@ def oracle_sql() -> dict[str, str]:
                             FROM x LEFT JOIN kmembers km ON km.account = x.account)"""
     between = """cg AS MATERIALIZED (SELECT s.component AS cu, d.component AS cv, amount AS w FROM txn
       JOIN entity s ON s.account = sender JOIN entity d ON d.account = receiver WHERE s.component <> d.component)"""
+    large = TXN_LARGE
+    judged_merges = f"""SELECT seq, root, d AS distinct, e AS edges, hh AS out_hh, round(rho, 6) AS density,
+  {_six('scored.s')} AS s, {LEVEL.replace('s >=', 'scored.s >=')} AS level, {REASON} AS reason FROM scored"""
+    alerts = f"""SELECT epoch(ts)::DOUBLE AS time, root::VARCHAR AS root, sender::VARCHAR AS src, receiver::VARCHAR AS dst, amount,
+  {_six('round(s, 4)')} AS S, {LEVEL} AS level, d AS distinct, hh AS out_hh, round(rho, 6) AS density, {_six('round(z1, 3)')} AS z_distinct,
+  {_six('round(z2, 3)')} AS z_out_hh, {_six('round(z3, 3)')} AS z_density FROM scored JOIN txn USING (seq)"""
     return {
         "txn_normalised": """
 WITH raw AS (
@@ -221,6 +307,7 @@ JOIN (SELECT sender AS account, sum(trunc(greatest(1.0, amount))::BIGINT)::BIGIN
 JOIN members USING (account) JOIN stats USING (component) ORDER BY est_out DESC, first_seq LIMIT 5""",
         ),
         "kmv_distinct": _recursive(*components, _kmv("members", 4), body=_kmv_select(4)),
+        "large_kmv_distinct": _recursive(large, _members(), _kmv("members", 128), body=_kmv_select(128)),
         "kmv_by_region": f"""
 WITH m AS (SELECT c_custkey AS account, n_regionkey AS component FROM customer JOIN nation ON c_nationkey = n_nationkey),
 {_kmv('m', 128)} {_kmv_select(128)}""",
@@ -255,43 +342,19 @@ FROM asked LEFT JOIN cells USING (component, row, cell) GROUP BY ALL""",
 WHERE seq > (SELECT count(*) - count(*) // 2 FROM txn)
 QUALIFY row_number() OVER (PARTITION BY component ORDER BY seq DESC) <= 8""",
         ),
-        "refine_blocks": _recursive(
-            dense, _members(), STATS,
-            """win AS MATERIALIZED (SELECT component, seq, sender, receiver, amount FROM txn JOIN members ON account = sender
-  WHERE component IN (SELECT component FROM rated WHERE edges >= 20)
-  QUALIFY row_number() OVER (PARTITION BY component ORDER BY seq DESC) <= 25)""",
-            """mutual AS MATERIALIZED (SELECT DISTINCT x.component, x.sender AS a, x.receiver AS b FROM win x JOIN win y
-  ON x.component = y.component AND y.sender = x.receiver AND y.receiver = x.sender WHERE x.sender <> x.receiver)""",
-            _members("mutual", "a", "b", "q"),
-            """blk AS MATERIALIZED (SELECT DISTINCT m.component, q.account, q.component AS block FROM qmembers q JOIN mutual m ON m.a = q.account)""",
-            """size AS (SELECT component, block, count(*) AS accounts FROM blk GROUP BY ALL)""",
-            """flow AS (SELECT s.block, count(*) AS edges, sum(greatest(1.0, amount)) AS out_flow FROM win
-  JOIN blk s ON s.account = sender JOIN blk d ON d.account = receiver AND d.block = s.block GROUP BY 1)""",
-            body="""SELECT component, block, true AS refined, accounts, edges, round(out_flow, 2) AS out_flow,
-  round(2.0 * edges / (accounts::DOUBLE * (accounts - 1)), 6) AS density FROM size JOIN flow USING (block)
-UNION ALL SELECT component, component, false, accounts, edges::BIGINT, round(out_flow, 2), round(density, 6) FROM rated
-WHERE edges >= 20 AND component NOT IN (SELECT component FROM blk)""",
-        ),
+        "refine_blocks": _refined(dense, 20, 25),
+        "large_refine_blocks": _refined(large, 0, 2000),
         "merge_events": _recursive(sparse, MERGES, body="SELECT seq, sender, receiver FROM merge"),
-        "merge_scores": _recursive(
-            sparse, SCORED,
-            body=f"""SELECT seq, root, d AS distinct, e AS edges, hh AS out_hh, round(rho, 6) AS density,
-  {SUM_AND_LEVEL.replace('s,', 'scored.s,').replace('abs(s)', 'abs(scored.s)')}, {LEVEL.replace('s >=', 'scored.s >=')} AS level, {REASON} AS reason FROM scored""",
-        ),
-        "alert_csv": _recursive(
-            sparse, SCORED,
-            body=f"""SELECT epoch(ts)::DOUBLE AS time, root::VARCHAR AS root, sender::VARCHAR AS src, receiver::VARCHAR AS dst, amount,
-  CASE WHEN abs(s) < 1e6 THEN round(s, 4) END AS S, {LEVEL} AS level, d AS distinct, hh AS out_hh, round(rho, 6) AS density,
-  CASE WHEN abs(z1) < 1e6 THEN round(z1, 3) END AS z_distinct,
-  CASE WHEN abs(z2) < 1e6 THEN round(z2, 3) END AS z_out_hh,
-  CASE WHEN abs(z3) < 1e6 THEN round(z3, 3) END AS z_density FROM scored JOIN txn USING (seq)""",
-        ),
+        "merge_scores": _recursive(sparse, SCORED, body=judged_merges),
+        "large_merge_scores": _recursive(large, LARGE_SCORED, body=judged_merges),
+        "alert_csv": _recursive(sparse, SCORED, body=alerts),
+        "large_alert_csv": _recursive(large, LARGE_SCORED, body=alerts),
         "interval_scores": _recursive(
             *components, SNAPSHOTS,
             f"""hist AS (SELECT *, list(accounts::DOUBLE) OVER w AS hd, list(out_hh) OVER w AS hhh, list(density) OVER w AS hr FROM snap
   WINDOW w AS (PARTITION BY component ORDER BY interval ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))""",
             f"""sc AS (SELECT *, CASE WHEN hd IS NULL THEN 0.0 ELSE 0.4 * {_z('accounts', 'hd')} + 0.4 * {_z('out_hh', 'hhh')} + 0.2 * {_z('density', 'hr')} END AS s FROM hist)""",
-            body=f"SELECT component, interval, last_seq, accounts, edges, out_hh, round(density, 6) AS density, {SUM_AND_LEVEL.replace('s,', 'sc.s,').replace('abs(s)', 'abs(sc.s)')}, {LEVEL.replace('s >=', 'sc.s >=')} AS level FROM sc",
+            body=f"SELECT component, interval, last_seq, accounts, edges, out_hh, round(density, 6) AS density, {_six('sc.s')} AS s, {LEVEL.replace('s >=', 'sc.s >=')} AS level FROM sc",
         ),
         "latest_interval": _recursive(
             *components, SNAPSHOTS,
@@ -303,28 +366,10 @@ QUALIFY row_number() OVER (PARTITION BY component ORDER BY interval DESC) = 1"""
             """h AS (SELECT seq, component, amount, list(amount) OVER (PARTITION BY component ORDER BY seq
   ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS past FROM txn JOIN members ON sender = account)""",
             f"zz AS (SELECT seq, component, CASE WHEN past IS NULL THEN 0.0 ELSE {_z('amount', 'past')} END AS raw FROM h)",
-            body="SELECT seq, component, CASE WHEN abs(raw) < 1e6 THEN round(raw, 3) END AS z FROM zz",
-        ),
-        "summary_report": _recursive(
-            *components, STATS, SCORED.replace("sizes", "msizes"), _kmv("members", 8),
-            "big AS (SELECT * FROM rated ORDER BY accounts DESC, component LIMIT 1)",
-            "lm AS (SELECT * FROM scored ORDER BY seq DESC LIMIT 1)",
-            """top AS (SELECT row_number() OVER (ORDER BY est_out DESC, first_seq) AS place, account, component, est_out, out_flow / 4096 AS bound FROM (
-  SELECT sender AS account, min(seq) AS first_seq FROM txn WHERE seq > (SELECT max(seq) FROM txn) - 500 GROUP BY 1)
-  JOIN (SELECT sender AS account, sum(trunc(greatest(1.0, amount))::BIGINT)::BIGINT AS est_out FROM txn GROUP BY 1) USING (account)
-  JOIN members USING (account) JOIN stats USING (component) ORDER BY est_out DESC, first_seq LIMIT 5)""",
-            body=f"""SELECT 'components' AS item, count(*)::VARCHAR AS value FROM rated
-UNION ALL SELECT 'edges', sum(edges)::BIGINT::VARCHAR FROM rated
-UNION ALL SELECT 'largest', component::VARCHAR FROM big UNION ALL SELECT 'largest_accounts', accounts::VARCHAR FROM big
-UNION ALL SELECT 'densest', (SELECT component FROM rated WHERE density > 0 ORDER BY density DESC, component LIMIT 1)::VARCHAR
-UNION ALL SELECT 'top_senders', string_agg(concat(place, ':', account, '/', component, '~', est_out, ' (+', trunc(bound)::BIGINT, ')'), ', ' ORDER BY place) FROM top
-UNION ALL SELECT 'last_merge_seq', seq::VARCHAR FROM lm UNION ALL SELECT 'last_merge_root', root::VARCHAR FROM lm
-UNION ALL SELECT 'last_merge_marker', CASE WHEN lm.s >= 3 THEN 'red' WHEN lm.s >= 2 THEN 'orange' ELSE 'green' END FROM lm
-UNION ALL SELECT 'last_merge_reason', {REASON} FROM lm
-UNION ALL SELECT 'kmv_samples', n_samples::VARCHAR FROM kmv JOIN big USING (component)
-UNION ALL SELECT 'kmv_r_k', CASE WHEN n_samples >= 8 THEN top::VARCHAR ELSE 'none' END FROM kmv JOIN big USING (component)
-UNION ALL SELECT 'cms_bound_out', trunc(out_flow / 4096)::BIGINT::VARCHAR FROM big""",
+            body=f"SELECT seq, component, {_six('raw')} AS z FROM zz",
         ),
+        "summary_report": _summary(sparse, SCORED.replace("sizes", "msizes"), 8),
+        "large_summary_report": _summary(large, LARGE_SCORED, 128),
         "graph_features": _recursive(
             *components, PAIRS, RECIPROCITY, STATS,
             "deg AS (SELECT a, count(*) AS degree FROM (SELECT u AS a FROM p UNION ALL SELECT v FROM p) GROUP BY 1)",

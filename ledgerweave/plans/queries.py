@@ -32,9 +32,6 @@ from ledgerweave.workspace import Workspace
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# z values beyond this come from a zero spread and are not compared as numbers.
-COMPARABLE = 1e6
-
 
 def query(build: Callable[[Workspace, str], DataFrame]) -> Query:
     """Register ``build`` under its own name, with a fresh workspace per run."""
@@ -46,8 +43,12 @@ def query(build: Callable[[Workspace, str], DataFrame]) -> Query:
     return run
 
 
-def comparable(c: str, digits: int) -> Column:
-    return F.when(F.abs(c) < COMPARABLE, F.round(c, digits))
+def six(c: str) -> Column:
+    """The value to six significant digits, whatever its size; z values grow without bound where the spread is 0.
+
+    The factor decides ties, which the two engines round differently.
+    """
+    return F.format_string("%.5e", F.col(c) * F.lit(1.0000000000001) + F.lit(0.0)).cast("double")
 
 
 # --- sources and scalars -------------------------------------------------------
@@ -192,6 +193,13 @@ def kmv_distinct(ws: Workspace, sf_dir: str) -> DataFrame:
     return _kmv(sketches.kmv_samples(members, 4), 4)
 
 
+@query
+def large_kmv_distinct(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Components several times as large as the sample."""
+    members = components.components(ws, fx.txn_large(ws, sf_dir))
+    return _kmv(sketches.kmv_samples(members), sketches.KMV_K)
+
+
 @query
 def kmv_by_region(ws: Workspace, sf_dir: str) -> DataFrame:
     """Groups larger than the sample size."""
@@ -271,6 +279,15 @@ def refine_blocks(ws: Workspace, sf_dir: str) -> DataFrame:
     return found.withColumn("out_flow", F.round("out_flow", 2)).withColumn("density", F.round("density", 6))
 
 
+@query
+def large_refine_blocks(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Components of 400 accounts, each seen through its last 2,000 edges."""
+    txn = fx.txn_large(ws, sf_dir)
+    members = ws.write(components.components(ws, txn), "members")
+    found = refine.refine(ws, txn, members, members.select("component").distinct(), component_edges=2000).blocks
+    return found.withColumn("out_flow", F.round("out_flow", 2)).withColumn("density", F.round("density", 6))
+
+
 # --- merge events and intervals ------------------------------------------------
 
 
@@ -281,30 +298,42 @@ def merge_events(ws: Workspace, sf_dir: str) -> DataFrame:
     return txn.join(forest.seqs.select("seq"), "seq").select("seq", "sender", "receiver")
 
 
-def _scored(ws: Workspace, sf_dir: str) -> tuple[DataFrame, components.MergeForest, DataFrame]:
-    txn = fx.txn(ws, sf_dir)
-    forest = components.merge_forest(ws, txn)
-    return txn, forest, merges.merge_scores(ws, txn, forest)
-
-
-@query
-def merge_scores(ws: Workspace, sf_dir: str) -> DataFrame:
-    scored = _scored(ws, sf_dir)[2]
+def _judged_merges(scored: DataFrame) -> DataFrame:
     z = [F.col(c) for c in ("z_distinct", "z_out_hh", "z_density")]
     return scored.select(
         "seq", "root", "distinct", "edges", "out_hh", F.round("density", 6).alias("density"),
-        comparable("s", 3).alias("s"), "level", scoring.reason(*z).alias("reason"),
+        six("s").alias("s"), "level", scoring.reason(*z).alias("reason"),
     )
 
 
 @query
-def alert_csv(ws: Workspace, sf_dir: str) -> DataFrame:
-    """Alerts written as CSV and read back."""
+def merge_scores(ws: Workspace, sf_dir: str) -> DataFrame:
+    return _judged_merges(merges.merge_scores(ws, fx.txn(ws, sf_dir)))
+
+
+@query
+def large_merge_scores(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Components of 400 accounts, whose past is longer than the history kept."""
+    return _judged_merges(merges.merge_scores(ws, fx.txn_large(ws, sf_dir)))
+
+
+def _written_alerts(ws: Workspace, txn: DataFrame) -> DataFrame:
     folder = f"{ws.root}/alerts"
-    sinks.write_alerts(merges.alerts(_scored(ws, sf_dir)[2]), folder)
+    sinks.write_alerts(merges.alerts(merges.merge_scores(ws, txn)), folder)
     back = sinks.read_alerts(ws.spark, folder)
-    uncertain = {"S": 4, "z_distinct": 3, "z_out_hh": 3, "z_density": 3}
-    return back.select(*[comparable(c, uncertain[c]).alias(c) if c in uncertain else F.col(c) for c in back.columns])
+    uncertain = ("S", "z_distinct", "z_out_hh", "z_density")
+    return back.select(*[six(c).alias(c) if c in uncertain else F.col(c) for c in back.columns])
+
+
+@query
+def alert_csv(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Alerts written as CSV and read back."""
+    return _written_alerts(ws, fx.txn(ws, sf_dir))
+
+
+@query
+def large_alert_csv(ws: Workspace, sf_dir: str) -> DataFrame:
+    return _written_alerts(ws, fx.txn_large(ws, sf_dir))
 
 
 @query
@@ -316,7 +345,7 @@ def interval_scores(ws: Workspace, sf_dir: str) -> DataFrame:
     scored = intervals.interval_scores(ws, txn, members, every, depth=8)
     return scored.select(
         "component", "interval", "last_seq", "accounts", "edges", "out_hh", F.round("density", 6).alias("density"),
-        comparable("s", 3).alias("s"), "level",
+        six("s").alias("s"), "level",
     )
 
 
@@ -337,14 +366,23 @@ def robust_z(ws: Workspace, sf_dir: str) -> DataFrame:
     tagged = ws.write(tagged, "tagged")
     past = ordering.trailing(tagged, "component", "seq", ["amount"], 16, "past", hot_keys(ws, tagged, "component"))
     z = past.withColumn("z", scoring.robust_z(F.col("amount"), F.col("past.amount")))
-    return z.select("seq", "component", comparable("z", 3).alias("z"))
+    return z.select("seq", "component", six("z").alias("z"))
+
+
+def _report(ws: Workspace, txn: DataFrame, kmv_k: int) -> DataFrame:
+    forest = components.merge_forest(ws, txn)
+    scored = merges.merge_scores(ws, txn, forest)
+    return summary.report(summary.summary(ws, txn, forest.members, scored, recent=500, kmv_k=kmv_k))
 
 
 @query
 def summary_report(ws: Workspace, sf_dir: str) -> DataFrame:
-    txn, forest, scored = _scored(ws, sf_dir)
-    row = summary.summary(ws, txn, forest.members, ws.write(scored, "scored"), recent=500, kmv_k=8)
-    return summary.report(row)
+    return _report(ws, fx.txn(ws, sf_dir), 8)
+
+
+@query
+def large_summary_report(ws: Workspace, sf_dir: str) -> DataFrame:
+    return _report(ws, fx.txn_large(ws, sf_dir), sketches.KMV_K)
 
 
 # --- graph features ------------------------------------------------------------

@@ -44,7 +44,6 @@ class Ledger:
         refine_on_high: bool = False,
         window_edges: int = WINDOW_EDGES,
         component_edges: int = COMPONENT_EDGES,
-        replay_rows: int = merges.REPLAY_ROWS,
         group_rows: int = GROUP_ROWS,
         csv_folder: str | None = None,
     ):
@@ -52,7 +51,7 @@ class Ledger:
         self.folder = folder.rstrip("/")
         self.refine_on_high = refine_on_high
         self.window_edges, self.component_edges = window_edges, component_edges
-        self.replay_rows, self.group_rows = replay_rows, group_rows
+        self.group_rows = group_rows
         self.csv_folder = csv_folder
 
     def start(self, edges: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -78,7 +77,7 @@ class Ledger:
         last += ws.rows(edges)
         forest = merge_forest(ws, edges, "a", "b", group_rows=self.group_rows)
         marked = self._marked(ws, edges, flow, forest)
-        scored, book = merges.advance(ws, marked, book, forest.members, self.replay_rows, self.group_rows)
+        scored, book = merges.advance(ws, marked, book, forest, self.group_rows)
         self._put(edges.select("seq", "tnum", "sender", "receiver", "amount"), f"edges/v={batch_id}")
         if self.refine_on_high:
             scored = ws.write(scored, "scored")

@@ -7,7 +7,7 @@ import reference_models as model
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import scoring
-from ledgerweave.operators import intervals, merges
+from ledgerweave.operators import intervals, mergetree, merges
 from ledgerweave.operators import components as C
 from ledgerweave.workspace import Workspace
 
@@ -38,12 +38,38 @@ def test_scores_equal_a_sequential_replay(spark):
     assert model.same_scores(scores(found), model.merge_scores(rows))
 
 
-def test_oversized_components_are_replayed_in_epochs(spark):
-    rows = transfers(50, 30)
-    found = merges.merge_scores(Workspace(spark), as_txn(spark, rows), replay_rows=25, group_rows=20)
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_in_slices_and_blocks_equal_a_replay(spark, seed):
+    rows = transfers(260, 90, seed)
+    found = merges.merge_scores(Workspace(spark), as_txn(spark, rows), group_rows=30, block=5)
     assert model.same_scores(scores(found), model.merge_scores(rows))
 
 
+def test_components_beyond_the_history(spark):
+    """One component that outgrows the history by single accounts, by pairs and by large parts."""
+    rng, pairs = random.Random(3), [(i, i + 1) for i in range(1_000, 1_700, 2)]
+    pairs += [(2_000, 2_000 + i) for i in range(1, 700)] + [(0, i) for i in range(1, 400)]
+    rng.shuffle(pairs)
+    pairs += [(0, i) for i in range(1_000, 1_700, 2)] + [(2_000, 5)] + [(i, 0) for i in range(3_000, 3_300)]
+    rows = [(i + 1, u, v, rng.uniform(1, 900)) for i, (u, v) in enumerate(pairs)]
+    expected = model.merge_scores(rows)
+    for block in (65_536, 300):
+        found = merges.merge_scores(Workspace(spark), as_txn(spark, rows), block=block)
+        assert model.same_scores(scores(found), expected)
+
+
+def test_chains_are_few(spark):
+    """Whatever the shape, an account passes through at most one chain a round."""
+    path = [(i, i + 1) for i in range(512)]
+    halves = sorted(path, key=lambda e: ((e[0] + 1) & -(e[0] + 1), e[0]))
+    for edges in (path, path[::-1], halves):
+        ws = Workspace(spark)
+        txn = as_txn(spark, [(i + 1, u, v, 1.0) for i, (u, v) in enumerate(edges)])
+        tree = mergetree.merge_tree(ws, C.merge_forest(ws, txn))
+        longest, accounts = tree.places.agg(F.max(F.size("steps")), F.count("*")).first()
+        assert accounts == 513 and longest <= 11
+
+
 def test_alert_columns_and_filter(spark):
     scored = merges.merge_scores(Workspace(spark), as_txn(spark, transfers(60, 20)))
     alerts = merges.alerts(scored)
