@@ -81,11 +81,21 @@ def density(edges: Column, accounts: Column) -> Column:
     return F.when(accounts < 2, F.lit(0.0)).otherwise(2.0 * edges.cast("double") / (n * (n - 1)))
 
 
+#: Weights are cut to integers up to here, where doubles are exact.
+LARGEST_WEIGHT = 2**53
+
+
+def sound(amount: Column) -> Column:
+    """The amount as double; what is no finite number counts as 0."""
+    value = amount.cast("double")
+    return F.when(F.abs(value) < float("inf"), value).otherwise(F.lit(0.0))
+
+
 def flow_weight(amount: Column) -> Column:
     """Transfer strength: the amount, but at least 1."""
-    return F.greatest(F.lit(1.0), F.coalesce(amount, F.lit(0.0)))
+    return F.greatest(F.lit(1.0), sound(amount))
 
 
 def whole_weight(amount: Column) -> Column:
-    """Flow weight cut to an integer, as added to sketches."""
-    return flow_weight(amount).cast("long")
+    """Flow weight cut to an integer, as added to sketches; at most ``LARGEST_WEIGHT``."""
+    return F.least(flow_weight(amount), F.lit(float(LARGEST_WEIGHT))).cast("long")

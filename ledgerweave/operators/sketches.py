@@ -23,18 +23,17 @@ def kmv_samples(members: DataFrame, k: int = KMV_K) -> DataFrame:
     component sends at most ``k`` rows per task.
     """
     number = as_number(F.col("account"), members.schema["account"].dataType)
-    hashes = members.select("component", kmv_hash(number).alias("h")).distinct()
-    return _smallest(hashes, k)
+    return _smallest(members.select("component", kmv_hash(number).alias("h")), k)
 
 
 def merge_kmv(left: DataFrame, right: DataFrame, k: int = KMV_K) -> DataFrame:
     """Samples of a union from the samples of its parts; hashes are not hashed again."""
-    return _smallest(left.union(right).distinct(), k)
+    return _smallest(left.union(right), k)
 
 
 def _smallest(hashes: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("component").orderBy("h")
-    return hashes.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    return hashes.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= k).drop("_n").distinct()
 
 
 def kmv_estimate(samples: DataFrame, k: int = KMV_K) -> DataFrame:

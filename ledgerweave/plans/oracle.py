@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerweave.functions.hashing import MODULUS, drawn
+
 SPARSE = 10
 DENSE = 8
 ORDER_KEY = "o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -116,11 +118,21 @@ past AS (
     JOIN now ON now.seq = y.seq) WHERE k <= 256 GROUP BY s),
 {_Z_VALUES}"""
 
-KMV_HASH = "(({x} * 1103515245 + 12345) % 2147483647)"
 
+def _hash(x: str, purpose: str) -> str:
+    *weights, added = drawn(purpose)
+    limbs = " + ".join(f"(({x} >> {16 * i}) & 65535) * {w}" for i, w in enumerate(weights))
+    return f"(({added} + {limbs}) % {MODULUS})"
+
+
+def _wide(x: str) -> str:
+    """Ids of ten digits and more."""
+    return f"({x} * 7000003 + 3000000007)"
 
-def _kmv(members: str, k: int) -> str:
-    return f"""hashed AS (SELECT DISTINCT component, {KMV_HASH.format(x='account')} AS h FROM {members}),
+
+
+def _kmv(members: str, k: int, account: str = "account") -> str:
+    return f"""hashed AS (SELECT DISTINCT component, {_hash(account, 'kmv')} AS h FROM {members}),
 kept AS (SELECT component, h FROM hashed QUALIFY row_number() OVER (PARTITION BY component ORDER BY h) <= {k}),
 kmv AS (SELECT component, count(*) AS n_samples, max(h) AS top FROM kept GROUP BY component)"""
 
@@ -128,16 +140,18 @@ kmv AS (SELECT component, count(*) AS n_samples, max(h) AS top FROM kept GROUP B
 def _kmv_select(k: int) -> str:
     return f"""SELECT component, {k} AS k, n_samples, CASE WHEN n_samples >= {k} THEN top END AS r_k,
   round(1.0 / sqrt({k}), 6) AS rel_error_theory,
-  round(CASE WHEN n_samples >= {k} THEN {k - 1} * (2147483647.0 / top) ELSE n_samples END::DOUBLE, 3) AS estimate FROM kmv"""
+  round(CASE WHEN n_samples >= {k} THEN {k - 1} * ({MODULUS}.0 / top) ELSE n_samples END::DOUBLE, 3) AS estimate FROM kmv"""
 
 
 def _cms(width: int, depth: int) -> str:
-    cell = "((({x} * ((1315423911 * (row + 1)) % 2147483647) + 97 * row + 13) % 2147483647) % {w})"
-    return f"""rows AS (SELECT unnest(range({depth})) AS row),
-flows AS (SELECT sender AS account, sum(trunc(greatest(1.0, amount))::BIGINT)::BIGINT AS weight FROM txn GROUP BY 1),
-cells AS (SELECT component, row, {cell.format(x='account', w=width)} AS cell, sum(weight)::BIGINT AS total
-          FROM flows JOIN members USING (account), rows GROUP BY ALL),
-asked AS (SELECT account, component, row, {cell.format(x='account', w=width)} AS cell FROM members, rows)"""
+    def cells(account: str) -> str:
+        made = ", ".join(f"{{'row': {i}, 'cell': {_hash(account, f'cell {i}')} % {width}}}" for i in range(depth))
+        return f"unnest([{made}], recursive := true)"
+
+    return f"""flows AS (SELECT sender AS account, sum(trunc(greatest(1.0, amount))::BIGINT)::BIGINT AS weight FROM txn GROUP BY 1),
+spread AS (SELECT component, weight, {cells(_wide('account'))} FROM flows JOIN members USING (account)),
+cells AS (SELECT component, row, cell, sum(weight)::BIGINT AS total FROM spread GROUP BY ALL),
+asked AS (SELECT {_wide('account')} AS account, component, {cells(_wide('account'))} FROM members)"""
 
 
 SNAPSHOTS = f"""{OUTFLOW},
@@ -310,7 +324,7 @@ JOIN members USING (account) JOIN stats USING (component) ORDER BY est_out DESC,
         "large_kmv_distinct": _recursive(large, _members(), _kmv("members", 128), body=_kmv_select(128)),
         "kmv_by_region": f"""
 WITH m AS (SELECT c_custkey AS account, n_regionkey AS component FROM customer JOIN nation ON c_nationkey = n_nationkey),
-{_kmv('m', 128)} {_kmv_select(128)}""",
+{_kmv('m', 128, _wide('account'))} {_kmv_select(128)}""",
         "theta_distinct": _recursive(
             *components, body="SELECT component, count(*)::DOUBLE AS estimate FROM members GROUP BY component"
         ),
@@ -326,7 +340,7 @@ FROM asked LEFT JOIN cells USING (component, row, cell) GROUP BY ALL""",
   round(in_flow / 4096, 2) AS bound_in, round(exp(1) / 4096 * out_flow, 2) AS bound_out_published FROM stats""",
         ),
         "sketch_merge": _recursive(
-            *components, _cms(16, 3), _kmv("members", 4),
+            *components, _cms(16, 3), _kmv("members", 4, _wide("account")),
             f"est AS ({_kmv_select(4)})",
             body="""SELECT est.component, est.estimate, c.cells, c.fullest FROM est LEFT JOIN
   (SELECT component, count(*) AS cells, max(total) AS fullest FROM cells GROUP BY 1) c ON c.component = est.component""",
@@ -417,7 +431,6 @@ SELECT round((r - p * (p + 1) / 2) / (p * n), 6) AS auc FROM t""",
             _members("ev"), body="SELECT account, component FROM members",
         ),
         "stream_windowed_flow": """
-WITH w AS (SELECT epoch(ts)::BIGINT // 86400 * 86400 AS start, user_id AS sender, value FROM events)
-SELECT start, sender, count(*) AS edges, sum(trunc(greatest(1.0, value))::BIGINT)::BIGINT AS outflow FROM w
-WHERE start + 86400 <= (SELECT max(epoch(ts)) - 3600 FROM events) GROUP BY ALL""",
+SELECT epoch(ts)::BIGINT // 86400 * 86400 AS start, user_id AS sender, count(*) AS edges,
+       sum(trunc(greatest(1.0, value))::BIGINT)::BIGINT AS outflow FROM events GROUP BY ALL""",
     }

@@ -182,6 +182,11 @@ def top_senders(ws: Workspace, sf_dir: str) -> DataFrame:
 # --- sketches ------------------------------------------------------------------
 
 
+def _wide(table: DataFrame, *accounts: str) -> DataFrame:
+    """Ids of ten digits and more, beyond 32 bits."""
+    return table.withColumns({a: F.col(a) * 7_000_003 + 3_000_000_007 for a in accounts})
+
+
 def _kmv(samples: DataFrame, k: int) -> DataFrame:
     found = sketches.kmv_estimate(samples, k)
     return found.withColumn("estimate", F.round("estimate", 3)).withColumn("rel_error_theory", F.round("rel_error_theory", 6))
@@ -208,7 +213,7 @@ def kmv_by_region(ws: Workspace, sf_dir: str) -> DataFrame:
     members = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("account"), F.col("n_regionkey").alias("component")
     )
-    return _kmv(sketches.kmv_samples(members), sketches.KMV_K)
+    return _kmv(sketches.kmv_samples(_wide(members, "account")), sketches.KMV_K)
 
 
 @query
@@ -222,6 +227,7 @@ def theta_distinct(ws: Workspace, sf_dir: str) -> DataFrame:
 @query
 def cms_flow(ws: Workspace, sf_dir: str) -> DataFrame:
     txn, members = _txn_and_members(ws, sf_dir)
+    txn, members = _wide(txn, "sender", "receiver"), _wide(members, "account")
     cells = sketches.cms_cells(txn, members, width=16, depth=3)
     return sketches.cms_query(cells, members, width=16, depth=3)
 
@@ -237,6 +243,7 @@ def cms_report(ws: Workspace, sf_dir: str) -> DataFrame:
 def sketch_merge(ws: Workspace, sf_dir: str) -> DataFrame:
     """Count-Min cells and samples of two halves of the input, merged."""
     txn, members = _txn_and_members(ws, sf_dir)
+    txn, members = _wide(txn, "sender", "receiver"), _wide(members, "account")
     parts = [txn.where(f"cast(amount AS bigint) % 2 = {i}") for i in (0, 1)]
     cells = sketches.merge_cms(*[sketches.cms_cells(p, members, width=16, depth=3) for p in parts])
     kmv = sketches.merge_kmv(*[sketches.kmv_samples(members.where(f"account % 2 = {i}"), 4) for i in (0, 1)], k=4)
@@ -530,14 +537,14 @@ def stream_components(ws: Workspace, sf_dir: str) -> DataFrame:
 
 @query
 def stream_windowed_flow(ws: Workspace, sf_dir: str) -> DataFrame:
-    """Daily outflow per sender; the windows closed when the stream ends."""
-    events = ledger.edge_stream(ws.spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
+    """Daily outflow per sender; windows still open when the stream ends are drained."""
+    events = ledger.edge_stream(ws.spark, f"{sf_dir}/events.parquet", EVENT_SCHEMA)
     flow = windows.windowed_flow(_as_edges(events), "1 day", "1 hour")
-    out = f"{ws.root}/windows"
+    out, checkpoint = f"{ws.root}/windows", f"{ws.root}/checkpoint"
     writer = flow.writeStream.format("parquet").option("path", out).outputMode("append")
-    writer.option("checkpointLocation", f"{ws.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    closed = ws.spark.read.parquet(out)
-    return closed.select(F.unix_timestamp("start").alias("start"), "sender", "edges", "outflow")
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    every = ws.spark.read.schema(flow.schema).parquet(out).unionByName(windows.open_windows(ws.spark, checkpoint))
+    return every.select(F.unix_timestamp("start").alias("start"), "sender", "edges", "outflow")
 
 
 def flagship(ws: Workspace, sf_dir: str) -> DataFrame:

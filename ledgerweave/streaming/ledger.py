@@ -21,17 +21,19 @@ from ledgerweave.operators.refine import COMPONENT_EDGES, WINDOW_EDGES, Refined,
 from ledgerweave.operators.skew import GROUP_ROWS, hot_keys, lookup
 from ledgerweave.operators.stats import running_outflow
 from ledgerweave.sources.sinks import write_alerts
-from ledgerweave.workspace import Workspace, delete
+from ledgerweave.workspace import Workspace, delete, is_file
 
 STATE = ("members", "stats", "history", "flow")
 
 
-def edge_stream(
-    spark: SparkSession, folder: str, schema: T.StructType | str, glob: str | None = None, files_per_batch: int = 1000
-) -> DataFrame:
-    """Transfers from Parquet files as they appear in a folder."""
+def edge_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int = 1000) -> DataFrame:
+    """Transfers from a folder of Parquet files as they appear there; the path may also be that of a single file."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder)
+    if is_file(spark, path):
+        # The source watches folders, so a file is picked out of its own.
+        folder, name = path.rstrip("/").rsplit("/", 1)
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 class Ledger:

@@ -93,7 +93,17 @@ class Workspace:
         delete(self.spark, self.root)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _on_store(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path as it knows it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _on_store(spark, path)
+    store.delete(at, True)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    store, at = _on_store(spark, path)
+    return store.exists(at) and store.getFileStatus(at).isFile()

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import pytest
+
 import reference_models as model
 
+from pyspark.sql import functions as F
+
 from ledgerweave.sources import sinks
+from ledgerweave.plans.queries import QUERIES
 from ledgerweave.streaming.ledger import Ledger, edge_stream
 from test_merges import transfers
 
@@ -56,3 +61,19 @@ def test_file_stream(spark, tmp_path):
     run.awaitTermination()
     members = book.members(run.lastProgress["batchId"])
     assert {r.account: r.component for r in members.collect()} == model.components([(u, v) for _, u, v, _ in rows])
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_windows_of_a_table_that_is_a_folder(spark, tmp_path, parts):
+    """Closed and open windows together are all windows."""
+    rows = [(i, 86_400 * (i // 9) + 5_000 * (i % 9), i % 4, "t", float(i % 50), "{}") for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string, value double, props string")
+    events = events.select("event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+    events.repartition(parts).write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["stream_windowed_flow"](spark, str(tmp_path))
+    expected = {}
+    for _, at, user, _, value, _ in rows:
+        key = (at // 86_400 * 86_400, user)
+        edges, outflow = expected.get(key, (0, 0))
+        expected[key] = (edges + 1, outflow + int(max(1.0, value)))
+    assert {(r.start, r.sender): (r.edges, r.outflow) for r in found.collect()} == expected
