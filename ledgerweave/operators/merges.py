@@ -50,11 +50,16 @@ def _placed(edges: DataFrame) -> DataFrame:
 
 
 def mark_merges(
-    ws: Workspace, txn: DataFrame, forest: MergeForest, tree: mt.MergeTree, group_rows: int = GROUP_ROWS
+    ws: Workspace,
+    txn: DataFrame,
+    forest: MergeForest,
+    tree: mt.MergeTree,
+    group_rows: int = GROUP_ROWS,
+    to_the_end: bool = False,
 ) -> DataFrame:
     """Edges with ``merges`` (does it join two components), running outflow, and chain.
 
-    The marks of the forest are laid among the edges of both of its ends, so that
+    Edges after their component's last merge have a chain only if ``to_the_end``.  The marks of the forest are laid among the edges of both of its ends, so that
     outflow, marks and chains all come from one shuffle by sender.
     """
     hot = hot_keys(ws, txn, "sender", group_rows)
@@ -67,6 +72,8 @@ def mark_merges(
     summed = running_sum(laid, "sender", "seq", "weight", "out_hh", hot, group_rows)
     marked = summed.withColumn("merges", F.max("mark").over(Window.partitionBy("sender", "seq"))).where("NOT mark")
     listed = lookup(marked.drop("mark", "weight"), "sender", tree.places, "account", "seq", hot)
+    if to_the_end:
+        listed = listed.withColumn("last_seq", F.col("seq"))
     return ws.write(_placed(listed), "marked")
 
 

@@ -48,7 +48,7 @@ class MergeTree:
     """``steps`` are the chains passed through, each with the arrival number at which it is left (null: never)."""
 
     places: DataFrame  # (account, steps, last_seq), the last being that of the component's last merge
-    chains: DataFrame  # (chain, steps), beginning with the chain itself
+    chains: DataFrame  # (chain, steps) of chains that are left some time, beginning with the chain itself
 
 
 def _name(level: int, node: str) -> Column:
@@ -108,13 +108,12 @@ def entered() -> Column:
     return F.transform(F.slice("steps", F.lit(1), F.size("steps") - 1), lambda s: s["until"])
 
 
-def figures(
+def along_chains(
     ws: Workspace, placed: DataFrame, tree: MergeTree, start: DataFrame | None = None, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Per merge: ``seq, chain, at`` (its number in the chain), ``root, accounts, edges, out_hh, density``.
+    """``placed`` with the component's state after each edge: ``root, accounts, edges``, and ``at``, the merges of the chain so far.
 
-    ``placed`` has ``(seq, chain, merges, out_hh)`` of all edges up to the last merge of their component.
-    ``start`` may say how many accounts and edges a node begins with, as ``(account, accounts, edges)``; the
+    ``placed`` has ``(seq, chain, merges)`` of all edges up to the last that matters.  ``start`` may say how many accounts and edges a node begins with, as ``(account, accounts, edges)``; the
     rest begin with one account and no edge.
     """
     begun = tree.places.select("account", entered().alias("entered"))
@@ -136,7 +135,7 @@ def figures(
     )
     hot = hot_keys(ws, placed, "chain", group_rows)
     # Along a chain every row is an edge of the component, and every merge brings in what enters there.
-    summed = running(
+    return running(
         placed.join(entering, "seq", "left"),
         "chain",
         "seq",
@@ -144,8 +143,17 @@ def figures(
         {"root": F.col("new_root")},
         hot,
         group_rows,
-    )
-    found = summed.where("merges").select(
+    ).drop("new_accounts", "new_edges", "new_root")
+
+
+def figures(
+    ws: Workspace, placed: DataFrame, tree: MergeTree, start: DataFrame | None = None, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """Per merge: ``seq, chain, at`` (its number in the chain), ``root, accounts, edges, out_hh, density``.
+
+    ``placed`` has ``out_hh`` too; see :func:`along_chains`.
+    """
+    found = along_chains(ws, placed, tree, start, group_rows).where("merges").select(
         "seq", "chain", "at", "root", "accounts", "edges", "out_hh", scoring.density(F.col("edges"), F.col("accounts")).alias("density")
     )
     return ws.write(found, "figures")

@@ -92,19 +92,43 @@ scored AS MATERIALIZED (SELECT *, 0.4 * z1 + 0.4 * z2 + 0.2 * z3 AS s FROM zs)""
 
 SCORED = f"{MERGES},\n{_INSIDE},\n{_Z_VALUES}"
 
-#: Union-find over blocks of 400 accounts in order of arrival: per edge the smallest account of every account's
-#: component, and the edges of each component under its smallest account.
-LARGE_SCORED = f"""numbered AS MATERIALIZED (
-  SELECT *, sender // 400 AS block, row_number() OVER (PARTITION BY sender // 400 ORDER BY seq) AS k FROM txn),
+
+def _union_find(block: int) -> str:
+    """Union-find over blocks of accounts in order of arrival: per edge the smallest account of every account's
+    component, and the edges of each component under its smallest account."""
+    return f"""numbered AS MATERIALIZED (
+  SELECT *, sender // {block} AS block, row_number() OVER (PARTITION BY sender // {block} ORDER BY seq) AS k FROM txn),
 state(block, k, seq, joins, least, label, counted) AS (
-  SELECT DISTINCT block, 0::BIGINT, 0::BIGINT, false, 0::BIGINT, range(400), list_transform(range(400), lambda x: 0::BIGINT) FROM numbered
+  SELECT DISTINCT block, 0::BIGINT, 0::BIGINT, false, 0::BIGINT, range({block}), list_transform(range({block}), lambda x: 0::BIGINT) FROM numbered
   UNION ALL
   SELECT block, k, seq, a <> b, least(a, b), CASE WHEN a = b THEN label ELSE
       list_transform(label, lambda x: CASE WHEN x = greatest(a, b) THEN least(a, b) ELSE x END) END,
     list_transform(counted, lambda c, i: CASE WHEN i - 1 = least(a, b)
       THEN c + 1 + CASE WHEN a <> b THEN counted[greatest(a, b) + 1] ELSE 0 END ELSE c END)
-  FROM (SELECT n.block, n.k, n.seq, label, counted, label[n.sender % 400 + 1] AS a, label[n.receiver % 400 + 1] AS b
-        FROM state JOIN numbered n ON n.block = state.block AND n.k = state.k + 1)),
+  FROM (SELECT n.block, n.k, n.seq, label, counted, label[n.sender % {block} + 1] AS a, label[n.receiver % {block} + 1] AS b
+        FROM state JOIN numbered n ON n.block = state.block AND n.k = state.k + 1))"""
+
+
+def _every(txn: str, block: int, every: int) -> str:
+    return _recursive(
+        txn, _union_find(block), OUTFLOW,
+        f"points AS (SELECT least(c * {every}, n)::BIGINT AS upto FROM (SELECT count(*) AS n FROM txn), range(1, n // {every} + 2) t(c) WHERE (c - 1) * {every} < n)",
+        "newest AS (SELECT upto, block, max(seq) AS seq FROM points JOIN state ON seq <= upto GROUP BY ALL)",
+        "seen AS (SELECT account, min(seq) AS first_seq FROM (SELECT sender AS account, seq FROM txn UNION ALL SELECT receiver, seq FROM txn) GROUP BY 1)",
+        f"""was AS (SELECT upto, x.block * {block} + label[account % {block} + 1] AS component, count(*) AS accounts,
+  any_value(counted[label[account % {block} + 1] + 1]) AS edges
+  FROM newest x JOIN state s ON s.block = x.block AND s.seq = x.seq JOIN seen ON account // {block} = x.block AND first_seq <= upto GROUP BY ALL)""",
+        """thick AS (SELECT *, CASE WHEN accounts < 2 THEN 0.0 ELSE 2.0 * edges / (accounts::DOUBLE * (accounts - 1)) END AS density FROM was)""",
+        f"""sent AS (SELECT upto, sender, max(out_hh) AS est_out, min(seq) AS first_seq FROM points
+  JOIN outflow ON seq > upto - {every // 2} AND seq <= upto GROUP BY upto, sender QUALIFY row_number() OVER (PARTITION BY upto ORDER BY est_out DESC, first_seq) <= 5)""",
+        "top AS (SELECT upto, string_agg(concat(sender, '~', est_out), ', ' ORDER BY est_out DESC, first_seq) AS top_senders FROM sent GROUP BY 1)",
+        body="""SELECT upto, count(*) AS num_components, upto AS num_edges, arg_min(component, (-accounts, component)) AS largest,
+  max(accounts) AS largest_accounts, arg_min(component, (-density, component)) FILTER (WHERE density > 0) AS densest,
+  round(max(density), 6) AS largest_density, any_value(top_senders) AS top_senders FROM thick JOIN top USING (upto) GROUP BY upto""",
+    )
+
+
+LARGE_SCORED = f"""{_union_find(400)},
 {OUTFLOW},
 joined AS MATERIALIZED (
   SELECT seq, block, least, label, sender, len(list_filter(label, lambda x: x = least)) AS n, counted[least + 1] AS e, out_hh::DOUBLE AS hh
@@ -384,6 +408,8 @@ QUALIFY row_number() OVER (PARTITION BY component ORDER BY interval DESC) = 1"""
         ),
         "summary_report": _summary(sparse, SCORED.replace("sizes", "msizes"), 8),
         "large_summary_report": _summary(large, LARGE_SCORED, 128),
+        "summary_every": _every(sparse, 10, 1000),
+        "large_summary_every": _every(large, 400, 250),
         "graph_features": _recursive(
             *components, PAIRS, RECIPROCITY, STATS,
             "deg AS (SELECT a, count(*) AS degree FROM (SELECT u AS a FROM p UNION ALL SELECT v FROM p) GROUP BY 1)",

@@ -11,6 +11,7 @@ from ledgerweave.functions import scoring, timeparse
 from ledgerweave.functions.scoring import flow_weight
 from ledgerweave.operators import (
     centrality,
+    checkpoints,
     components,
     distance,
     intervals,
@@ -392,6 +393,25 @@ def large_summary_report(ws: Workspace, sf_dir: str) -> DataFrame:
     return _report(ws, fx.txn_large(ws, sf_dir), sketches.KMV_K)
 
 
+def _every(ws: Workspace, txn: DataFrame, every: int) -> DataFrame:
+    found = checkpoints.summary_every(ws, txn, every, recent=every // 2)
+    named = F.transform("top_senders", lambda s: F.concat_ws("~", s["account"].cast("string"), s["est_out"].cast("string")))
+    top = F.array_join(named, ", ").alias("top_senders")
+    density = F.round("largest_density", 6).alias("largest_density")
+    return found.select("upto", "num_components", "num_edges", "largest", "largest_accounts", "densest", density, top)
+
+
+@query
+def summary_every(ws: Workspace, sf_dir: str) -> DataFrame:
+    """The summary after every thousandth edge."""
+    return _every(ws, fx.txn(ws, sf_dir), 1000)
+
+
+@query
+def large_summary_every(ws: Workspace, sf_dir: str) -> DataFrame:
+    return _every(ws, fx.txn_large(ws, sf_dir), 250)
+
+
 # --- graph features ------------------------------------------------------------
 
 
