@@ -107,3 +107,8 @@ def delete(spark: SparkSession, path: str) -> None:
 def is_file(spark: SparkSession, path: str) -> bool:
     store, at = _on_store(spark, path)
     return store.exists(at) and store.getFileStatus(at).isFile()
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    store, at = _on_store(spark, path)
+    return store.exists(at)
