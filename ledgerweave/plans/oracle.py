@@ -128,21 +128,23 @@ def _every(txn: str, block: int, every: int) -> str:
     )
 
 
-LARGE_SCORED = f"""{_union_find(400)},
+def _large_scored(block: int) -> str:
+    return f"""{_union_find(block)},
 {OUTFLOW},
 joined AS MATERIALIZED (
   SELECT seq, block, least, label, sender, len(list_filter(label, lambda x: x = least)) AS n, counted[least + 1] AS e, out_hh::DOUBLE AS hh
   FROM state JOIN outflow USING (seq) WHERE joins),
 now AS MATERIALIZED (
-  SELECT seq, block * 400 + least AS root, n::DOUBLE AS d, e, hh, 2.0 * e / (n::DOUBLE * (n - 1)) AS rho FROM joined),
+  SELECT seq, block * {block} + least AS root, n::DOUBLE AS d, e, hh, 2.0 * e / (n::DOUBLE * (n - 1)) AS rho FROM joined),
 past AS (
   SELECT s, list(d) AS hd, list(hh) AS hhh, list(rho) AS hr FROM (
     SELECT x.seq AS s, now.*, row_number() OVER (PARTITION BY x.seq ORDER BY y.seq DESC) AS k
-    FROM joined x JOIN joined y ON y.block = x.block AND y.seq < x.seq AND x.label[y.sender % 400 + 1] = x.least
+    FROM joined x JOIN joined y ON y.block = x.block AND y.seq < x.seq AND x.label[y.sender % {block} + 1] = x.least
     JOIN now ON now.seq = y.seq) WHERE k <= 256 GROUP BY s),
 {_Z_VALUES}"""
 
 
+
 def _hash(x: str, purpose: str) -> str:
     *weights, added = drawn(purpose)
     limbs = " + ".join(f"(({x} >> {16 * i}) & 65535) * {w}" for i, w in enumerate(weights))
@@ -274,6 +276,8 @@ def oracle_sql() -> dict[str, str]:
     between = """cg AS MATERIALIZED (SELECT s.component AS cu, d.component AS cv, amount AS w FROM txn
       JOIN entity s ON s.account = sender JOIN entity d ON d.account = receiver WHERE s.component <> d.component)"""
     large = TXN_LARGE
+    events = """txn AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, user_id, k, value) AS seq, ts, user_id AS sender, k AS receiver, value AS amount
+      FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events))"""
     judged_merges = f"""SELECT seq, root, d AS distinct, e AS edges, hh AS out_hh, round(rho, 6) AS density,
   {_six('scored.s')} AS s, {LEVEL.replace('s >=', 'scored.s >=')} AS level, {REASON} AS reason FROM scored"""
     alerts = f"""SELECT epoch(ts)::DOUBLE AS time, root::VARCHAR AS root, sender::VARCHAR AS src, receiver::VARCHAR AS dst, amount,
@@ -384,9 +388,9 @@ QUALIFY row_number() OVER (PARTITION BY component ORDER BY seq DESC) <= 8""",
         "large_refine_blocks": _refined(large, 0, 2000),
         "merge_events": _recursive(sparse, MERGES, body="SELECT seq, sender, receiver FROM merge"),
         "merge_scores": _recursive(sparse, SCORED, body=judged_merges),
-        "large_merge_scores": _recursive(large, LARGE_SCORED, body=judged_merges),
+        "large_merge_scores": _recursive(large, _large_scored(400), body=judged_merges),
         "alert_csv": _recursive(sparse, SCORED, body=alerts),
-        "large_alert_csv": _recursive(large, LARGE_SCORED, body=alerts),
+        "large_alert_csv": _recursive(large, _large_scored(400), body=alerts),
         "interval_scores": _recursive(
             *components, SNAPSHOTS,
             f"""hist AS (SELECT *, list(accounts::DOUBLE) OVER w AS hd, list(out_hh) OVER w AS hhh, list(density) OVER w AS hr FROM snap
@@ -407,7 +411,7 @@ QUALIFY row_number() OVER (PARTITION BY component ORDER BY interval DESC) = 1"""
             body=f"SELECT seq, component, {_six('raw')} AS z FROM zz",
         ),
         "summary_report": _summary(sparse, SCORED.replace("sizes", "msizes"), 8),
-        "large_summary_report": _summary(large, LARGE_SCORED, 128),
+        "large_summary_report": _summary(large, _large_scored(400), 128),
         "summary_every": _every(sparse, 10, 1000),
         "large_summary_every": _every(large, 400, 250),
         "graph_features": _recursive(
@@ -456,6 +460,9 @@ SELECT round((r - p * (p + 1) / 2) / (p * n), 6) AS auc FROM t""",
             "ev AS MATERIALIZED (SELECT user_id AS sender, (props->>'$.k')::BIGINT AS receiver FROM events)",
             _members("ev"), body="SELECT account, component FROM members",
         ),
+        "stream_stats": _recursive(events, _members(), STATS, body="SELECT component, accounts, edges::BIGINT AS edges FROM rated"),
+        "stream_alerts": _recursive(events, _large_scored(1 << 12), body=alerts.replace("epoch(ts)::DOUBLE", "epoch_us(ts) / 1e6")),
+        "stream_lagged": f"WITH {events} SELECT seq, epoch_us(ts) / 1e6 AS tnum, sender, receiver, amount FROM txn",
         "stream_windowed_flow": """
 SELECT epoch(ts)::BIGINT // 86400 * 86400 AS start, user_id AS sender, count(*) AS edges,
        sum(trunc(greatest(1.0, value))::BIGINT)::BIGINT AS outflow FROM events GROUP BY ALL""",

@@ -543,16 +543,71 @@ def _as_edges(events: DataFrame) -> DataFrame:
     )
 
 
-@query
-def stream_components(ws: Workspace, sf_dir: str) -> DataFrame:
-    """The event table, cut in two files by time and fed one file per micro-batch."""
+def _arrivals(ws: Workspace, sf_dir: str, part: Column) -> str:
+    """The event table as three files that appear one after the other; ``part`` says which a row is in."""
     folder = f"{ws.root}/arrivals"
-    fx.table(ws.spark, sf_dir, "events").repartitionByRange(2, "ts", "event_id").write.parquet(folder)
+    events = fx.table(ws.spark, sf_dir, "events")
+    for i in range(3):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _span(ws: Workspace, sf_dir: str) -> tuple[Column, int, int]:
+    """Microseconds of an event, and those of the first and last; 0 and 1 without events."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = fx.table(ws.spark, sf_dir, "events").agg(F.min(at), F.max(at)).first()
+    return at, first or 0, 1 if last is None else last
+
+
+def _third(ws: Workspace, sf_dir: str) -> Column:
+    """Which third of the time spanned a row is from, 0 to 2."""
+    at, first, last = _span(ws, sf_dir)
+    return F.least(F.floor(3 * (at - first) / max(last - first, 1)), F.lit(2))
+
+
+def _followed(ws: Workspace, folder: str, **options) -> tuple[ledger.Ledger, int]:
+    """A ledger fed one file per micro-batch, and its last version."""
     edges = _as_edges(ledger.edge_stream(ws.spark, folder, EVENT_SCHEMA, files_per_batch=1)).drop("ts")
-    book = ledger.Ledger(ws.spark, f"{ws.root}/ledger")
+    book = ledger.Ledger(ws.spark, f"{ws.root}/ledger", **options)
     run = book.start(edges, f"{ws.root}/checkpoint")
     run.awaitTermination()
-    return book.members(run.lastProgress["batchId"])
+    return book, run.lastProgress["batchId"]
+
+
+@query
+def stream_components(ws: Workspace, sf_dir: str) -> DataFrame:
+    """The event table, cut in files by time and fed one file per micro-batch."""
+    book, last = _followed(ws, _arrivals(ws, sf_dir, _third(ws, sf_dir)))
+    return book.members(last)
+
+
+@query
+def stream_stats(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Figures of the components after three micro-batches, with the log folded after the second."""
+    book, last = _followed(ws, _arrivals(ws, sf_dir, _third(ws, sf_dir)), compact_every=2)
+    return book.stats(last)
+
+
+@query
+def stream_alerts(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Alerts of three micro-batches, the last of them applied twice."""
+    third = _third(ws, sf_dir)
+    book, last = _followed(ws, _arrivals(ws, sf_dir, third))
+    again = _as_edges(fx.table(ws.spark, sf_dir, "events").where(third == 2)).drop("ts")
+    book.apply(again, last)
+    found = book.alerts()
+    figures = ("S", "z_distinct", "z_out_hh", "z_density")
+    return found.select(*[six(c).alias(c) if c in figures else F.col(c) for c in found.columns])
+
+
+@query
+def stream_lagged(ws: Workspace, sf_dir: str) -> DataFrame:
+    """A fifth of the events comes a file late; held back, all are numbered as in one sorted run."""
+    third = _third(ws, sf_dir)
+    late = F.least(third + (F.col("event_id") % 5 == 0).cast("int"), F.lit(2))
+    _, first, until = _span(ws, sf_dir)
+    book, last = _followed(ws, _arrivals(ws, sf_dir, late), lag=0.7 * (until - first) / 1e6)
+    return book.edges(book.drain(last)).select("seq", "tnum", "sender", "receiver", "amount")
 
 
 @query
