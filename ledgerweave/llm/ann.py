@@ -100,8 +100,9 @@ def nearest(
     """``(query_id, rank, key, score)``: each query's k nearest found, its own row left out.
 
     Nearest first by inner product, ties to the smaller key.  Vectors that are null, zero, not finite, of
-    another length than most, or without a key take no part.  Keys are taken to be unique.  A table without
-    a usable vector gives no rows; other columns are left behind.
+    another length than most, or without a key take no part.  Repeated rows count once.  A key with several
+    vectors is near with the nearest of them, and asks with all of them.  A table without a usable vector gives
+    no rows; other columns are left behind.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector"), is_query.alias("asks"))
     rows = ws.write(rows.where(usable("vector") & F.col("id").isNotNull()), "vectors")
@@ -109,14 +110,16 @@ def nearest(
     rows = rows.where(F.size("vector") == (length["n"] if length else 0))
     # One row per distinct vector: its smallest keys, as many as can ever be answers, and a name.
     by_key = Window.partitionBy("vector").orderBy("id")
-    first = rows.withColumn("_n", F.row_number().over(by_key)).where(F.col("_n") <= k + 1)
-    folded = first.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("v"))
+    first = rows.withColumn("_n", F.dense_rank().over(by_key)).where(F.col("_n") <= k + 1)
+    folded = first.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
-    folded = ws.write(folded.withColumn("norm", norm), "folded")
+    # Names rise with the smallest key, so that ties among vectors go to smaller keys.
+    named = folded.orderBy(F.get("ids", F.lit(0))).withColumn("v", F.monotonically_increasing_id())
+    folded = ws.write(named.withColumn("norm", norm), "folded")
     scale = folded.agg(F.max("norm")).first()[0] or 1.0
 
     asking = rows.where("asks").select("vector", F.col("id").alias("query_id"))
-    queries = ws.write(asking.join(folded.select("vector", "v"), "vector").select("query_id", "v"), "queries")
+    queries = ws.write(asking.join(folded.select("vector", "v"), "vector").select("query_id", "v").distinct(), "queries")
     asked = folded.join(queries.select("v").distinct(), "v", "left_semi")
 
     data = folded.withColumn("bucket", F.explode(_buckets(scale, 1, tables, False)("vector")))
@@ -166,10 +169,11 @@ def nearest(
     short = short.union(asked.select(F.col("v").alias("q"), "v")).distinct()
     one, two = folded.select("v", F.col("vector").alias("theirs"), "ids"), folded.select(F.col("v").alias("q"), F.col("vector").alias("own"))
     scored = short.join(one, "v").join(two, "q").select("q", "ids", _exact("own", "theirs").alias("score"))
-    answers = scored.select("q", "score", F.explode("ids").alias(key))
+    answers = scored.select("q", "score", F.explode("ids").alias(key)).groupBy("q", key).agg(F.max("score").alias("score"))
     order = [F.desc("score"), F.col(key)]
     kept = answers.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("_n") <= k + 1)
     lists = ws.write(kept.select("q", "score", key), "answers")
     own = lists.join(queries.withColumnRenamed("v", "q"), "q").where(F.col(key) != F.col("query_id"))
+    own = own.groupBy("query_id", key).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank")
     return own.select("query_id", rank, key, "score").where(F.col("rank") <= k)

@@ -12,12 +12,13 @@ error or none.  Per chunk each place in turn is left out, and what remains is a
 carry a class of set size, as similar sets are of similar size; sets just below a border visit
 the next class.
 
-No bucket is expanded into all pairs.  Equal sets are folded first.  Then every member of a
+No bucket of copies is expanded into all pairs.  Equal sets are folded first.  Then every member of a
 bucket is paired with the smallest member only; the links confirmed give groups.  What is left
 are members of different groups in one bucket.  Groups of few members there are paired member
 by member, if the long signatures are near enough; a larger group stands as one partner for a
 member of a smaller one, and the two meet in tiles of ``TILE`` texts by ``TILE``, which return
-one link of them at most.  Every link is confirmed on the full shingle sets of the whole texts.
+one link of them at most.  Texts that share much but are no copies stay groups of one, so a bucket of n
+such texts costs n^2 comparisons of signatures (not of texts).  Every link is confirmed on the full shingle sets of the whole texts.
 """
 
 from __future__ import annotations

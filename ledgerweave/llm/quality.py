@@ -92,9 +92,11 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words`` and the ``FEATURES``.  A null text has none of anything; shares of nothing are 0."""
+    ``n_repeat_words`` and the ``FEATURES``.  A null text has none of anything; shares of nothing are 0.
+    Columns named like these, in any case, give way."""
     body = F.coalesce(F.col(text), F.lit(""))
-    kept = [f"`{c}`" for c in docs.columns if c != text]
+    made = {"word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES}
+    kept = [f"`{c}`" for c in docs.columns if c != text and c.lower() not in made]
     found = docs.select(*kept, body.alias("_text"), words(text).alias("_words"))
 
     def count_of(kind: str) -> Column:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import centroids, mixing, periodic, queries
+from ledgerweave.llm import ann, centroids, mixing, periodic, quality, queries
 from ledgerweave.workspace import Workspace
 
 
@@ -237,3 +237,25 @@ def test_the_query_equals_a_plain_version(spark, tmp_path):
     assert spliced > 5
     types = dict(queries.op13_runs(spark, str(tmp_path)).dtypes)
     assert set(types.values()) == {"bigint", "string"}
+
+
+# --- earlier operators on odd tables ---------------------------------------------------
+
+
+def test_statistics_give_way_to_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a b c", "x", 5.0)], "doc_id long, text string, N_words string, digit_share double")
+    found = quality.statistics(frame).first()
+    assert (found.doc_id, found.n_words, found.digit_share) == (1, 3, 0.0)
+
+
+def test_neighbours_of_repeated_keys(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    frame = spark.createDataFrame(rows + rows[:20] + [(5, rows[7][1])], "vec_id long, embedding array<double>")
+    found = ann.nearest(Workspace(spark, "ann"), frame, F.col("vec_id") % 20 == 0, k=5, probes=32).collect()
+    vectors = {}
+    for i, v in [*rows, (5, rows[7][1])]:
+        vectors.setdefault(i, []).append(v)
+    for q in (0, 20, 40):
+        near = sorted((-max(np.dot(rows[q][1], v) for v in vs), i) for i, vs in vectors.items() if i != q)[:5]
+        assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [i for _, i in near]
