@@ -266,6 +266,23 @@ WHERE edges >= {least} AND component NOT IN (SELECT component FROM blk)""",
     )
 
 
+LEARNING = f"""{_txn(DENSE, ", (l_returnflag = 'R')::INT AS flag, o_orderpriority, l_suppkey")},
+learning AS MATERIALIZED (
+  SELECT seq, seq <= (SELECT floor(count(*) * 0.8) FROM txn) AS early, amount, flag, o_orderpriority AS Payment_type,
+         pn.n_name AS Sender_bank_location, pr.r_name AS Payment_currency, qn.n_name AS Receiver_bank_location, qr.r_name AS Received_currency
+  FROM txn JOIN customer ON c_custkey = sender JOIN nation pn ON pn.n_nationkey = c_nationkey JOIN region pr ON pr.r_regionkey = pn.n_regionkey
+  JOIN supplier ON s_suppkey = l_suppkey JOIN nation qn ON qn.n_nationkey = s_nationkey JOIN region qr ON qr.r_regionkey = qn.n_regionkey)"""
+
+CATEGORIES = ["Payment_currency", "Received_currency", "Sender_bank_location", "Receiver_bank_location", "Payment_type"]
+
+#: One-hot places after the amount: categories in turn, their values by frequency among the earlier rows, then by name.
+ENCODED = f"""{LEARNING},
+cells AS MATERIALIZED ({" UNION ALL ".join(f"SELECT seq, early, {i} AS turn, '{c}' AS category, {c} AS value FROM learning" for i, c in enumerate(CATEGORIES))}),
+named AS MATERIALIZED (
+  SELECT category, value, row_number() OVER (ORDER BY turn, n DESC, value) AS slot
+  FROM (SELECT turn, category, value, count(*) AS n FROM cells WHERE early GROUP BY ALL))"""
+
+
 def oracle_sql() -> dict[str, str]:
     sparse, dense = _txn(SPARSE), _txn(DENSE)
     components = (sparse, _members())
@@ -456,6 +473,16 @@ SELECT k.label, count(judged.label) AS support FROM k LEFT JOIN judged ON judged
 ranked AS (SELECT label, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2) AS mean_rank FROM judged),
 t AS (SELECT sum(mean_rank) FILTER (WHERE label = 1) AS r, count(*) FILTER (WHERE label = 1)::DOUBLE AS p, count(*) FILTER (WHERE label = 0)::DOUBLE AS n FROM ranked)
 SELECT round((r - p * (p + 1) / 2) / (p * n), 6) AS auc FROM t""",
+        "encoded_features": f"""WITH {ENCODED}
+SELECT seq, slot::INT AS slot, 1.0::DOUBLE AS value FROM cells JOIN named USING (category, value) WHERE NOT early
+UNION ALL SELECT seq, 0, amount FROM learning WHERE NOT early AND amount <> 0""",
+        "feature_slots": f"""WITH {ENCODED}
+SELECT slot::INT AS slot, concat(category, '_vec_', value) AS feature FROM named UNION ALL SELECT 0, 'Amount'""",
+        "ablation_support": f"""WITH {LEARNING}
+SELECT feature_set, model, label, support FROM
+  (SELECT flag AS label, count(*) AS support FROM learning WHERE NOT early GROUP BY 1),
+  (SELECT unnest(['raw_and_graph', 'raw', 'graph']) AS feature_set),
+  (SELECT unnest(['logistic_regression', 'decision_tree', 'random_forest', 'linear_svm']) AS model)""",
         "stream_components": _recursive(
             "ev AS MATERIALIZED (SELECT user_id AS sender, (props->>'$.k')::BIGINT AS receiver FROM events)",
             _members("ev"), body="SELECT account, component FROM members",

@@ -487,11 +487,10 @@ def auc(ws: Workspace, sf_dir: str) -> DataFrame:
     return learn.auc(ws, _judged(ws, sf_dir), learn.LABEL, "score").select(F.round("auc", 6).alias("auc"))
 
 
-def learning_table(ws: Workspace, sf_dir: str) -> DataFrame:
-    """Dense transfers with labels, categories, and graph features."""
+def learning_table(ws: Workspace, sf_dir: str, graph: bool = True) -> DataFrame:
+    """Dense transfers with labels, categories, and graph features if asked for."""
     keep = ("l_returnflag", "o_orderpriority", "l_suppkey")
     txn = fx.txn_dense(ws, sf_dir, keep)
-    members = ws.write(components.components(ws, txn), "members")
     nation = fx.table(ws.spark, sf_dir, "nation").join(
         F.broadcast(fx.table(ws.spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
     )
@@ -503,7 +502,9 @@ def learning_table(ws: Workspace, sf_dir: str) -> DataFrame:
 
     payer = located("customer", "c_custkey", "c_nationkey", "Sender_bank_location", "Payment_currency")
     payee = located("supplier", "s_suppkey", "s_nationkey", "Receiver_bank_location", "Received_currency")
-    featured = centrality.attach_features(ws, txn, members)
+    featured = txn
+    if graph:
+        featured = centrality.attach_features(ws, txn, ws.write(components.components(ws, txn), "members"))
     paid = lookup(featured, "sender", payer, "c_custkey", "seq", hot_keys(ws, txn, "sender"), "inner")
     received = lookup(paid, "l_suppkey", payee, "s_suppkey", "seq", hot_keys(ws, txn, "l_suppkey"), "inner")
     rows = received.select(
@@ -511,15 +512,44 @@ def learning_table(ws: Workspace, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.date_format("ts", "HH:mm:ss").alias("Time"),
         F.col("amount").alias("Amount"), F.col("o_orderpriority").alias("Payment_type"),
         "Sender_bank_location", "Payment_currency", "Receiver_bank_location", "Received_currency",
-        *learn.GRAPH_COLUMNS,
+        *(learn.GRAPH_COLUMNS if graph else ()),
         (F.col("l_returnflag") == "R").cast("int").alias(learn.LABEL),
     )
     return learn.add_timestamp(rows)
 
 
-def _ablated(ws: Workspace, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _ablated(ws: Workspace, sf_dir: str, models: dict | None = None) -> tuple[DataFrame, DataFrame]:
     train, test = learn.split_by_time(ws, learning_table(ws, sf_dir), ["timestamp", "seq"])
-    return learn.ablation(ws, train, test)
+    return learn.ablation(ws, train, test, models=models)
+
+
+def _encoded(ws: Workspace, sf_dir: str) -> DataFrame:
+    """The later transfers by an encoder fitted on the earlier ones: all categories, and the amount."""
+    rows = ws.write(learning_table(ws, sf_dir, graph=False), "rows")
+    train, test = learn.split_by_time(ws, rows, ["timestamp", "seq"])
+    categories, _ = learn.FEATURE_SETS["raw_and_graph"]
+    return learn.encoder(categories, ["Amount"]).fit(train).transform(test)
+
+
+@query
+def encoded_features(ws: Workspace, sf_dir: str) -> DataFrame:
+    """The design matrix of the later transfers, a row per value that is not 0."""
+    return learn.long_form(_encoded(ws, sf_dir), "seq")
+
+
+@query
+def feature_slots(ws: Workspace, sf_dir: str) -> DataFrame:
+    """What the places of the feature vector stand for."""
+    return learn.slots(_encoded(ws, sf_dir))
+
+
+@query
+def ablation_support(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Rows per class that each of the twelve fits was judged on."""
+    metrics, _ = _ablated(ws, sf_dir, learn.classifiers(trees=3))
+    support = metrics.where("metric LIKE 'support_class_%'")
+    label = F.regexp_extract("metric", "[0-9]+$", 0).cast("int").alias("label")
+    return support.select("feature_set", "model", label, F.col("value").cast("long").alias("support"))
 
 
 @query
