@@ -351,6 +351,21 @@ SELECT o_orderkey, text,
           WHERE o.n IS NULL OR d.dist + g.w < o.dist GROUP BY 1, 2)""",
             body="SELECT s AS source, n AS component, round(dist, 2) AS distance FROM d",
         ),
+        "nearest_risk": _recursive(
+            dense, entities, between,
+            "g AS MATERIALIZED (SELECT cu AS u, cv AS v, min(w) AS w FROM cg GROUP BY 1, 2)",
+            """d(s, n, dist) USING KEY (s, n) AS (
+    SELECT DISTINCT component, component, 0.0::DOUBLE FROM txn JOIN entity ON account = sender WHERE sender % 64 = 0
+    UNION SELECT d.s, g.v, min(d.dist + g.w) FROM d JOIN g ON g.u = d.n
+          LEFT JOIN recurring.d o ON o.s = d.s AND o.n = g.v
+          WHERE o.n IS NULL OR d.dist + g.w < o.dist GROUP BY 1, 2)""",
+            body="""SELECT arg_min(s, (dist, s)) AS source, n AS component, round(min(dist), 2) AS distance FROM d WHERE dist <= 60000 GROUP BY n""",
+        ),
+        "path_distance": """
+WITH places AS (SELECT c_custkey AS node, coalesce(sum(1 + c_custkey % 7) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far FROM customer
+  UNION ALL SELECT max(c_custkey) + 1, sum(1 + c_custkey % 7) FROM customer)
+SELECT s.node AS source, x.node, (x.far - s.far)::DOUBLE AS dist FROM places x JOIN places s ON s.node = x.node // 1000 * 1000
+WHERE s.node <= (SELECT max(c_custkey) FROM customer)""",
         "account_flow": f"""
 WITH {sparse}
 SELECT account, sum(sent)::BIGINT AS sent, sum(ow)::BIGINT AS out_whole, sum(iw)::BIGINT AS in_whole,

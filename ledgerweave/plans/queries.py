@@ -159,6 +159,27 @@ def risk_distance(ws: Workspace, sf_dir: str) -> DataFrame:
     return found.select("source", "component", F.round("distance", 2).alias("distance")).orderBy("source", "component")
 
 
+@query
+def nearest_risk(ws: Workspace, sf_dir: str) -> DataFrame:
+    """The nearest source of each component within a distance; a row per component at most."""
+    edges = _dense_edges(ws, sf_dir)
+    sources = edges.where("src % 64 = 0").select(F.col("src").alias("account")).distinct()
+    links = fx.entity_links(ws.spark, sf_dir)
+    found = distance.risk_distances(ws, _ends(edges), links, edges, sources, cutoff=60_000.0, nearest=True)
+    return found.select("source", "component", F.round("distance", 2).alias("distance"))
+
+
+@query
+def path_distance(ws: Workspace, sf_dir: str) -> DataFrame:
+    """All customers in a single line, each paying the next; distances from every thousandth."""
+    customer = fx.table(ws.spark, sf_dir, "customer")
+    edges = customer.select(
+        F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1).alias("dst"), (1 + F.col("c_custkey") % 7).cast("double").alias("w")
+    )
+    sources = edges.where("src % 1000 = 0").select(F.col("src").alias("source"), F.col("src").alias("node"))
+    return distance.cheapest_distances(ws, edges, sources, nearest=True)
+
+
 @query
 def account_flow(ws: Workspace, sf_dir: str) -> DataFrame:
     found = stats.account_flow(fx.transfers(ws.spark, sf_dir, fx.SPARSE))

@@ -61,3 +61,40 @@ def test_negative_weight(spark):
     df = spark.createDataFrame([(1, 2, -1.0)], "src long, dst long, w double")
     with pytest.raises(D.NegativeWeight):
         D.cheapest_distances(Workspace(spark), df, spark.createDataFrame([(1, 1)], "source long, node long"))
+
+
+def test_a_long_path_takes_few_rounds(spark):
+    ws = Workspace(spark)
+    edges = spark.range(2_000).selectExpr("id AS src", "id + 1 AS dst", "cast(1 + id % 3 AS double) AS w")
+    found = D.cheapest_distances(ws, edges, spark.createDataFrame([(0, 0)], "source long, node long"))
+    expected, at = {0: 0.0}, 0.0
+    for i in range(2_000):
+        at += 1 + i % 3
+        expected[i + 1] = at
+    assert {r.node: r.dist for r in found.collect()} == expected
+    assert len(ws._written) < 25
+
+
+@pytest.mark.parametrize("nearest", [False, True])
+def test_chains_rings_and_cutoff_equal_a_plain_search(spark, nearest):
+    rng = random.Random(6)
+    edges = [(i, i + 1, rng.uniform(0.1, 3)) for i in range(40)] + [(100 + i, 100 + (i + 1) % 6, 1.0) for i in range(6)]
+    edges += [(rng.randrange(41), rng.randrange(41), rng.uniform(1, 30)) for _ in range(8)] + [(5, 6, 9.0), (40, 41, 0.5), (41, 40, 0.5)]
+    starts = [0, 13, 200]
+    frames = spark.createDataFrame(edges, "src long, dst long, w double"), spark.createDataFrame([(s, s) for s in starts], "source long, node long")
+    far = {}
+    for s in starts:
+        known = {s: 0.0}
+        for _ in range(60):
+            for u, v, w in edges:
+                if u in known and known[u] + w < known.get(v, 1e9):
+                    known[v] = known[u] + w
+        far |= {(s, n): d for n, d in known.items() if d <= 25}
+    if nearest:
+        best = {}
+        for (s, n), d in far.items():
+            best[n] = min(best.get(n, (1e9, 0)), (d, s))
+        far = {(s, n): d for n, (d, s) in best.items()}
+    found = D.cheapest_distances(Workspace(spark), *frames, cutoff=25.0, nearest=nearest)
+    got = {(r.source, r.node): r.dist for r in found.collect()}
+    assert got.keys() == far.keys() and all(got[k] == pytest.approx(far[k]) for k in far)
