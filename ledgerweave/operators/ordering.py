@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ledgerweave.operators.skew import GROUP_ROWS
 from ledgerweave.workspace import Workspace
 
+#: Rows of a group up to which Spark limits it before the shuffle, by default.
+GROUP_LIMIT = 1000
+
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in the low bits
 
 
@@ -197,7 +200,14 @@ def latest(
     hot: DataFrame | None = None,
     slice_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """The ``n`` rows of each key with the greatest ``order``."""
+    """The ``n`` rows of each key with the greatest ``order``.
+
+    Up to ``GROUP_LIMIT`` rows a key Spark drops the rest within each task, before it shuffles, so that a key
+    holds ``n`` rows a task at most.
+    """
+    if n <= GROUP_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+        return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
     counted = df.withColumn("_one", F.lit(1)).withColumn("_newest", -F.col(order))
     ranked = running_sum(counted, key, "_newest", "_one", "_rank", hot, slice_rows)
     return ranked.where(F.col("_rank") <= n).drop("_one", "_newest", "_rank")

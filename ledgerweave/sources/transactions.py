@@ -6,7 +6,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerweave.functions import timeparse
 from ledgerweave.operators.ordering import number_rows
@@ -108,14 +107,3 @@ def _finish(ws: Workspace, numbered: DataFrame) -> DataFrame:
         "amount",
     )
     return ws.know(finished, numbered)
-
-
-def account_type(txn: DataFrame) -> T.DataType:
-    return txn.schema["sender"].dataType
-
-
-def accounts(txn: DataFrame) -> DataFrame:
-    """Every sender and receiver once."""
-    both = F.explode(F.array("sender", "receiver")).alias("account")
-    return txn.select(both).distinct()
-
