@@ -208,6 +208,19 @@ ratio AS MATERIALIZED (
          CASE WHEN count(u) > 0 THEN count(u) FILTER (WHERE back) / count(u) ELSE 0.0 END AS bidirect_ratio
   FROM members LEFT JOIN two ON u = account GROUP BY component)"""
 
+#: Hops between accounts of a component, and how many shortest ways there are.
+HOPS = (
+    "adj AS MATERIALIZED (SELECT u, v FROM p UNION SELECT v, u FROM p)",
+    """hop(s, n, d) USING KEY (s, n) AS (SELECT account, account, 0 FROM members
+  UNION SELECT DISTINCT hop.s, adj.v, hop.d + 1 FROM hop JOIN adj ON adj.u = hop.n
+        LEFT JOIN recurring.hop o ON o.s = hop.s AND o.n = adj.v WHERE o.n IS NULL)""",
+    "dist AS MATERIALIZED (SELECT s, n, d FROM hop)",
+    """paths(s, n, d, c) AS (SELECT s, n, d, 1.0::DOUBLE FROM dist WHERE d = 0
+  UNION ALL SELECT paths.s, dist.n, dist.d, sum(paths.c)::DOUBLE FROM paths JOIN adj ON adj.u = paths.n
+    JOIN dist ON dist.s = paths.s AND dist.n = adj.v AND dist.d = paths.d + 1 GROUP BY ALL)""",
+    "sp AS MATERIALIZED (SELECT s, n, d, c FROM paths)",
+)
+
 JUDGED = """judged AS (
   SELECT (l_returnflag = 'R')::INT AS label, (l_tax >= 0.04)::INT::DOUBLE AS prediction, l_tax AS score
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -467,6 +480,30 @@ QUALIFY row_number() OVER (PARTITION BY component ORDER BY interval DESC) = 1"""
   round(ratio.bidirect_ratio, 4) AS group_bidirect_ratio, round(r.closeness, 4) AS receiver_closeness, round(r.betweenness, 4) AS receiver_betweenness
 FROM txn JOIN feat s ON s.account = sender JOIN feat r ON r.account = receiver
 JOIN stats st ON st.component = s.component JOIN ratio ON ratio.component = s.component""",
+        ),
+        "pivot_betweenness": _recursive(
+            large, _members(), PAIRS, *HOPS,
+            f"""piv AS MATERIALIZED (SELECT account, component FROM members
+  QUALIFY row_number() OVER (PARTITION BY component ORDER BY {_hash(_hash('account', 'pivot'), 'pivot again')}) <= 24)""",
+            "size AS (SELECT component, count(*)::DOUBLE AS n, least(count(*), 24)::DOUBLE AS k FROM members GROUP BY 1)",
+            """single AS (SELECT u AS a, min(v) AS holder FROM adj GROUP BY 1 HAVING count(*) = 1)""",
+            """leaf AS MATERIALIZED (SELECT x.a, x.holder FROM single x LEFT JOIN single y ON y.a = x.holder WHERE y.a IS NULL OR x.a > y.a)""",
+            "tree AS MATERIALIZED (SELECT account, count(leaf.a)::DOUBLE AS h FROM members LEFT JOIN leaf ON holder = account GROUP BY 1)",
+            # Of a pivot elsewhere: what goes through, less the ways that end in a leaf at the account.
+            """carried AS (SELECT x.s, x.n AS a, sum(x.c * y.c / z.c) - any_value(h) AS share FROM sp x JOIN sp y ON y.s = x.n
+  JOIN sp z ON z.s = x.s AND z.n = y.n AND z.d = x.d + y.d JOIN tree ON tree.account = x.n
+  WHERE x.s IN (SELECT account FROM piv) AND x.s <> x.n AND y.n <> x.n
+    AND NOT EXISTS (SELECT 1 FROM leaf WHERE leaf.a = x.s AND leaf.holder = x.n) GROUP BY 1, 2)""",
+            "summed AS (SELECT a, sum(share) AS t, sum(share * share) AS q FROM carried WHERE a NOT IN (SELECT a FROM leaf) GROUP BY 1)",
+            body="""SELECT account, k::BIGINT AS pivots, round(h * (h - 1) / 2 + h * (n - 1 - h) + n / k * coalesce(t, 0.0) / 2, 3) AS betweenness,
+  round(CASE WHEN k >= n THEN 0.0 WHEN k > 1 THEN
+    n / 2 * sqrt((1 - k / n) * greatest(0.0, coalesce(q, 0.0) - coalesce(t, 0.0) * coalesce(t, 0.0) / k) / (k - 1) / k) END, 2) AS error
+FROM members JOIN size USING (component) JOIN tree USING (account) LEFT JOIN summed ON a = account""",
+        ),
+        "sketched_closeness": _recursive(
+            large, _members(), PAIRS, *HOPS[:2],
+            body="""SELECT s AS account, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) ELSE 0.0 END, 6) AS closeness, true AS within
+FROM hop GROUP BY s""",
         ),
         "temporal_split": f"WITH {dense} SELECT seq, CASE WHEN seq <= (SELECT floor(count(*) * 0.8) FROM txn) THEN 'train' ELSE 'test' END AS side FROM txn",
         "split_except": f"""WITH {dense},
@@ -505,6 +542,16 @@ SELECT feature_set, model, label, support FROM
         "stream_stats": _recursive(events, _members(), STATS, body="SELECT component, accounts, edges::BIGINT AS edges FROM rated"),
         "stream_alerts": _recursive(events, _large_scored(1 << 12), body=alerts.replace("epoch(ts)::DOUBLE", "epoch_us(ts) / 1e6")),
         "stream_lagged": f"WITH {events} SELECT seq, epoch_us(ts) / 1e6 AS tnum, sender, receiver, amount FROM txn",
+        "stream_refined": _recursive(
+            dense,
+            """cut AS (SELECT b, (b + 1) * n // 3 AS last, n // 6 AS w
+  FROM (SELECT count(*) AS n FROM txn), (SELECT unnest([0, 1, 2]) AS b))""",
+            """way AS MATERIALIZED (SELECT DISTINCT b, sender AS u, receiver AS v FROM cut JOIN txn ON seq <= last AND seq > last - w
+  WHERE sender <> receiver)""",
+            "two AS MATERIALIZED (SELECT x.* FROM way x JOIN way y ON y.b = x.b AND y.u = x.v AND y.v = x.u)",
+            "r(b, a, n) AS (SELECT DISTINCT b, u, u FROM two UNION SELECT r.b, r.a, two.v FROM r JOIN two ON two.b = r.b AND two.u = r.n)",
+            body="SELECT b AS batch, a AS account, min(n) AS block, count(*) AS accounts FROM r GROUP BY b, a",
+        ),
         "stream_windowed_flow": """
 SELECT epoch(ts)::BIGINT // 86400 * 86400 AS start, user_id AS sender, count(*) AS edges,
        sum(trunc(greatest(1.0, value))::BIGINT)::BIGINT AS outflow FROM events GROUP BY ALL""",

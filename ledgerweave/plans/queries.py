@@ -14,6 +14,7 @@ from ledgerweave.operators import (
     checkpoints,
     components,
     distance,
+    hyperball,
     intervals,
     learn,
     merges,
@@ -27,7 +28,7 @@ from ledgerweave.operators import (
 from ledgerweave.operators.skew import hot_keys, lookup
 from ledgerweave.plans import fixtures as fx
 from ledgerweave.sources import sinks, transactions
-from ledgerweave.streaming import ledger, windows
+from ledgerweave.streaming import ledger, recent, windows
 from ledgerweave.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -446,6 +447,26 @@ def graph_features(ws: Workspace, sf_dir: str) -> DataFrame:
     return found.select("seq", "component", *whole, *[F.round(c, 4).alias(c) for c in doubles])
 
 
+@query
+def pivot_betweenness(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Betweenness in components of 400 accounts, estimated from 24 accounts of each; accounts with one partner are folded first."""
+    txn = fx.txn_large(ws, sf_dir)
+    members = ws.write(components.components(ws, txn), "members")
+    found = centrality.pivot_betweenness(ws, txn, members, pivots=24, folds=1)
+    return found.select("account", "pivots", F.round("betweenness", 3).alias("betweenness"), F.round("error", 2).alias("error"))
+
+
+@query
+def sketched_closeness(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Exact closeness, and whether sketches of 256 registers come within four of their standard errors of it."""
+    txn = fx.txn_large(ws, sf_dir)
+    members = ws.write(components.components(ws, txn), "members")
+    exact = centrality.closeness_betweenness(ws, txn, members).select("account", F.col("closeness").alias("exact"))
+    both = hyperball.closeness_sketch(ws, txn, members, lg_k=8).join(exact, "account")
+    within = F.abs(F.col("closeness") - F.col("exact")) <= 4 * F.col("error") + 1e-9
+    return both.select("account", F.round("exact", 6).alias("closeness"), within.alias("within"))
+
+
 # --- learning ------------------------------------------------------------------
 
 
@@ -661,6 +682,25 @@ def stream_lagged(ws: Workspace, sf_dir: str) -> DataFrame:
     return book.edges(book.drain(last)).select("seq", "tnum", "sender", "receiver", "amount")
 
 
+@query
+def stream_refined(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Blocks of two-way pairs among the latest sixth of all transfers, after each of three micro-batches."""
+    txn = fx.txn_dense(ws, sf_dir).withColumn("tnum", F.col("seq").cast("double"))
+    n, folder = ws.rows(txn), f"{ws.root}/arrivals"
+    for i in range(3):
+        arrived = txn.where(F.col("seq").between(i * n // 3 + 1, (i + 1) * n // 3))
+        arrived.select("tnum", "sender", "receiver", "amount").coalesce(1).write.mode("append").parquet(folder)
+    schema = txn.select("tnum", "sender", "receiver", "amount").schema
+    recency = recent.RecentBlocks(ws.spark, f"{ws.root}/recent", window_edges=n // 6, compact_every=2)
+    recency.start(ledger.edge_stream(ws.spark, folder, schema, files_per_batch=1), f"{ws.root}/checkpoint").awaitTermination()
+    parts = []
+    for i in range(3):
+        placed = recency.blocks(ws, i)
+        sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("accounts"))
+        parts.append(placed.join(sizes, "block").select(F.lit(i).alias("batch"), "account", "block", "accounts"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query
 def stream_windowed_flow(ws: Workspace, sf_dir: str) -> DataFrame:
     """Daily outflow per sender; windows still open when the stream ends are drained."""

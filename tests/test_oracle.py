@@ -21,6 +21,7 @@ QUICK = [
     "kmv_by_region", "reciprocal_pairs", "temporal_split", "split_except", "category_index", "confusion",
     "class_metrics", "class_support", "auc", "component_stats", "cms_flow", "stream_windowed_flow",
     "large_merge_scores", "large_summary_every", "robust_z", "sketch_merge", "nearest_risk", "encoded_features", "feature_slots",
+    "pivot_betweenness",
 ]
 NAMES = [n for n in entry.oracle_sql() if os.environ.get("LEDGERWEAVE_ALL") or n in QUICK]
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 import reference_models as model
 
-from ledgerweave.operators import centrality, pairs, refine, sketches, stats
+from ledgerweave.operators import centrality, hyperball, pairs, refine, sketches, stats
 from ledgerweave.operators import components as C
 from ledgerweave.workspace import Workspace
 from test_merges import as_txn, transfers
@@ -122,6 +122,76 @@ def test_bridge_ends_carry_all_paths(spark):
     assert {r.account: r.betweenness for r in found} == pytest.approx({i: 30.0 if i in (0, 6) else 0.0 for i in range(12)})
 
 
+@pytest.mark.parametrize("search_rows, folds", [(10**9, 16), (2000, 0)])
+def test_betweenness_from_all_accounts_is_exact(graph, search_rows, folds):
+    ws, rows, txn, members = graph
+    group_rows = 40 if search_rows == 2000 else 10**6
+    expected = {a: b for a, (_, b) in model.centrality([(u, v) for _, u, v, _ in rows]).items()}
+    whole = centrality.pivot_betweenness(ws, txn, members, 10**3, folds, search_rows, group_rows).collect()
+    assert {r.account: r.betweenness for r in whole} == pytest.approx(expected)
+    assert {r.error for r in whole} == {0.0}
+
+
+def test_betweenness_from_pivots(spark):
+    """Shares are heavy-tailed, so three standard errors hold 90 % of the figures on average over draws, 80 % at the least."""
+    rng = random.Random(8)
+    edges = [(i, rng.randrange(90)) for i in range(90) for _ in range(3)]
+    ws = Workspace(spark)
+    txn = ws.write(as_txn(spark, [(n + 1, u, v, 1.0) for n, (u, v) in enumerate(edges)]))
+    members = ws.write(C.components(ws, txn))
+    expected = {a: b for a, (_, b) in model.centrality(edges).items()}
+    some = centrality.pivot_betweenness(ws, txn, members, 30).collect()
+    assert {r.pivots for r in some} == {30} and {r.account for r in some} == set(expected)
+    near = [abs(r.betweenness - expected[r.account]) <= 3 * r.error + 1e-9 for r in some]
+    assert sum(near) >= 0.8 * len(near)
+    assert sum(r.betweenness for r in some) == pytest.approx(sum(expected.values()), rel=0.1)
+
+
+def test_trees_need_no_pivots(spark):
+    """A tree folds into one account, so its figures are exact whatever the pivots; so are those of a long tail in part."""
+    rng = random.Random(2)
+    edges = [(i, rng.randrange(i)) for i in range(1, 60)] + [(100, 101)] + [(200 + i, 201 + i) for i in range(9)]
+    ws = Workspace(spark)
+    txn = ws.write(as_txn(spark, [(n + 1, u, v, 1.0) for n, (u, v) in enumerate(edges)]))
+    members = ws.write(C.components(ws, txn))
+    expected = {a: b for a, (_, b) in model.centrality(edges).items()}
+    found = centrality.pivot_betweenness(ws, txn, members, 2, folds=40).collect()
+    assert {r.account: r.betweenness for r in found} == pytest.approx(expected)
+
+
+def test_pivots_of_accounts_alone(spark):
+    ws = Workspace(spark)
+    txn = ws.write(as_txn(spark, [(1, 5, 5, 1.0), (2, 6, 6, 1.0)]))
+    members = ws.write(C.components(ws, txn))
+    found = centrality.pivot_betweenness(ws, txn, members, 1).collect()
+    assert sorted(map(tuple, found)) == [(5, 1, 0.0, 0.0), (6, 1, 0.0, 0.0)]
+    assert sorted(map(tuple, hyperball.closeness_sketch(ws, txn, members).collect())) == [(5, 0.0, 0.0), (6, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("group_rows", [10**6, 40])
+def test_closeness_from_sketches(graph, group_rows):
+    """Small components are counted without error."""
+    ws, rows, txn, members = graph
+    expected = {a: c for a, (c, _) in model.centrality([(u, v) for _, u, v, _ in rows]).items()}
+    found = hyperball.closeness_sketch(ws, txn, members, group_rows=group_rows).collect()
+    assert {r.account: r.closeness for r in found} == pytest.approx(expected, rel=1e-9)
+
+
+def test_closeness_of_a_large_component(spark):
+    """1,500 accounts with sketches of 256 registers: nearly all within three standard errors, all within five."""
+    rng = random.Random(4)
+    edges = [(i, rng.randrange(i // 2, i)) for i in range(1, 1500)] + [(rng.randrange(1500), rng.randrange(1500)) for _ in range(500)]
+    ws = Workspace(spark)
+    txn = ws.write(as_txn(spark, [(n + 1, u, v, 1.0) for n, (u, v) in enumerate(edges)]))
+    members = ws.write(C.components(ws, txn))
+    expected = {a: c for a, (c, _) in model.centrality(edges).items()}
+    found = hyperball.closeness_sketch(ws, txn, members, lg_k=8).collect()
+    assert len(found) == 1500
+    off = [abs(r.closeness - expected[r.account]) / r.error for r in found]
+    assert max(off) < 5 and sum(x <= 3 for x in off) >= 0.95 * len(off)
+    assert max(r.error / r.closeness for r in found) < 0.5
+
+
 def test_refine_blocks_and_fallback(spark):
     rows = [(1, 1, 2, 5.0), (2, 2, 1, 5.0), (3, 2, 3, 5.0), (4, 1, 1, 2.0), (5, 8, 9, 5.0), (6, 8, 8, 1.0)]
     ws = Workspace(spark)

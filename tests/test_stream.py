@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ledgerweave.sources import sinks
 from ledgerweave.plans.queries import QUERIES
 from ledgerweave.streaming.ledger import Ledger, edge_stream
+from ledgerweave.streaming.recent import RecentBlocks
+from ledgerweave.workspace import Workspace
 from test_merges import transfers
 
 SCHEMA = "tnum double, sender long, receiver long, amount double"
@@ -123,3 +125,44 @@ def test_lagged_transfers_are_applied_in_order_of_time(spark, tmp_path):
     assert applied == {seq: (float(seq), u, v) for seq, u, v, _ in rows}
     scores = model.merge_scores(rows)
     assert {r.time: r.out_hh for r in book.alerts().collect()} == {float(s): row[3] for s, row in scores.items()}
+
+
+def blocks_of(rows, window, mutual):
+    """account -> block among the latest transfers, from scratch."""
+    late = {(u, v) for _, u, v, _ in rows[-window:] if u != v}
+    return model.components([(u, v) for u, v in late if not mutual or (v, u) in late])
+
+
+@pytest.mark.parametrize("mutual", [True, False])
+def test_blocks_of_a_sliding_window(spark, tmp_path, mutual):
+    """Links expire, blocks fall apart and grow again; every window up to the longest is right after every batch."""
+    rows = transfers(120, 12, seed=31)
+    kept = RecentBlocks(spark, str(tmp_path / "recent"), mutual, window_edges=70, compact_every=2)
+    parts = list(batches(spark, rows, 30))
+    ws, fell_apart = Workspace(spark), False
+    for i, batch in enumerate(parts):
+        kept.apply(batch, i)
+        if i == 2:
+            kept.apply(batch, i)  # as after a failure
+        so_far = rows[: 30 * (i + 1)]
+        for window in (70, 25):
+            found = {r.account: r.block for r in kept.blocks(ws, i, window).collect()}
+            assert found == blocks_of(so_far, window, mutual)
+        fell_apart |= blocks_of(so_far, 25, mutual) != blocks_of(so_far, 70, mutual)
+        forest = kept.forest(i).collect()
+        assert len(forest) == len(found := blocks_of(so_far, 70, mutual)) - len(set(found.values()))
+    assert fell_apart
+    with pytest.raises(ValueError):
+        kept.forest(3, 71)
+
+
+def test_a_batch_without_links(spark, tmp_path):
+    """Empty batches and self loops link nothing; loops count as transfers, so that earlier links expire."""
+    kept, ws = RecentBlocks(spark, str(tmp_path / "recent"), window_edges=3), Workspace(spark)
+    kept.apply(spark.createDataFrame([], SCHEMA), 0)
+    assert kept.blocks(ws, 0).collect() == []
+    kept.apply(spark.createDataFrame([(1.0, 1, 2, 1.0), (2.0, 2, 1, 1.0)], SCHEMA), 1)
+    kept.apply(spark.createDataFrame([(3.0, 7, 7, 1.0)], SCHEMA), 2)
+    assert sorted(map(tuple, kept.blocks(ws, 2).collect())) == [(1, 1), (2, 1)]
+    kept.apply(spark.createDataFrame([(4.0, 7, 7, 1.0), (None, 8, 8, 1.0)], SCHEMA), 3)
+    assert kept.blocks(ws, 3).collect() == []
