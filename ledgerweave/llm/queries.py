@@ -99,8 +99,17 @@ RULES = [
     urls.Rule("block", "net/es/"),
     urls.Rule("block", "net/fr/"),
 ]
+#: Host labels, or beginnings of such before a hyphen, of gambling, medicines, loans, adverts,
+#: link farms, pirated copies and adult sites.
+JUNK_LABELS = (
+    "adserver adclick ads-track affiliate-links backlinks bet-now betting bingo-bonus buy-followers buy-pills casino casino-win "
+    "cheap-pills click-track crack-download doorway escorts fake-watches free-bets free-casino free-pills hot-singles jackpot "
+    "keygen link-farm link-exchange loan-shark lottery-win online-casino online-pharmacy payday-loans pill-shop poker-bonus "
+    "popunder porn replica-watches seo-farm slots spam spam-farm spin-win sportsbook stream-free torrents traffic-exchange "
+    "viagra warez win-prize xxx"
+).split()
 #: The method's own, for URLs that none of those fits.
-OWN_RULES = [urls.Rule("block", "spam-farm.*", 1), urls.Rule("block", "cheap-pills.*", 1)]
+OWN_RULES = [urls.Rule("block", pattern, 1) for label in JUNK_LABELS for pattern in (f"{label}.*", f"{label}-*")]
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +282,7 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
-                    WHEN rule IS NOT NULL OR dotted LIKE '%.spam-farm.%' OR dotted LIKE '%.cheap-pills.%' THEN 'block'
+                    WHEN rule IS NOT NULL OR regexp_matches(host || path, 'JUNK') THEN 'block'
                     ELSE 'allow' END AS verdict
-        FROM judged""",
+        FROM judged""".replace("JUNK", "|".join(r.regex.removeprefix("(?s)") for r in OWN_RULES)),
 }

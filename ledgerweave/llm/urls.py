@@ -13,12 +13,13 @@ URLs is DataFrame functions.
 
 from __future__ import annotations
 
+import json
 import re
 import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rules whose index may be broadcast; a longer list is refused.
@@ -64,22 +65,26 @@ def _tokens(target: Column) -> Column:
     return F.array_union(F.split(_lower(target), "[^a-z0-9]+"), F.array(F.lit("")))
 
 
+#: A rule as it goes to Spark; all rules are one literal, so that a long list makes no long plan.
+_FILED = "array<struct<tier:int,shorter:int,pattern:string,verdict:string,regex:string,tokens:array<string>>>"
+
+
+def _table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    made = [
+        {"tier": r.tier, "shorter": -len(r.pattern), "pattern": r.pattern, "verdict": r.verdict, "regex": r.regex, "tokens": r.tokens}
+        for r in rules
+    ]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(made)), _FILED)))
+
+
 def _index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``(token, hit, regex)``, a row per rule."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    held = urls.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, wanted)))).alias("token"))
-    counts = {r.token: r.n for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for rule in rules:
-        token = min(rule.tokens, key=lambda t: (counts.get(t, 0), t))
-        hit = F.struct(
-            F.lit(rule.tier).alias("tier"),
-            F.lit(-len(rule.pattern)).alias("shorter"),
-            F.lit(rule.pattern).alias("pattern"),
-            F.lit(rule.verdict).alias("verdict"),
-        )
-        rows.append(F.struct(F.lit(token).alias("token"), hit.alias("hit"), F.lit(rule.regex).alias("regex")))
-    return urls.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    """``(token, hit, regex)``, a row per rule, under the token that fewest URLs hold."""
+    listed = _table(urls.sparkSession, rules).select("regex", F.struct("tier", "shorter", "pattern", "verdict").alias("hit"), F.explode("tokens").alias("token"))
+    wanted = listed.select("token").distinct()
+    held = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
+    # Both sides are bounded by the rules.
+    counted = listed.join(F.broadcast(held), "token", "left")
+    return counted.groupBy("hit", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest")).select("rarest.token", "hit", "regex")
 
 
 def verdicts(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:

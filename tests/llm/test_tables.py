@@ -126,6 +126,28 @@ def test_urls(spark):
     assert urls.verdicts(frame, []).where("verdict <> 'allow'").count() == 0
 
 
+def test_many_url_rules_equal_plain_matching(spark):
+    """Thousands of rules with wild cards, exceptions and tiers against every rule tried on every URL."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    pick = lambda: str(rng.choice(words))
+    shapes = [lambda: f"{pick()}.com/", lambda: f"{pick()}.{pick()}.com/{pick()}/", lambda: f"{pick()}.*", lambda: f"*/{pick()}/*.gif",
+              lambda: f"{pick()}-{pick()}.org/{pick()}", lambda: f"{pick()}*{pick()}.net/"]
+    made = {shapes[i % len(shapes)](): i for i in range(3000)}
+    rules = [urls.Rule("allow" if i % 7 == 0 else "block", pattern, i % 3) for pattern, i in made.items()]
+    made_urls = [f"http://{pick()}.{pick()}.com/{pick()}/{pick()}.gif" for _ in range(60)] + [f"https://{pick()}-{pick()}.org/{pick()}" for _ in range(30)]
+    made_urls += [f"ftp://{pick()}.{pick()}.net/{pick()}/x.gif?{pick()}" for _ in range(30)]
+    frame = spark.createDataFrame(list(enumerate(made_urls)), "page_id long, url string")
+    compiled = [(r.tier, -len(r.pattern), r.pattern, r.verdict, re.compile(r.regex)) for r in rules]
+    decided = 0
+    for r in urls.verdicts(frame, rules).collect():
+        target = r.host + r.path
+        fits = min((entry[:4] for entry in compiled if entry[4].search(target)), default=None)
+        assert (r.tier, r.pattern, r.verdict) == ((fits[0], *fits[2:]) if fits else (None, None, "allow"))
+        decided += fits is not None
+    assert decided > 30
+
+
 def test_quality_statistics_equal_plain_counting(spark, docs, none):
     rng = np.random.default_rng(9)
     made = [" ".join(rng.choice(list("abc"), n)) for n in (7, 8, 9, 16, 40, 400)] + ["#a $\n#a $\n\n x\n x\n"]
