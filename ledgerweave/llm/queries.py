@@ -32,8 +32,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op1")
     docs = table(spark, sf_dir, "documents")
     known = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    training = toxicity.sample(docs.where(fold("doc_id", 5) != 0), known)
-    model = toxicity.fit(ws, training, toxicity.prior_of(known))
+    learned = docs.where(fold("doc_id", 5) != 0)
+    prior = toxicity.prior_of(known)
+    model = toxicity.fit(ws, toxicity.sample(learned, known), prior, left=toxicity.left_of(learned, known, prior))
     return toxicity.score(docs.select("doc_id", "text"), model).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted"
     )

@@ -19,8 +19,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifiers do not call toxic; labels of four of five folds train them."""
     configure(spark)
     known = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    training = toxicity.sample(docs.where(fold("doc_id", 5) != 0), known)
-    model = toxicity.fit(Workspace(spark, "toxicity"), training, toxicity.prior_of(known))
+    learned = docs.where(fold("doc_id", 5) != 0)
+    prior = toxicity.prior_of(known)
+    left = toxicity.left_of(learned, known, prior)
+    model = toxicity.fit(Workspace(spark, "toxicity"), toxicity.sample(learned, known), prior, left=left)
     return docs.where(toxicity.scorer(model)(F.col("text")) < 0.5)
 
 

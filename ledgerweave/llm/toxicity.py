@@ -1,13 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Only confirmed toxic texts are taken as labelled; every other training text is
-unlabelled, a mixture in which a share ``prior`` is toxic too.  For a scoring
-function f and the sigmoid loss, the risk of calling everything by the sign of f
-is estimated without any negative example:
+unlabelled, a mixture in which a share is toxic too.  A share ``prior`` of all texts
+is toxic, and the smaller ``left`` of the unlabelled ones, as the confirmed are not among
+them.  For a scoring function f and the sigmoid loss, the risk over all texts of calling
+everything by the sign of f is estimated without any negative example:
 
-    prior * E_P[loss(f, toxic)]  +  max(0, E_U[loss(f, clean)] - prior * E_P[loss(f, clean)])
+    prior * E_P[loss(f, toxic)]  +  (1 - prior) / (1 - left) * max(0, E_U[loss(f, clean)] - left * E_P[loss(f, clean)])
 
-(Kiryo, Niu, du Plessis, Sugiyama 2017).  The second part estimates the risk on
+(Kiryo, Niu, du Plessis, Sugiyama 2017, who draw the unlabelled from all texts, so that
+``left`` is ``prior`` and the factor 1).  The second part estimates the risk on
 clean texts and can't be negative; where a batch makes it so, the step goes the
 other way, which keeps the model from fitting the unlabelled texts one by one.
 
@@ -91,6 +93,13 @@ def prior_of(labels: DataFrame) -> float:
     return min(0.9, max(0.001, toxic / n)) if n and toxic and toxic < n else DEFAULT_PRIOR
 
 
+def left_of(docs: DataFrame, labels: DataFrame, prior: float, key: str = "doc_id") -> float:
+    """Share of toxic texts among those of ``docs`` that are not confirmed to be, if ``prior`` of all are."""
+    confirmed = labels.where("toxic = 1").select(key).distinct().withColumn("confirmed", F.lit(1))
+    n, found = docs.select(key).join(confirmed, key, "left").agg(F.count(F.lit(1)), F.count("confirmed")).first()
+    return max(0.0, prior * n - found) / (n - found) if n > found else prior
+
+
 def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo = Memo(features)
     for batch in batches:
@@ -134,20 +143,24 @@ def _memo(buckets: np.ndarray) -> Memo:
 
 
 def non_negative_step(
-    w: np.ndarray, b: float, toxic: np.ndarray, unlabelled: np.ndarray, prior: float
+    w: np.ndarray, b: float, toxic: np.ndarray, unlabelled: np.ndarray, prior: float, left: float | None = None
 ) -> tuple[np.ndarray, float, float, float]:
     """Gradient of the corrected risk on one batch: for the weights, for the bias, and both risks.
 
     Where the risk on clean texts comes out negative, the gradient is that of climbing back.
     """
+    left = prior if left is None else left
+    clean = (1 - prior) / (1 - left) if left != prior else 1.0
     s_p, s_u = (1 / (1 + np.exp(-(x @ w + b))) for x in (toxic, unlabelled))
     on_toxic = prior * (1 - s_p).mean()
-    on_clean = s_u.mean() - prior * s_p.mean()
-    g_p, g_u = s_p * (1 - s_p) / len(s_p), s_u * (1 - s_u) / len(s_u)
+    on_clean = clean * (s_u.mean() - left * s_p.mean())
+    g_p, g_u = s_p * (1 - s_p) / len(s_p), clean * s_u * (1 - s_u) / len(s_u)
+    taken = clean * left
     if on_clean >= 0:
-        # prior * (1 - s) + (-prior * s) on the toxic side: twice the same slope
-        return unlabelled.T @ g_u - 2 * prior * (toxic.T @ g_p), g_u.sum() - 2 * prior * g_p.sum(), on_toxic, on_clean
-    return prior * (toxic.T @ g_p) - unlabelled.T @ g_u, prior * g_p.sum() - g_u.sum(), on_toxic, on_clean
+        # prior * (1 - s) and -taken * s on the toxic side have the same slope
+        both = prior + taken
+        return unlabelled.T @ g_u - both * (toxic.T @ g_p), g_u.sum() - both * g_p.sum(), on_toxic, on_clean
+    return taken * (toxic.T @ g_p) - unlabelled.T @ g_u, taken * g_p.sum() - g_u.sum(), on_toxic, on_clean
 
 
 def fit_linear(
@@ -158,6 +171,7 @@ def fit_linear(
     steps: int = 400,
     rate: float = 0.05,
     shrink: float = 3e-3,
+    left: float | None = None,
 ) -> tuple[np.ndarray, float]:
     """One classifier by Adam over batches drawn with replacement; weights that earn little shrink to 0."""
     rng = np.random.default_rng(seed)
@@ -166,7 +180,7 @@ def fit_linear(
     for t in range(1, steps + 1):
         p = toxic[rng.integers(0, len(toxic), min(len(toxic), 512))].astype(np.float32)
         u = unlabelled[rng.integers(0, len(unlabelled), min(len(unlabelled), 1536))].astype(np.float32)
-        g_w, g_b, _, _ = non_negative_step(w, b, p, u, prior)
+        g_w, g_b, _, _ = non_negative_step(w, b, p, u, prior, left)
         g = np.append(g_w, g_b).astype(np.float32)
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         step = (rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
@@ -175,8 +189,8 @@ def fit_linear(
     return w, b
 
 
-def fit(ws: Workspace, training: DataFrame, prior: float, classifiers: int = 3) -> Model:
-    """Fit on ``(text, positive)``.  Without a toxic or without an unlabelled text the score is 0 for all."""
+def fit(ws: Workspace, training: DataFrame, prior: float, classifiers: int = 3, left: float | None = None) -> Model:
+    """Fit on ``(text, positive)``, where ``left`` of the others are toxic, ``prior`` if not given.  Without a toxic or without an unlabelled text the score is 0 for all."""
     rows = ws.write(training.select("text", "positive"), "toxicity", toxic="positive")
     positives = ws.count(rows, "toxic")
     others = ws.rows(rows) - positives
@@ -198,7 +212,7 @@ def fit(ws: Workspace, training: DataFrame, prior: float, classifiers: int = 3)
     x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in encoded), np.uint8).reshape(len(encoded), -1), axis=1)
     x = x[:, : len(buckets)]
     p = np.array([r.positive for r in encoded])
-    fitted = [fit_linear(x[p], x[~p], prior, seed) for seed in range(classifiers)]
+    fitted = [fit_linear(x[p], x[~p], prior, seed, left=left) for seed in range(classifiers)]
     return Model(buckets, np.array([w for w, _ in fitted]), np.array([b for _, b in fitted]))
 
 
@@ -207,7 +221,7 @@ def scorer(model: Model) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = once(("toxicity", zlib.crc32(model.buckets.tobytes())), lambda: _memo(model.buckets))
+        memo = once(("toxicity", model.buckets.tobytes()), lambda: _memo(model.buckets))
         empty = model.probabilities(np.zeros(0, np.int64))
         for texts in batches:
             present = (_present(text, memo) for text in texts)
