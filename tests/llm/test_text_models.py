@@ -38,33 +38,6 @@ def test_toxicity_finds_held_out_texts(spark):
     assert scored.where("score < 0 or score > 1 or score is null").count() == 0
 
 
-def test_toxicity_risk_of_a_mixture_of_known_share():
-    """40 toxic and 160 clean texts, 15 of the toxic confirmed: the risk equals that with every label known, and so does its slope."""
-    toxic, clean = np.tile([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [1.0, 1.0], [1.0, 0.0]], (8, 1)), np.tile([[0.0, 1.0], [0.0, 0.0]], (80, 1))
-    confirmed, unlabelled = toxic[:15], np.vstack([toxic[15:], clean])
-    prior, left = 40 / 200, 25 / 185
-    w, b = np.array([0.7, -0.4]), -0.2
-
-    def true_risk(w, b):
-        calls = [1 / (1 + np.exp(-(x @ w + b))) for x in (toxic, clean)]
-        return prior * (1 - calls[0]).mean() + (1 - prior) * calls[1].mean()
-
-    g_w, g_b, on_toxic, on_clean = toxicity.non_negative_step(w, b, confirmed, unlabelled, prior, left)
-    assert on_toxic + on_clean == pytest.approx(true_risk(w, b))
-    small = 1e-6
-    slopes = [(true_risk(w + small * d, b) - true_risk(w - small * d, b)) / (2 * small) for d in np.eye(2)]
-    assert g_w == pytest.approx(slopes, abs=1e-7)
-    assert g_b == pytest.approx((true_risk(w, b + small) - true_risk(w, b - small)) / (2 * small), abs=1e-7)
-
-
-def test_toxic_share_of_the_unlabelled(spark):
-    docs = spark.createDataFrame([(i,) for i in range(20)] + [(None,)], "doc_id long")
-    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 1), (2, 0), (50, 1), (None, 1)], "doc_id long, toxic int")
-    assert toxicity.left_of(docs, labels, 0.2) == pytest.approx((0.2 * 21 - 2) / 19)
-    assert toxicity.left_of(docs, labels, 0.01) == 0.0
-    assert toxicity.left_of(docs.where("false"), labels, 0.3) == 0.3
-
-
 def test_toxicity_edge_cases(spark, docs, none):
     labels = spark.createDataFrame([(4, 1), (5, 1), (6, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
     model = toxicity.fit(Workspace(spark, "t"), toxicity.sample(docs, labels), toxicity.prior_of(labels))
