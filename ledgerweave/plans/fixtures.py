@@ -73,6 +73,16 @@ def txn_large(ws: Workspace, sf_dir: str) -> DataFrame:
     return _arrived(ws, rows, (), ["o_orderdate", "o_orderkey"])
 
 
+#: Added to the accounts of the small blocks of the mixed graph.
+APART = 10_000_000
+
+
+def txn_mixed(ws: Workspace, sf_dir: str) -> DataFrame:
+    """The transfers of the graph of orders and those of blocks of 10, side by side."""
+    small = transfers(ws.spark, sf_dir, SPARSE).select((F.col("sender") + APART).alias("sender"), (F.col("receiver") + APART).alias("receiver"))
+    return ws.write(txn_large(ws, sf_dir).select("sender", "receiver").unionByName(small), "mixed")
+
+
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring customers of one nation, taken as one entity."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")

@@ -480,6 +480,19 @@ QUALIFY row_number() OVER (PARTITION BY component ORDER BY interval DESC) = 1"""
   round(ratio.bidirect_ratio, 4) AS group_bidirect_ratio, round(r.closeness, 4) AS receiver_closeness, round(r.betweenness, 4) AS receiver_betweenness
 FROM txn JOIN feat s ON s.account = sender JOIN feat r ON r.account = receiver
 JOIN stats st ON st.component = s.component JOIN ratio ON ratio.component = s.component""",
+        ),
+        "mixed_features": _recursive(
+            """txn AS MATERIALIZED (
+  SELECT o_custkey AS sender, o_custkey - o_custkey % 400 + (o_orderkey * 31 + 7) % 400 AS receiver FROM orders
+  UNION ALL SELECT o_custkey + 10000000, o_custkey - o_custkey % 10 + l_partkey % 10 + 10000000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+            _members(), PAIRS, *HOPS,
+            "deg AS (SELECT a, count(*) AS degree FROM (SELECT u AS a FROM p UNION ALL SELECT v FROM p) GROUP BY 1)",
+            """btw AS (SELECT x.n AS a, sum(x.c * y.c / z.c) / 2 AS b FROM sp x JOIN sp y ON y.s = x.n
+  JOIN sp z ON z.s = x.s AND z.n = y.n AND z.d = x.d + y.d WHERE x.s <> x.n AND y.n <> x.n GROUP BY 1)""",
+            "clo AS (SELECT s AS a, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) ELSE 0.0 END AS c FROM dist GROUP BY 1)",
+            body="""SELECT account, component, coalesce(degree, 0)::BIGINT AS degree, round(coalesce(c, 0.0), 6) AS closeness,
+  round(coalesce(b, 0.0), 3) AS betweenness, count(*) OVER (PARTITION BY component) > 100 AS estimated
+FROM members LEFT JOIN deg ON deg.a = account LEFT JOIN clo ON clo.a = account LEFT JOIN btw ON btw.a = account""",
         ),
         "pivot_betweenness": _recursive(
             large, _members(), PAIRS, *HOPS,

@@ -14,6 +14,7 @@ from ledgerweave.operators import (
     checkpoints,
     components,
     distance,
+    features,
     hyperball,
     intervals,
     learn,
@@ -441,12 +442,24 @@ def large_summary_every(ws: Workspace, sf_dir: str) -> DataFrame:
 def graph_features(ws: Workspace, sf_dir: str) -> DataFrame:
     txn = fx.txn(ws, sf_dir)
     members = ws.write(components.components(ws, txn), "members")
-    found = centrality.attach_features(ws, txn, members)
+    found = features.attach_features(ws, txn, members)
     doubles = [c for c, t in found.dtypes if t == "double" and c not in ("tnum", "amount")]
     whole = ["group_node_count", "group_edge_count", "sender_degree", "receiver_degree"]
     return found.select("seq", "component", *whole, *[F.round(c, 4).alias(c) for c in doubles])
 
 
+@query
+def mixed_features(ws: Workspace, sf_dir: str) -> DataFrame:
+    """Features of accounts in components of 10 and of 400; the latter by sketches and pivots, as many as make them exact."""
+    txn = fx.txn_mixed(ws, sf_dir)
+    members = ws.write(components.components(ws, txn), "members")
+    found = features.account_features(ws, txn, members, exact_accounts=100, pivots=1_000, lg_k=14)
+    return found.select(
+        "account", "component", "degree", F.round("closeness", 6).alias("closeness"),
+        F.round("betweenness", 3).alias("betweenness"), (F.col("closeness_error") > 0).alias("estimated"),
+    )
+
+
 @query
 def pivot_betweenness(ws: Workspace, sf_dir: str) -> DataFrame:
     """Betweenness in components of 400 accounts, estimated from 24 accounts of each; accounts with one partner are folded first."""
@@ -491,7 +504,7 @@ def temporal_split(ws: Workspace, sf_dir: str) -> DataFrame:
 def split_except(ws: Workspace, sf_dir: str) -> DataFrame:
     """Test side by set difference: repeated rows and rows equal to a training row go."""
     rows = fx.transfers(ws.spark, sf_dir, fx.DENSE).select(F.unix_timestamp("ts").alias("timestamp"), "sender", "receiver")
-    _, test = learn.split_by_time(ws, rows, ["timestamp", "sender", "receiver"], dedupe=True)
+    _, test = learn.split_by_time(ws, ws.write(rows, "rows"), ["timestamp", "sender", "receiver"], dedupe=True)
     return test
 
 
@@ -546,7 +559,7 @@ def learning_table(ws: Workspace, sf_dir: str, graph: bool = True) -> DataFrame:
     payee = located("supplier", "s_suppkey", "s_nationkey", "Receiver_bank_location", "Received_currency")
     featured = txn
     if graph:
-        featured = centrality.attach_features(ws, txn, ws.write(components.components(ws, txn), "members"))
+        featured = features.attach_features(ws, txn, ws.write(components.components(ws, txn), "members"))
     paid = lookup(featured, "sender", payer, "c_custkey", "seq", hot_keys(ws, txn, "sender"), "inner")
     received = lookup(paid, "l_suppkey", payee, "s_suppkey", "seq", hot_keys(ws, txn, "l_suppkey"), "inner")
     rows = received.select(
@@ -561,7 +574,7 @@ def learning_table(ws: Workspace, sf_dir: str, graph: bool = True) -> DataFrame:
 
 
 def _ablated(ws: Workspace, sf_dir: str, models: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    train, test = learn.split_by_time(ws, learning_table(ws, sf_dir), ["timestamp", "seq"])
+    train, test = learn.split_by_time(ws, ws.write(learning_table(ws, sf_dir), "rows"), ["timestamp", "seq"])
     return learn.ablation(ws, train, test, models=models)
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 import reference_models as model
 
-from ledgerweave.operators import centrality, hyperball, pairs, refine, sketches, stats
+from ledgerweave.operators import centrality, features, hyperball, pairs, refine, sketches, stats
 from ledgerweave.operators import components as C
 from ledgerweave.workspace import Workspace
 from test_merges import as_txn, transfers
@@ -177,6 +177,27 @@ def test_closeness_from_sketches(graph, group_rows):
     assert {r.account: r.closeness for r in found} == pytest.approx(expected, rel=1e-9)
 
 
+@pytest.mark.parametrize("exact_accounts, group_rows", [(10, 40), (0, 10**6)])
+def test_features_of_small_and_large_components(graph, exact_accounts, group_rows):
+    """With all accounts as pivots and sparse sketches the estimated forms are exact, so both sides equal the plain search."""
+    ws, rows, txn, members = graph
+    edges = [(u, v) for _, u, v, _ in rows]
+    expected, name = model.centrality(edges), model.components(edges)
+    sizes = defaultdict(int)
+    for component in name.values():
+        sizes[component] += 1
+    found = features.account_features(ws, txn, members, exact_accounts, 10**3, group_rows=group_rows).collect()
+    assert len(found) == len(expected) and {r.account for r in found} == set(expected)
+    directed = {(u, v) for u, v in edges if u != v}
+    for r in found:
+        assert (r.closeness, r.betweenness) == pytest.approx(expected[r.account], rel=1e-9)
+        assert r.component == name[r.account]
+        assert r.degree == sum(r.account in e for e in directed)
+        assert r.betweenness_error == 0
+        # An account alone is known without a sketch.
+        assert (r.closeness_error > 0) == (sizes[r.component] > max(exact_accounts, 1))
+
+
 def test_closeness_of_a_large_component(spark):
     """1,500 accounts with sketches of 256 registers: nearly all within three standard errors, all within five."""
     rng = random.Random(4)
