@@ -194,10 +194,13 @@ def fit(ws: Workspace, training: DataFrame, prior: float, classifiers: int = 3)
             yield pd.DataFrame({"positive": batch["positive"], "bits": packed})
 
     # The rows are bounded by the sample, FEATURES bits each; sorted, so that every run fits the same.
-    encoded = rows.mapInPandas(encode, "positive boolean, bits binary").orderBy("positive", "bits").collect()
+    # Many texts have the same features, or none, so equal rows are counted before they are sorted.
+    encoded = rows.mapInPandas(encode, "positive boolean, bits binary").groupBy("positive", "bits").agg(F.count("*").alias("n"))
+    encoded = encoded.orderBy("positive", "bits").collect()
+    times = [r.n for r in encoded]
     x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in encoded), np.uint8).reshape(len(encoded), -1), axis=1)
-    x = x[:, : len(buckets)]
-    p = np.array([r.positive for r in encoded])
+    x = np.repeat(x[:, : len(buckets)], times, axis=0)
+    p = np.repeat([r.positive for r in encoded], times)
     fitted = [fit_linear(x[p], x[~p], prior, seed) for seed in range(classifiers)]
     return Model(buckets, np.array([w for w, _ in fitted]), np.array([b for _, b in fitted]))
 
@@ -207,7 +210,7 @@ def scorer(model: Model) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = once(("toxicity", zlib.crc32(model.buckets.tobytes())), lambda: _memo(model.buckets))
+        memo = once(("toxicity", model.buckets.tobytes()), lambda: _memo(model.buckets))
         empty = model.probabilities(np.zeros(0, np.int64))
         for texts in batches:
             present = (_present(text, memo) for text in texts)
