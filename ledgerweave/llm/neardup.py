@@ -45,7 +45,7 @@ FEW = 8
 #: Texts of either side that are compared with each other in one go.
 TILE = 256
 #: Partners of one text that one task confirms.
-PARTNERS = 1_000
+PARTNERS = 64
 
 _U = np.uint64
 _rng = np.random.default_rng(20_240_229)
