@@ -59,22 +59,25 @@ def mark_merges(
 ) -> DataFrame:
     """Edges with ``merges`` (does it join two components), running outflow, and chain.
 
-    Edges after their component's last merge have a chain only if ``to_the_end``.  The marks of the forest are laid among the edges of both of its ends, so that
-    outflow, marks and chains all come from one shuffle by sender.
+    Edges after their component's last merge tell nothing of a merge; they are left out before anything is summed,
+    unless ``to_the_end``.  The marks of the forest are laid among the edges of both of its ends, so that
+    outflow and marks come from one shuffle by sender.
     """
     hot = hot_keys(ws, txn, "sender", group_rows)
     weight = whole_weight(F.col("amount")).alias("weight")
     edges = txn.select("seq", "tnum", "sender", "receiver", "amount", weight, F.lit(False).alias("mark"))
+    listed = lookup(edges, "sender", tree.places, "account", "seq", hot)
+    if to_the_end:
+        listed = listed.withColumn("last_seq", F.col("seq"))
+    else:
+        listed = listed.where("seq <= last_seq")
     marks = forest.seqs.select(
         "seq", F.explode(F.array("u", "v")).alias("sender"), F.lit(0).cast("long").alias("weight"), F.lit(True).alias("mark")
     )
-    laid = edges.unionByName(marks, allowMissingColumns=True)
+    laid = _placed(listed).unionByName(marks, allowMissingColumns=True)
     summed = running_sum(laid, "sender", "seq", "weight", "out_hh", hot, group_rows)
     marked = summed.withColumn("merges", F.max("mark").over(Window.partitionBy("sender", "seq"))).where("NOT mark")
-    listed = lookup(marked.drop("mark", "weight"), "sender", tree.places, "account", "seq", hot)
-    if to_the_end:
-        listed = listed.withColumn("last_seq", F.col("seq"))
-    return ws.write(_placed(listed), "marked")
+    return ws.write(marked.drop("mark", "weight"), "marked")
 
 
 def flag(edges: DataFrame, forest: MergeForest) -> DataFrame:

@@ -106,3 +106,17 @@ def test_hot_interval_scores_equal_plain(spark):
     assert len(found[0]) == len(found[1])
     for a, b in zip(*found):
         assert a[:-2] == pytest.approx(b[:-2]) and a[-1] == b[-1]
+
+
+def test_edges_after_the_last_merge_are_not_summed(spark):
+    """Once a component is whole, its edges are dropped before the windows; scores stay those of all edges."""
+    rows = transfers(400, 12, seed=5)
+    ws = Workspace(spark)
+    txn = ws.write(as_txn(spark, rows))
+    forest = C.merge_forest(ws, txn)
+    tree = mergetree.merge_tree(ws, forest)
+    last = max(r.last_seq for r in tree.places.collect())
+    marked = merges.mark_merges(ws, txn, forest, tree)
+    assert 0 < ws.rows(marked) <= last < len(rows)
+    assert ws.rows(merges.mark_merges(ws, txn, forest, tree, to_the_end=True)) == len(rows)
+    assert model.same_scores(scores(merges.merge_scores(ws, txn, forest)), model.merge_scores(rows))
