@@ -15,6 +15,7 @@ it leaves part empty do not count.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -39,18 +40,23 @@ GROUP_PIECES = 8_192
 _ACROSS = re.compile(r"\s \s|\s $")
 
 
-# Parts of these characters are cut into words here by the rule of byte-level files, other parts by the library.
-_PLAIN = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
-_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PARTS, _WORDS = 900_000, 500_000  # held by a worker
+# Texts of these characters are cut into words here by the rule of byte-level files, others by the library.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[\n -~{_LETTERS}]*")
+# No space but single ones, and no lines but within words: what the library cuts as told when lines are put between.
+_JOINABLE = re.compile(" ?[!-~" + _LETTERS + "]+")
+_PLAIN_WORD = re.compile(f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
+_WORDS = 1_000_000  # held by a worker
+_TOGETHER = 200  # words encoded as one text
 
 
 class ByteBpe:
     """Token ids of a byte-level BPE file, as little-endian unsigned 32-bit numbers.
 
-    A pre-token of this kind of file holds no space but a leading one, so a text is cut at its spaces
-    and the ids of each part, with the space before it, are kept; parts recur far more often than not.
-    Texts where that does not hold, or with a special token's name in them, are encoded in one go.
+    Texts are cut into words as the file's rule does, and the ids of each are kept; words recur far more often than
+    not.  A pre-token of this kind of file holds no space but a leading one, so a text with unusual characters is cut
+    at its spaces first, and its parts that have them are encoded as they stand.  Texts where that does not hold, or with a
+    special token's name in them, are encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -59,32 +65,58 @@ class ByteBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and words are too short to share out
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.parts = Known(_WORDS), Known(_PARTS)
+        self.words = Known(_WORDS)
+        line = self._direct(["\n"])[0]
+        self.line = int.from_bytes(line, "little") if len(line) == 4 else None
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of words that can stand on lines of their own, of which many are encoded as one text."""
+        texts = ["\n".join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+        out: list[bytes] = []
+        for encoded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(encoded.ids, "<u4")
+            lines, raw = 4 * np.flatnonzero(ids == self.line), ids.tobytes()
+            out += [raw[start:end] for start, end in zip([0, *(lines + 4).tolist()], [*lines.tolist(), len(raw)])]
+        return out
+
     def _prepare(self, wanted: set[str]) -> None:
-        """Encode the parts that are not known yet; those of plain characters word by word."""
-        missing = list(self.parts.lacking(wanted))
-        spaced = [p[1:] if p[:1] == " " else " " + p for p in missing]
-        cut = [_PLAIN_WORD.findall(p) if _PLAIN.fullmatch(p) else [p] for p in spaced]
-        new = list(self.words.lacking(set(chain.from_iterable(cut))))
-        words = self.words.younger
-        words.update(zip(new, self._direct(new)))
-        known, parts = words.__getitem__, self.parts.younger
-        for part, found in zip(missing, cut):
-            parts[part] = known(found[0]) if len(found) == 1 else b"".join(map(known, found))
+        """Encode the words that are not known yet."""
+        missing = self.words.lacking(wanted)
+        joinable = [w for w in missing if _JOINABLE.fullmatch(w)] if self.line is not None else []
+        found = self._joined(joinable)
+        if len(found) == len(joinable):
+            missing = missing.difference(joinable)
+            self.words.younger.update(zip(joinable, found))
+        others = list(missing)
+        self.words.younger.update(zip(others, self._direct(others)))
+
+    def _cut(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
+        if _PLAIN.fullmatch(text):
+            return _PLAIN_WORD.findall(text)
+        if _ACROSS.search(text):
+            return None
+        first, *others = text.split(" ")
+        parts = [first, *[" " + p for p in others]]
+        return list(chain.from_iterable(_PLAIN_WORD.findall(p) if _PLAIN.fullmatch(p) else [p] for p in parts))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        odd = [bool(_ACROSS.search(t)) or any(s in t for s in self.special) for t in texts]
-        split = [None if o else t.split(" ") for t, o in zip(texts, odd)]
-        for parts in filter(None, split):
-            parts[0] = " " + parts[0]  # a key that only a first part has, since others hold no space
-        self._prepare(set().union(*[p for p in split if p]))
-        for text, parts in zip(texts, split):
-            yield b"".join(map(self.parts.younger.__getitem__, parts)) if parts else self._direct([text])[0]
+        collecting = gc.isenabled()
+        gc.disable()  # there are no cycles here, and each search for some would walk all that is kept
+        try:
+            split = [self._cut(t) for t in texts]
+            self._prepare(set().union(*filter(None, split)))
+            known = self.words.younger.__getitem__
+            encoded = [self._direct([t])[0] if words is None else b"".join(map(known, words)) for t, words in zip(texts, split)]
+        finally:
+            if collecting:
+                gc.enable()
+        yield from encoded
 
 
 def cut(length: int, most: int) -> Iterator[tuple[int, int]]:

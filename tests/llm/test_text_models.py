@@ -96,6 +96,32 @@ def test_packing_keeps_every_piece_under_every_capacity(spark, docs, none):
     assert packing.pack(Workspace(spark, "p"), none, BYTES).count() == 0
 
 
+def test_words_are_encoded_many_at_a_time_as_the_library_does():
+    """Each word once, and many as one text; the ids are those of the whole texts."""
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abeéñßstrln"), rng.integers(1, 9))) for _ in range(600)]
+    joints = [" ", "\n", "  ", " \n", "\n\n ", "'s ", "'' ", ", ", " 12 ", "_", "\t ", "’ ", " \u4f60\u597d ", " $3.50% "]
+    texts = ["", " ", "\n", " \n \n", "a ", "<|endoftext|> a", "x <|endoftext|>"]
+    texts += ["".join(rng.choice(pool) + (" " if rng.random() < 0.8 else rng.choice(joints)) for _ in range(40)) for _ in range(300)]
+    encoder = packing.ByteBpe(BYTES)
+    whole, given = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, rows, **options):
+            given.extend(rows)
+            return whole.encode_batch_fast(rows, **options)
+
+    encoder.tokenizer = Counting()
+    expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(encoder.encode(texts)) == expected
+    simple = [" ".join(rng.permutation(pool)) for _ in range(50)]
+    again = packing.ByteBpe(BYTES)
+    again.tokenizer = Counting()
+    given.clear()
+    assert list(again.encode(simple)) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in simple]
+    assert len(given) < len(set(pool)) / 10
+
+
 def test_best_fit_by_hand_and_against_the_bound():
     sequence, offset = packing.best_fit(np.array([60, 40, 50, 50]), tokens=100)
     assert sorted(zip(sequence.tolist(), offset.tolist())) == [(0, 0), (0, 60), (1, 0), (1, 50)]
