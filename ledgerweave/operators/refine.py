@@ -15,10 +15,6 @@ from ledgerweave.operators.skew import GROUP_ROWS, hot_keys, lookup
 from ledgerweave.operators.stats import component_stats, last_edges
 from ledgerweave.workspace import Workspace
 
-# Edges looked back on, overall and per component.
-WINDOW_EDGES = 2_000_000
-COMPONENT_EDGES = 200_000
-
 
 @dataclass(frozen=True)
 class Refined:
@@ -31,24 +27,29 @@ def refine(
     txn: DataFrame,
     members: DataFrame,
     flagged: DataFrame,
-    window_edges: int = WINDOW_EDGES,
-    component_edges: int = COMPONENT_EDGES,
+    window_edges: int | None = None,
+    component_edges: int | None = None,
     group_rows: int = GROUP_ROWS,
 ) -> Refined:
-    """Split each flagged component by the two-way pairs among its latest edges.
+    """Split each flagged component by the two-way pairs among its edges.
 
-    Block figures come from those edges alone.  A component without a two-way
-    pair is kept as it is, with ``refined`` false.
+    All edges count, unless ``window_edges`` or ``component_edges`` say how many of the latest do,
+    overall and per component.  Block figures come from those edges alone.  A component without a
+    two-way pair is kept as it is, with ``refined`` false.
     """
     suspects = ws.write(_of_flagged(ws, members, flagged, group_rows), "suspects")
-    recent = ws.write(last_edges(txn, window_edges), "recent")
-    hot = hot_keys(ws, recent, "sender", group_rows)
-    tagged = lookup(recent, "sender", suspects, "account", "seq", hot, "inner")
-    hot_components = None
-    if ws.rows(recent) > group_rows:
-        tagged = ws.write(tagged, "tagged")
-        hot_components = hot_keys(ws, tagged, "component", group_rows)
-    window = ws.write(latest(tagged, "component", "seq", component_edges, hot_components), "window")
+    recent = txn if window_edges is None else last_edges(txn, window_edges)
+    if component_edges is None:
+        window = _of_suspects(ws, ws.write(_folded(recent), "folded"), suspects, "receiver", group_rows)
+    else:
+        recent = ws.write(recent, "recent")
+        tagged = _of_suspects(ws, recent, suspects, "seq", group_rows)
+        hot_components = None
+        if ws.rows(recent) > group_rows:
+            tagged = ws.write(tagged, "tagged")
+            hot_components = hot_keys(ws, tagged, "component", group_rows)
+        window = _folded(latest(tagged, "component", "seq", component_edges, hot_components), "component")
+    window = ws.write(window, "window")
     mutual = ws.write(mutual_pairs(window, by=("component",)), "mutual")
     blocks = components(ws, mutual, "lo", "hi", group_rows).withColumnRenamed("component", "block")
     owner = mutual.select("component", F.explode(F.array("lo", "hi")).alias("account")).distinct()
@@ -59,21 +60,32 @@ def refine(
     return Refined(refined.unionByName(kept), located)
 
 
+def _folded(edges: DataFrame, *by: str) -> DataFrame:
+    """A row per sender and receiver: its edges and their flow."""
+    return edges.groupBy(*by, "sender", "receiver").agg(
+        F.count(F.lit(1)).alias("edges"), F.sum(flow_weight(F.col("amount"))).alias("out_flow")
+    )
+
+
+def _of_suspects(ws: Workspace, edges: DataFrame, suspects: DataFrame, spread: str, group_rows: int) -> DataFrame:
+    """Edges of the flagged components, with their component."""
+    hot = hot_keys(ws, edges, "sender", group_rows)
+    return lookup(edges, "sender", suspects, "account", spread, hot, "inner")
+
+
 def _inside(ws: Workspace, window: DataFrame, located: DataFrame, group_rows: int) -> DataFrame:
-    """Window edges whose two ends share a block."""
+    """Folded edges whose two ends share a block."""
     one = located.select("account", F.col("block").alias("from_block"))
     two = located.select("account", F.col("block").alias("to_block"))
     hot = {end: hot_keys(ws, window, end, group_rows) for end in ("sender", "receiver")}
-    left = lookup(window, "sender", one, "account", "seq", hot["sender"], "inner")
-    both = lookup(left, "receiver", two, "account", "seq", hot["receiver"], "inner")
+    left = lookup(window, "sender", one, "account", "receiver", hot["sender"], "inner")
+    both = lookup(left, "receiver", two, "account", "sender", hot["receiver"], "inner")
     return both.where("from_block = to_block").withColumnRenamed("from_block", "block").drop("to_block")
 
 
 def _block_stats(inside: DataFrame, located: DataFrame) -> DataFrame:
     sizes = located.groupBy("component", "block").agg(F.count(F.lit(1)).alias("accounts"))
-    flows = inside.groupBy("block").agg(
-        F.count(F.lit(1)).alias("edges"), F.sum(flow_weight(F.col("amount"))).alias("out_flow")
-    )
+    flows = inside.groupBy("block").agg(F.sum("edges").alias("edges"), F.sum("out_flow").alias("out_flow"))
     return sizes.join(flows, "block").select(
         "component", "block", F.lit(True).alias("refined"), "accounts", "edges", "out_flow",
         density(F.col("edges"), F.col("accounts")).alias("density"),

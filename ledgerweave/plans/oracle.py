@@ -259,12 +259,12 @@ UNION ALL SELECT 'cms_bound_out', trunc(out_flow / 4096)::BIGINT::VARCHAR FROM b
     )
 
 
-def _refined(txn: str, least: int, window: int) -> str:
+def _refined(txn: str, least: int, window: int | None = None) -> str:
+    latest = f"\n  QUALIFY row_number() OVER (PARTITION BY component ORDER BY seq DESC) <= {window}" if window else ""
     return _recursive(
         txn, _members(), STATS,
         f"""win AS MATERIALIZED (SELECT component, seq, sender, receiver, amount FROM txn JOIN members ON account = sender
-  WHERE component IN (SELECT component FROM rated WHERE edges >= {least})
-  QUALIFY row_number() OVER (PARTITION BY component ORDER BY seq DESC) <= {window})""",
+  WHERE component IN (SELECT component FROM rated WHERE edges >= {least}){latest})""",
         """mutual AS MATERIALIZED (SELECT DISTINCT x.component, x.sender AS a, x.receiver AS b FROM win x JOIN win y
   ON x.component = y.component AND y.sender = x.receiver AND y.receiver = x.sender WHERE x.sender <> x.receiver)""",
         _members("mutual", "a", "b", "q"),
@@ -429,7 +429,7 @@ FROM asked LEFT JOIN cells USING (component, row, cell) GROUP BY ALL""",
 WHERE seq > (SELECT count(*) - count(*) // 2 FROM txn)
 QUALIFY row_number() OVER (PARTITION BY component ORDER BY seq DESC) <= 8""",
         ),
-        "refine_blocks": _refined(dense, 20, 25),
+        "refine_blocks": _refined(dense, 20),
         "large_refine_blocks": _refined(large, 0, 2000),
         "merge_events": _recursive(sparse, MERGES, body="SELECT seq, sender, receiver FROM merge"),
         "merge_scores": _recursive(sparse, SCORED, body=judged_merges),

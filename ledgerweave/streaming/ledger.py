@@ -28,10 +28,11 @@ from ledgerweave.functions.scoring import HIGH_THRESHOLD, whole_weight
 from ledgerweave.operators import merges
 from ledgerweave.operators.components import MergeForest, merge_forest
 from ledgerweave.operators.ordering import number_rows
-from ledgerweave.operators.refine import COMPONENT_EDGES, WINDOW_EDGES, Refined, refine
+from ledgerweave.operators.refine import Refined, refine
 from ledgerweave.operators.skew import GROUP_ROWS, hot_keys, lookup
 from ledgerweave.operators.stats import running_outflow
 from ledgerweave.sources.sinks import write_alerts
+from ledgerweave.streaming.recent import WINDOW_EDGES
 from ledgerweave.workspace import Workspace, delete, is_file, is_there
 
 #: Columns of the state tables; {id} is the type of accounts.
@@ -114,7 +115,7 @@ class Ledger:
         folder: str,
         refine_on_high: bool = False,
         window_edges: int = WINDOW_EDGES,
-        component_edges: int = COMPONENT_EDGES,
+        component_edges: int | None = None,
         group_rows: int = GROUP_ROWS,
         csv_folder: str | None = None,
         lag: float | None = None,

@@ -24,7 +24,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerweave.operators.components import components, merge_forest
 from ledgerweave.operators.ordering import number_rows
-from ledgerweave.operators.refine import WINDOW_EDGES
 from ledgerweave.operators.skew import GROUP_ROWS
 from ledgerweave.workspace import Workspace, delete, is_there
 
@@ -33,6 +32,9 @@ PAIRS = "lo {id}, hi {id}, up bigint, down bigint"
 FOREST = "lo {id}, hi {id}, recency bigint"
 ENTRY = "last bigint, base bigint, id string, part string"
 
+#: Fixed value: transfers looked back on.
+WINDOW_EDGES = 2_000_000
+
 
 @dataclass(frozen=True)
 class Kept:

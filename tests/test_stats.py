@@ -6,8 +6,11 @@ from collections import defaultdict
 import pytest
 import reference_models as model
 
+from pyspark.sql import functions as F
+
 from ledgerweave.operators import centrality, features, hyperball, pairs, refine, sketches, stats
 from ledgerweave.operators import components as C
+from ledgerweave.plans.queries import QUERIES
 from ledgerweave.workspace import Workspace
 from test_merges import as_txn, transfers
 
@@ -238,3 +241,32 @@ def test_refine_with_hot_components(spark):
         for g in (10**6, 30)
     ]
     assert found[0] == found[1]
+
+
+def test_refine_looks_back_on_all_edges(spark):
+    """The only two-way pair lies before two million later edges of its component."""
+    rows = spark.range(1, 2_000_100).select(
+        F.col("id").alias("seq"), F.when(F.col("id") == 2, 2).otherwise(1).alias("sender"),
+        F.when(F.col("id") == 1, 2).when(F.col("id") == 2, 1).otherwise(3).alias("receiver"), F.lit(2.0).alias("amount"),
+    )
+    ws = Workspace(spark)
+    txn = ws.write(rows)
+    members = ws.write(C.components(ws, txn))
+    found = refine.refine(ws, txn, members, members.select("component").distinct()).blocks
+    assert [tuple(r) for r in found.collect()] == [(1, 1, True, 2, 2, 4.0, 2.0)]
+
+
+def test_refine_blocks_sees_each_component_whole(spark, tmp_path):
+    """Customer 1 and 2 pay each other first; fifty later transfers go one way."""
+    orders = spark.range(52).select(
+        F.col("id").alias("o_orderkey"), F.when(F.col("id") == 1, 2).otherwise(1).cast("long").alias("o_custkey"),
+        F.timestamp_seconds(F.col("id") * 86_400).alias("o_orderdate"),
+    )
+    lines = spark.range(52).select(
+        F.col("id").alias("l_orderkey"), F.when(F.col("id") == 0, 2).when(F.col("id") == 1, 1).otherwise(3).cast("long").alias("l_partkey"),
+        F.lit(0).cast("long").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(5.0).alias("l_extendedprice"),
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["refine_blocks"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(1, 1, True, 2, 2, 10.0, 2.0)]
