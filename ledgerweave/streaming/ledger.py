@@ -12,6 +12,8 @@ replaces the entry, so nothing is counted twice and a reader never sees half a b
 
 With a ``lag`` transfers are held back until none earlier is expected, and applied in order of
 time; :meth:`Ledger.drain` applies what is still held.
+
+Every transfer applied is kept, unless ``window_edges`` says how many of the latest are.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from ledgerweave.operators.refine import Refined, refine
 from ledgerweave.operators.skew import GROUP_ROWS, hot_keys, lookup
 from ledgerweave.operators.stats import running_outflow
 from ledgerweave.sources.sinks import write_alerts
-from ledgerweave.streaming.recent import WINDOW_EDGES
 from ledgerweave.workspace import Workspace, delete, is_file, is_there
 
 #: Columns of the state tables; {id} is the type of accounts.
@@ -114,7 +115,7 @@ class Ledger:
         spark: SparkSession,
         folder: str,
         refine_on_high: bool = False,
-        window_edges: int = WINDOW_EDGES,
+        window_edges: int | None = None,
         component_edges: int | None = None,
         group_rows: int = GROUP_ROWS,
         csv_folder: str | None = None,
@@ -278,7 +279,7 @@ class Ledger:
         return self.version(version).newest("stats")
 
     def edges(self, version: int) -> DataFrame:
-        """The retained edges up to a version."""
+        """The edges up to a version: all of them, or the latest ``window_edges``."""
         return self._window(self.version(version))
 
     def alerts(self, version: int | None = None) -> DataFrame:
@@ -303,9 +304,13 @@ class Ledger:
 
     def _window(self, now: Version) -> DataFrame:
         entries = self._entries() if is_there(self.spark, f"{self.folder}/versions") else {}
-        parts = {v: e["part"] for v, e in entries.items() if v < now.number and e["last"] > now.last - self.window_edges}
+        parts = {v: e["part"] for v, e in entries.items() if v < now.number and not self._outside(e["last"], now)}
         stored = self.spark.read.parquet(*[f"{p}/edges" for p in [*parts.values(), now.parts[now.number]]])
-        return stored.where(F.col("seq") > now.last - self.window_edges)
+        return stored if self.window_edges is None else stored.where(F.col("seq") > now.last - self.window_edges)
+
+    def _outside(self, seq: int, now: Version) -> bool:
+        """Whether an edge is older than those kept."""
+        return self.window_edges is not None and seq <= now.last - self.window_edges
 
     def _forget(self, now: Version) -> None:
         """Remove state tables no repeated batch can ask for, and edges beyond the window.
@@ -320,5 +325,5 @@ class Ledger:
             if v < needed and is_there(self.spark, f"{entry['part']}/members"):
                 for kind in STATE:
                     delete(self.spark, f"{entry['part']}/{kind}")
-            if v < now.number - 1 and entry["last"] <= now.last - self.window_edges:
+            if v < now.number - 1 and self._outside(entry["last"], now):
                 delete(self.spark, f"{entry['part']}/edges")

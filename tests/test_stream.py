@@ -128,6 +128,21 @@ def test_lagged_transfers_are_applied_in_order_of_time(spark, tmp_path):
     assert {r.time: r.out_hh for r in book.alerts().collect()} == {float(s): row[3] for s, row in scores.items()}
 
 
+def test_all_applied_transfers_are_kept(spark, tmp_path):
+    """More than two million, in three batches; with a window the latest are."""
+    rows = spark.range(2_100_000).select(
+        F.col("id").cast("double").alias("tnum"), (F.col("id") % 7).alias("sender"), F.lit(9).cast("long").alias("receiver"), F.lit(1.0).alias("amount")
+    )
+    book = Ledger(spark, str(tmp_path / "book"))
+    for i in range(3):
+        book.apply(rows.where(F.floor(F.col("tnum") / 700_000) == i), i)
+    assert book.edges(2).agg(F.count("*"), F.min("seq"), F.max("seq")).first()[:] == (2_100_000, 1, 2_100_000)
+    kept = Ledger(spark, str(tmp_path / "kept"), window_edges=10)
+    for i in range(4):
+        kept.apply(rows.where(F.floor(F.col("tnum") / 8) == i), i)
+    assert sorted(r.seq for r in kept.edges(3).collect()) == list(range(23, 33))
+
+
 def blocks_of(rows, window, mutual):
     """account -> block among the latest transfers, from scratch."""
     late = {(u, v) for _, u, v, _ in rows[-window:] if u != v}
